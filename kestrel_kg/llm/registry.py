@@ -12,6 +12,14 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -32,8 +40,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op6_quality)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op6_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
