@@ -30,6 +30,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -47,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op6_quality, op8_packing)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
