@@ -47,6 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -54,7 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op8_packing)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
