@@ -59,8 +59,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
