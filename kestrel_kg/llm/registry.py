@@ -59,6 +59,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: A deployment passes its own secret to ``pii.pseudonymise``.
+DEMONSTRATION_KEY = "demonstration key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMONSTRATION_KEY)
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
@@ -67,7 +77,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op10_linededup)}
+    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
