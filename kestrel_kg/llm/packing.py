@@ -66,7 +66,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, dims: int, bits: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), key on the curve, tie."""
+    """doc_id, ids (little-endian, of 16 bits if no id needs more, after a first byte that tells the width), key on the curve, tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
@@ -77,7 +77,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, dims: int, bits: int) ->
                 ids, vectors = [], []
                 for text in texts(part):
                     found = np.append(encode(text.decode()), np.uint32(end_id))
-                    ids.append(found.astype("<u4").tobytes())
+                    ids.append(b"\x02" + found.astype("<u2").tobytes() if found.max() < 1 << 16 else b"\x04" + found.astype("<u4").tobytes())
                     vectors.append(at[found].mean(0) if found.max() < len(at) else directions(found, dims).mean(0))
                 v = np.array(vectors).reshape(-1, dims)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -110,7 +110,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, leng
 
         for batch in batches:
             done: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(held, f"<u{held[0]}", offset=1).astype("<u4").tobytes()
                 n, start = len(ids) // 4, 0
                 while start < n:
                     take = min(room, n - start)
