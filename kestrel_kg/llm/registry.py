@@ -12,6 +12,12 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -77,7 +83,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
