@@ -43,6 +43,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    found = lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -83,7 +90,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
