@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel_kg.llm import quality
+from kestrel_kg.llm import decontaminate, linededup, neardup, packing, quality
 from kestrel_kg.llm.common import table, written
 
 
@@ -14,7 +15,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of line runs; documents that consist of such copies alone go."""
+    found = linededup.dedup_lines(docs).where("n_lines = 0 or n_deleted_lines < n_lines")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    copies = neardup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents; all others stay as they are."""
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.remove(found, action="documents").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 
 #: The fitted thresholds, prefix doubling, near-duplicate components and packing have no SQL form here.
 ORACLE_SQL = None
