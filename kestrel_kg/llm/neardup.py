@@ -7,14 +7,16 @@ both is let go; the others are confirmed on their full sets: ``100 * |A and B| >
 
 Lists. A pair that passes the estimate shares at least ``estimate * |sketch|`` values, so it also shares one of each side's
 ``|sketch| - ceil(estimate * |sketch|) + 1`` rarest values (prefix filter, by number of classes): only those are listed, which takes
-passages that many documents share out of the lists without losing a pair. With ``k = 64`` and ``estimate = 0.5`` a pair of
+passages that many documents share out of the lists without losing a pair. Sets so small that each similar set is its own sketch use
+the similarity itself in place of the estimate. With ``k = 64`` and ``estimate = 0.5`` a pair of
 similarity 0.75 is estimated too low with a probability of about 1e-5 (binomial tail); sketches of sets of at most ``k`` shingles
 are the sets themselves and exact.
 
 Large lists. Only components are wanted, so no list emits all its pairs. First every class is paired with the least class of each
-of its lists; those links are confirmed and joined to components. Then lists that still hold several components are dealt into
-blocks of ``block`` classes, and pairs of blocks compare sketches of classes of different components, emitting the pairs that pass.
-That is repeated work only where documents share rare values and aren't linked.
+of its lists; those links are confirmed and joined to components. What still lies in lists with several components is compared
+across components only, and exactly: a list of up to ``block`` classes in one task, which emits a pair that passes the estimate only
+from the first list that both share; larger lists are joined to clusters of classes, whose blocks of ``block`` classes meet pairwise
+on their full sets and emit no more links than it takes to join what belongs together.
 
 Cases: null and empty texts have no shingles, link with nothing and are kept. Texts of fewer words than a shingle have their whole
 word sequence as one. Rows of equal doc_id are one document, linked with what any of its texts is linked with; rows of null doc_id
@@ -73,8 +75,8 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, sketch binary")
 
 
-def listed(classes: DataFrame, k: int, estimate: float) -> DataFrame:
-    """value, rep, n: the inverted lists of each class's rarest retained values, without lists of one class."""
+def prefixes(classes: DataFrame, k: int, estimate: float, percent: int) -> DataFrame:
+    """rep, n, prefix: each class's rarest retained values, of those that other classes have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +91,12 @@ def listed(classes: DataFrame, k: int, estimate: float) -> DataFrame:
     values = classes.select("rep", "n", "sketch").mapInArrow(run, "value long, rep long, n long")
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     size = F.least(F.col("n"), F.lit(k))
-    prefix = size - F.ceil(size * F.lit(estimate)) + 1
+    share = F.when(F.col("n") * 100 <= k * percent, F.ceil(size * percent / 100)).otherwise(F.ceil(size * F.lit(estimate)))
     shared = values.join(often, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     # values of one class alone are the rarest and fill the prefix first
-    room = F.greatest(F.lit(0), prefix - (size - F.size("shared"))).cast("int")
-    return shared.select("rep", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("x")).select(F.col("x.value").alias("value"), "rep", "n")
+    room = F.greatest(F.lit(0), size - share + 1 - (size - F.size("shared"))).cast("int")
+    rows = shared.select("rep", "n", F.transform(F.slice("shared", F.lit(1), room), lambda x: x["value"]).alias("prefix"))
+    return rows.where(F.size("prefix") > 0)
 
 
 def similar_size(percent: int):
@@ -138,40 +141,104 @@ def confirmed(pairs: DataFrame, whole: DataFrame, words: int, percent: int) -> D
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def between_components(lists: DataFrame, sketches: DataFrame, members: DataFrame, k: int, estimate: float, percent: int, block: int) -> DataFrame:
-    """Pairs a, b of one list and different components that pass the estimate, out of lists of three classes or more."""
-    at = lists.join(members.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_lists = at.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("p"), F.max("component").alias("q")).where("size > 2 and p <> q")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = at.join(mixed_lists, "value").select("value", "rep", "n", "component", blocks.alias("blocks"), F.pmod(F.hash("rep"), blocks).alias("i"))
-    held = rows.join(sketches.select("rep", "sketch"), "rep").groupBy("value", "blocks", "i").agg(F.collect_list(F.struct("rep", "n", "component", "sketch")).alias("x"))
-    held = written(held, "blocks")
-    right = held.select("value", F.col("i").alias("j"), F.col("x").alias("y"))
-    joined = held.join(right, (held["value"] == right["value"]) & (right["j"] >= held["i"])).select(held["i"], "j", "x", "y")
+def mixed_lists(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """value, rep, component, size of the lists of three classes or more that hold several components."""
+    at = lists.join(members.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
+    several = at.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("p"), F.max("component").alias("q")).where("size > 2 and p <> q")
+    return at.join(several.select("value", "size"), "value")
 
-    def matrix(rows: list[dict], place: dict[int, int]) -> np.ndarray:
-        out = np.zeros((len(rows), len(place)), np.float32)
-        for r, row in enumerate(rows):
-            out[r, [place[v] for v in np.frombuffer(row["sketch"], np.uint64).tolist() if v in place]] = 1
-        return out
+
+def in_small_lists(mixed: DataFrame, details: DataFrame, k: int, estimate: float, percent: int, block: int) -> DataFrame:
+    """Pairs a, b of different components that pass the estimate, each from the least of the lists that both are in."""
+    rows = mixed.where(F.col("size") <= block).select("value", "rep", "component").join(details, "rep")
+    groups = rows.groupBy("value").agg(F.collect_list(F.struct("rep", "n", "component", "sketch", "prefix")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for value, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, component = np.array([r["n"] for r in x]), np.array([r["component"] for r in x])
+                most = np.maximum.outer(n, n)
+                good = (component[:, None] != component[None, :]) & (100 * np.minimum.outer(n, n) >= percent * most)
+                if not np.triu(good, 1).any():
+                    continue
+                sketch = incidence([np.frombuffer(r["sketch"], np.uint64).tolist() for r in x])
+                good &= sketch @ sketch.T >= estimate * np.minimum(most, k)
+                before = incidence([[v for v in r["prefix"] if v < value] for r in x])
+                good &= before @ before.T == 0
+                p, q = np.nonzero(np.triu(good, 1))
+                out += [(min(x[i]["rep"], x[j]["rep"]), max(x[i]["rep"], x[j]["rep"])) for i, j in zip(p, q, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def incidence(rows: list[list[int]]) -> np.ndarray:
+    """A matrix of rows by values, of ones where a row has a value."""
+    place = {v: c for c, v in enumerate({v for row in rows for v in row})}
+    out = np.zeros((len(rows), max(len(place), 1)), np.float32)
+    for r, row in enumerate(rows):
+        out[r, [place[v] for v in row]] = 1
+    return out
+
+
+def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Links a, b, confirmed on full sets, that join the components of each cluster of large lists as far as its pairs do."""
+    rows = mixed.where(F.col("size") > block)
+    hubs = rows.groupBy("value").agg(F.min("rep").alias("hub"))
+    clusters = connected_components(rows.join(hubs, "value").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    at = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(rows.select("rep", "component").distinct(), "rep")
+    # the largest component's classes needn't meet each other
+    counts = at.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m"))
+    counts = counts.select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    at = at.join(counts, "cluster").select("cluster", "rep", "component", (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.hash("rep"), "blocks").alias("i"))
+    held = at.join(whole, "rep").groupBy("cluster", "in_main", "i").agg(F.collect_list(F.struct("rep", "component", "text")).alias("x"))
+    held = written(held.withColumn("at", 2 * F.col("i") + F.col("in_main").cast("int")), "blocks")
+    keys = held.select("cluster", "at", "in_main")
+    others = held.select("cluster", F.col("at").alias("other"), F.col("in_main").alias("other_main"))
+    meet = keys.join(others, "cluster").where("other >= at and not (in_main and other_main)").select("cluster", "at", "other")
+    joined = meet.join(held.select("cluster", "at", "x"), ["cluster", "at"]).join(held.select("cluster", F.col("at").alias("other"), F.col("x").alias("y")), ["cluster", "other"])
+    joined = joined.select((F.col("at") == F.col("other")).alias("same"), "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
         for batch in batches:
             for r in range(batch.num_rows):
-                i, j, x, y = (batch.column(c)[r].as_py() for c in range(4))
-                place = {v: c for c, v in enumerate({v for row in x for v in np.frombuffer(row["sketch"], np.uint64).tolist()})}
-                common = matrix(x, place) @ matrix(y, place).T
-                nx, ny = (np.array([row["n"] for row in rows]) for rows in (x, y))
-                cx, cy = (np.array([row["component"] for row in rows]) for rows in (x, y))
-                least, most = np.minimum.outer(nx, ny), np.maximum.outer(nx, ny)
-                good = (common >= estimate * np.minimum(most, k)) & (100 * least >= percent * most) & (cx[:, None] != cy[None, :])
-                if i == j:
-                    good &= np.array([row["rep"] for row in x])[:, None] < np.array([row["rep"] for row in y])[None, :]
-                p, q = np.nonzero(good)
-                a, b = [x[t]["rep"] for t in p], [y[t]["rep"] for t in q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
-
-    return joined.mapInArrow(run, "a long, b long").distinct()
+                same, x, y = (batch.column(c)[r].as_py() for c in range(3))
+                y = [] if same else y
+                sets = [shingles((row["text"] or "").encode(), hashes, words) for row in x + y]
+                links = joining_links(sets, [row["component"] for row in x + y], len(x) if not same else None, percent)
+                a, b = np.array([[(x + y)[i]["rep"] for i in pair] for pair in links], np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of links between similar sets of different components; with ``cut``, of the rows before it with those from it on."""
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    matrix = np.zeros((len(sets), flat.max() + 1), np.float32)
+    sizes = np.array([len(s) for s in sets])
+    matrix[np.repeat(np.arange(len(sets)), sizes), flat] = 1
+    left, right = (slice(None), slice(None)) if cut is None else (slice(0, cut), slice(cut, None))
+    common = matrix[left] @ matrix[right].T
+    similar = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+    top = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        i, j = int(i), int(j) + (cut or 0)
+        p, q = find(component[i]), find(component[j])
+        if p != q:
+            top[p] = q
+            out.append((i, j))
+    return out
 
 
 def apart(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -186,8 +253,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     marks = written(signatures(docs, words, k), "signatures")
     classes = marks.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    lists = written(listed(classes, k, estimate), "lists")
-    involved = lists.select("rep").distinct()
+    rarest = written(prefixes(classes, k, estimate, percent), "prefixes")
+    lists = rarest.select("rep", "n", F.explode("prefix").alias("value"))
+    involved = rarest.select("rep")
     sketches = classes.join(involved, "rep", "left_semi").select("rep", "sketch")
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(involved, "rep", "left_semi")
     whole = written(whole, "candidate-texts")
@@ -202,8 +270,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     rest = apart(stars.join(first, ["a", "b"], "left_anti"), members)
     links = written(links.unionByName(confirmed(rest, whole, words, percent)), "links")
     members = connected_components(links)
-    rest = apart(between_components(lists, sketches, members, k, estimate, percent, block), members)
+    mixed = written(mixed_lists(lists, members), "mixed-lists")
+    rest = in_small_lists(mixed, sketches.join(rarest, "rep"), k, estimate, percent, block)
     links = links.unionByName(confirmed(rest.join(stars, ["a", "b"], "left_anti"), whole, words, percent))
+    if mixed.where(F.col("size") > block).limit(1).count():
+        links = links.unionByName(in_large_lists(mixed, whole, words, percent, block))
     members = connected_components(written(links, "links"))
 
     found = classes.select("key", "rep").join(members.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
