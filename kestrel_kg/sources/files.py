@@ -8,16 +8,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators.model import Graph, ordered_index
 
-ENTITY = T.StructType.fromDDL(
-    "label string, entity_type string, description string, aliases array<string>, source_chunks array<string>, embedding array<double>, metadata map<string,string>"
-)
-RELATION = T.StructType.fromDDL("subject_id string, predicate string, object_id string, confidence double, source_chunk string, metadata map<string,string>")
-GRAPH = T.StructType([T.StructField("entities", T.MapType(T.StringType(), ENTITY)), T.StructField("relations", T.ArrayType(RELATION)), T.StructField("pagerank", T.MapType(T.StringType(), T.DoubleType()))])
+ENTITY = "label: string, entity_type: string, description: string, aliases: array<string>, source_chunks: array<string>, embedding: array<double>, metadata: map<string,string>"
+RELATION = "subject_id: string, predicate: string, object_id: string, confidence: double, source_chunk: string, metadata: map<string,string>"
+GRAPH = f"entities map<string,struct<{ENTITY}>>, relations array<struct<{RELATION}>>, pagerank map<string,double>"
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
