@@ -142,11 +142,34 @@ class Retriever:
     def names(self) -> DataFrame:
         return self.graph.entities.select(F.col("entity_id").alias("doc"), "label")
 
+    def matches(self, questions: DataFrame) -> DataFrame:
+        """BM25 of the entities that share a word with a question."""
+        return bm25(questions, self.index, expanded=True)
+
     def lexical(self, questions: DataFrame) -> DataFrame:
-        return all_pairs(questions, self.names(), bm25(questions, self.index, expanded=True))
+        return all_pairs(questions, self.names(), self.matches(questions))
+
+    def with_best(self, questions: DataFrame, matches: DataFrame, best: DataFrame) -> DataFrame:
+        """``matches``, and for every question the few ``best`` (doc) that don't match, at nought.
+
+        An entity without a match can only be among the first k if it is among the first k of what orders such entities, because a
+        match never lowers a score. So no question meets every entity.
+        """
+        rest = few(questions.select("query")).crossJoin(F.broadcast(best.select("doc"))).join(matches, ["query", "doc"], "left_anti")
+        return matches.select("query", "doc", "score").unionByName(rest.withColumn("score", F.lit(0.0)))
+
+    def first_labels(self, limit: int) -> DataFrame:
+        return self.names().orderBy(tx.fold(F.col("label")), "doc").limit(limit)
+
+    def first_ranks(self, limit: int) -> DataFrame:
+        rows = self.rank_scores().join(self.names(), "doc")
+        return rows.orderBy(F.desc("score"), tx.fold(F.col("label")), "doc").limit(limit)
+
+    def rank_scores(self) -> DataFrame:
+        return self.ranks.select(F.col("entity_id").alias("doc"), F.col("pagerank").alias("score"))
 
     def structural(self, questions: DataFrame) -> DataFrame:
-        return few(questions.select("query")).crossJoin(self.ranks.select(F.col("entity_id").alias("doc"), F.col("pagerank").alias("score")))
+        return few(questions.select("query")).crossJoin(self.rank_scores())
 
     def semantic(self, questions: DataFrame) -> DataFrame:
         return semantic(questions.select("query", self.embed(tx.expand(F.col("question"))).alias("vector")), self.vectors)
@@ -155,20 +178,25 @@ class Retriever:
         """query, doc, score, rank, components (map of the scores that were joined), mode."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
-        single = {"semantic_only": ("semantic", self.semantic), "lexical_only": ("lexical", self.lexical), "structural_only": ("structural", self.structural)}
-        if mode in single:
-            name, score = single[mode]
-            rows = score(questions).withColumn("components", F.create_map(F.lit(name), F.col("score")))
+        limit = max(limit, 0)
+        if mode == "semantic_only":
+            rows = self.semantic(questions).withColumn("components", F.create_map(F.lit("semantic"), F.col("score")))
+        elif mode == "lexical_only":
+            rows = self.with_best(questions, self.matches(questions), self.first_labels(limit)).withColumn("components", F.create_map(F.lit("lexical"), F.col("score")))
+        elif mode == "structural_only":
+            rows = few(questions.select("query")).crossJoin(F.broadcast(self.first_ranks(limit).select("doc", "score"))).withColumn("components", F.create_map(F.lit("structural"), F.col("score")))
         elif mode == "lexical_structural":
-            lexical = normalised(self.lexical(questions).withColumn("raw", F.col("score"))).select("query", "doc", F.col("score").alias("l"), F.col("raw").alias("lr"))
-            structural = normalised(self.structural(questions).withColumn("raw", F.col("score"))).select("query", "doc", F.col("score").alias("s"), F.col("raw").alias("sr"))
-            rows = lexical.join(structural, ["query", "doc"]).select("query", "doc", (0.85 * F.col("l") + 0.15 * F.col("s")).alias("score"), F.create_map(F.lit("lexical"), F.col("lr"), F.lit("structural"), F.col("sr")).alias("components"))
+            top = self.rank_scores().agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
+            lexical = self.with_best(questions, self.matches(questions), self.first_ranks(limit))
+            lexical = normalised(lexical.withColumn("raw", F.col("score"))).select("query", "doc", F.col("score").alias("l"), F.col("raw").alias("lr"))
+            structural = self.rank_scores().select("doc", F.col("score").alias("sr"), (F.col("score") / top if top > 0 else F.lit(0.0)).alias("s"))
+            rows = lexical.join(structural, "doc").select("query", "doc", (0.85 * F.col("l") + 0.15 * F.col("s")).alias("score"), F.create_map(F.lit("lexical"), F.col("lr"), F.lit("structural"), F.col("sr")).alias("components"))
         else:
             lists = [ranked(f(questions), self.names()) for f in (self.semantic, self.lexical, self.structural)]
             fused = rrf([x.select("query", "doc", "rank") for x in lists])
-            rows = fused.where(F.col("rank") <= max(limit, 0)).withColumn("components", F.create_map(F.lit("rrf"), F.col("score")))
+            rows = fused.where(F.col("rank") <= limit).withColumn("components", F.create_map(F.lit("rrf"), F.col("score")))
             return rows.withColumn("mode", F.lit(mode))
-        return ranked(rows, self.names(), max(limit, 0)).withColumn("mode", F.lit(mode))
+        return ranked(rows, self.names(), limit).withColumn("mode", F.lit(mode))
 
     def compare(self, questions: DataFrame, limit: int = 10) -> DataFrame:
         """All modes' results."""

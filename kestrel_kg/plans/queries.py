@@ -415,11 +415,11 @@ def rounded(r: retrieve.Retriever) -> retrieve.Retriever:
     """Scores rounded before they are ranked, so that engines agree on ties."""
 
     class Rounded(retrieve.Retriever):
-        def lexical(self, q):
-            return retrieve.Retriever.lexical(self, q).withColumn("score", r6("score"))
+        def matches(self, q):
+            return retrieve.Retriever.matches(self, q).withColumn("score", r6("score"))
 
-        def structural(self, q):
-            return retrieve.Retriever.structural(self, q).withColumn("score", F.round("score", 9))
+        def rank_scores(self):
+            return retrieve.Retriever.rank_scores(self).withColumn("score", F.round("score", 9))
 
         def semantic(self, q):
             return retrieve.Retriever.semantic(self, q).withColumn("score", r6("score"))
