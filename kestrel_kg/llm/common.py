@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,14 +49,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table from ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class WordHash(dict):
     """word -> 64-bit hash; the cache is emptied when it has grown to ``WORD_CACHE`` words."""
 
@@ -107,7 +98,3 @@ def with_columns(
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [out[f.name] for f in new], names=names + [f.name for f in new])
 
     return docs.select(*[F.col(f"`{n}`") for n in read]).mapInArrow(run, schema)
-
-
-def documents_only(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns])
