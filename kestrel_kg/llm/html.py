@@ -255,7 +255,7 @@ def train(pages: list[list[tuple[str, str, bool]]], *, rounds: int = 8, rate: fl
 
 
 @lru_cache(maxsize=2)
-def default_model(pages: int = 600) -> TreeModel:
+def default_model(pages: int = 800) -> TreeModel:
     """Trained on ``pages`` made pages; the same each time."""
     return train(labelled_pages(pages))
 

@@ -54,6 +54,10 @@ def page(r: random.Random) -> list[tuple[str, str, bool]]:
         inner = r.choice(["li", "p", "div", "span", ""]) if not kind.startswith(("ul", "ol")) else "li"
         if prose:
             inner = r.choice(["p", "div", "li"])
+        if r.random() < 0.4:
+            tag = r.choice(["h2", "h3", "h3", "h4", "strong"])
+            say(f"<{tag}>", words(r, r.randint(1, 5)), False)
+            close(tag)
         wrap = r.choice(["", "", "ul"]) if inner == "li" and not kind.startswith(("ul", "ol")) else ""
         pending += f"<{wrap}>" if wrap else ""
         for _ in range(r.randint(1, 5)):
@@ -67,7 +71,8 @@ def page(r: random.Random) -> list[tuple[str, str, bool]]:
     def furniture(chance: float) -> None:
         for kinds, least, most, links, prose in ((NOTICES, 4, 30, 0.2, False), (ADVERTS, 3, 25, 0.4, False), (FORMS, 1, 5, 0.1, False), (SIDEBARS, 2, 12, 0.7, False), (MENUS, 1, 3, 0.95, False)):
             if r.random() < chance:
-                box(r.choice(kinds), least, most, links, prose)
+                wordy = kinds is not MENUS and r.random() < 0.3
+                box(r.choice(kinds), least, most * (3 if wordy else 1), 0.1 if wordy else links, prose or wordy)
 
     around = [r.choice(WRAPPERS) for _ in range(r.randint(0, 3))]
     if r.random() < 0.6:
