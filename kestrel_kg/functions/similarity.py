@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,21 +39,28 @@ def sorted_ratio(left: str, right: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def best_ratio(left: list[str], right: list[str]) -> float:
+def best_ratio(left: list[str], right: list[str], floor: float = 0.0) -> float:
+    """The largest ratio of two lists' members; ratios under ``floor`` may come out as nought, which spares their computation."""
     if not len(left) or not len(right):
         return 0.0
     if set(left) & set(right):
         return 1.0
-    return max(sorted_ratio(a, b) for a in left for b in right)
+    return max(sorted_ratio(a, b) if bound(a, b) >= floor else 0.0 for a in left for b in right)
 
 
-def best_ratios(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([best_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+def bound(a: str, b: str) -> float:
+    """No ratio of the two is larger: it counts the words' characters that occur in both."""
+    both = sum((Counter(a) & Counter(b)).values())
+    return 2 * both / ((len(a) + len(b)) or 1)
 
 
-def lexical_similarity(left: Column | str, right: Column | str) -> Column:
+def lexical_similarity(left: Column | str, right: Column | str, floor: float = 0.0) -> Column:
     """Largest ratio over two lists of label variants."""
-    return F.pandas_udf(best_ratios, "double")(left, right)
+
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([best_ratio(a, b, floor) for a, b in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratios, "double")(left, right)
 
 
 def hybrid_similarity(lexical: Column, semantic: Column, left_type: Column, right_type: Column, alpha: float) -> Column:

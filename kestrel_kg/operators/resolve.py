@@ -28,13 +28,18 @@ def label_pairs(entities: DataFrame) -> DataFrame:
     return left.join(right, "entity_type").where("left_id < right_id").select("left_id", "right_id")
 
 
-def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.5, *, lexical: bool = True) -> DataFrame:
-    """The pairs with lexical, semantic and hybrid similarity. Without vectors the semantic part is the lexical one."""
+def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.5, *, lexical: bool = True, floor: float = 0.0) -> DataFrame:
+    """The pairs with lexical, semantic and hybrid similarity. Without vectors the semantic part is the lexical one.
+
+    ``floor``: lexical similarities under it may come out as nought; only for entities without vectors may it be the threshold.
+    """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie within 0 and 1")
     of = lambda end: entities.select(F.col("entity_id").alias(f"{end}_id"), F.col("entity_type").alias(f"{end}_type"), F.col("embedding").alias(f"{end}_vector"), tx.entity_variants(F.col("label"), F.col("aliases")).alias(f"{end}_variants"))
     rows = pairs.join(of("left"), "left_id").join(of("right"), "right_id")
-    rows = rows.withColumn("lexical", sim.lexical_similarity("left_variants", "right_variants") if lexical else F.lit(0.0))
+    if lexical:  # small rows, long work: more tasks than their bytes would get
+        rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "left_id", "right_id")
+    rows = rows.withColumn("lexical", sim.lexical_similarity("left_variants", "right_variants", floor) if lexical else F.lit(0.0))
     rows = rows.withColumn("semantic", sim.semantic_similarity(F.col("left_vector"), F.col("right_vector"), F.col("lexical")))
     hybrid = sim.hybrid_similarity(F.col("lexical"), F.col("semantic"), F.col("left_type"), F.col("right_type"), alpha)
     return rows.select("left_id", "right_id", "lexical", "semantic", hybrid.alias("hybrid"))
@@ -99,7 +104,8 @@ def resolve(graph: Graph, *, alpha: float = 0.5, threshold: float = 0.85, pairs:
     """Merge near-duplicate entities; a graph without any comes back as it is."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie within 0 and 1")
-    scored = with_similarity(blocking_pairs(graph.entities) if pairs is None else pairs, graph.entities, alpha, lexical=lexical)
+    floor = 0.0 if graph.entities.where("embedding is not null").limit(1).count() else threshold
+    scored = with_similarity(blocking_pairs(graph.entities) if pairs is None else pairs, graph.entities, alpha, lexical=lexical, floor=floor)
     mapping = canonical_map(graph, scored.where(F.col("hybrid") >= threshold))
     before, after = mapping.agg(F.count("*"), F.countDistinct("component")).first()
     if after == before:

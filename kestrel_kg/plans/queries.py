@@ -289,9 +289,10 @@ def display_ranking(spark, sf_dir):
 
 
 def part_entities(spark, sf_dir):
-    """Part labels in two word orders; a part's number keeps equal ones apart in the id only."""
-    rows = table(spark, sf_dir, "part").where("p_partkey < 200")
-    return rows.select(F.format_string("part_%06d", "p_partkey").alias("entity_id"), F.col("p_partkey").cast("long").alias("ord"), F.concat_ws(" ", "p_brand", "p_name").alias("label"), F.lit("Part").alias("entity_type"), F.lit("").alias("description"), F.array(F.concat_ws(" ", "p_name", "p_brand")).alias("aliases"), F.array(F.col("p_type")).alias("source_chunks"), F.lit(None).cast("array<double>").alias("embedding"), F.lit("{}").alias("metadata"))
+    """The distinct part labels, each with its other word order as an alias and the types of its parts as chunks."""
+    label = F.concat_ws(" ", "p_brand", "p_name")
+    rows = table(spark, sf_dir, "part").groupBy(label.alias("label")).agg(F.min(F.concat_ws(" ", "p_name", "p_brand")).alias("other"), F.min("p_partkey").cast("long").alias("ord"), F.array_sort(F.collect_set("p_type")).alias("source_chunks"))
+    return rows.select(tx.entity_id(F.col("label")).alias("entity_id"), "ord", "label", F.lit("Part").alias("entity_type"), F.lit("").alias("description"), F.array("other").alias("aliases"), "source_chunks", F.lit(None).cast("array<double>").alias("embedding"), F.lit("{}").alias("metadata"))
 
 
 @query
@@ -307,7 +308,7 @@ def candidate_counts(spark, sf_dir):
 @query
 def lexical_pairs(spark, sf_dir):
     entities = part_entities(spark, sf_dir)
-    rows = resolve.with_similarity(resolve.blocking_pairs(entities), entities).where("hybrid >= 0.85")
+    rows = resolve.with_similarity(resolve.blocking_pairs(entities), entities, floor=0.85).where("hybrid >= 0.85")
     return rows.select("left_id", "right_id", r6("lexical").alias("lexical"), r6("hybrid").alias("hybrid"))
 
 
@@ -368,8 +369,7 @@ def redirected_relations(spark, sf_dir):
 
 
 def benchmark_questions(spark, sf_dir) -> DataFrame:
-    text = F.array_join(F.slice(tx.words(F.col("text")), 1, 8), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), text.alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
 
 
 @lru_cache(maxsize=4)
@@ -518,8 +518,8 @@ def source_chunks(spark, sf_dir):
 def eval_rows(spark, sf_dir) -> DataFrame:
     """query, kind and the metrics of the benchmark passages that some document holds: those documents are what is looked for."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    asked = items.select(F.col("item_id").alias("query"), F.substring("text", 1, 40).alias("start"))
-    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("start"))).select("query", F.col("doc_id").cast("string").alias("label"))
+    asked = items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("passage"))).select("query", F.col("doc_id").cast("string").alias("label"))
     found = bm25_topk(spark, sf_dir).select("query", "rank", F.col("doc_id").cast("string").alias("label"))
     return checkpoint(evaluate.retrieval_metrics(found, want))
 
@@ -562,8 +562,8 @@ def eval_relevance(spark, sf_dir):
 @query
 def eval_context(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    asked = items.select(F.col("item_id").alias("query"), F.substring("text", 1, 40).alias("start"))
-    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("start"))).select("query", F.col("doc_id").cast("string").alias("label"))
+    asked = items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("passage"))).select("query", F.col("doc_id").cast("string").alias("label"))
     found = bm25_topk(spark, sf_dir).select("query", "rank", F.col("doc_id").cast("string").alias("label"))
     return evaluate.context_scores(found, want).select("query", r6("context_precision").alias("context_precision"), r6("context_recall").alias("context_recall"))
 
