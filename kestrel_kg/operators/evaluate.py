@@ -39,7 +39,7 @@ def metric_means(metrics: DataFrame, *by: str) -> DataFrame:
 
 
 #: Systems that are compared, and the mode that each of them is.
-BASELINES = {"naive_rag": "lexical_only", "hirag": "hybrid_rrf", "proposed": "lexical_structural"}
+BASELINES = {"naive_rag": "lexical_only", "rank_fusion": "hybrid_rrf", "proposed": "lexical_structural"}
 
 
 def baselines(means: DataFrame) -> DataFrame:
