@@ -23,15 +23,29 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 
+#: The usual groupings of a card: four by four, 4-6-5 or 4-6-4, unbroken. Other digits may stand before or after them.
+FOURS = r"[0-9]{4}(?:[ \-][0-9]{4}){3}"
+CARD = rf"(?:{FOURS}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{4,5}}|[0-9]{{13,19}})"
+#: A group after four by four: the end of a card of 17 to 19 digits, or another number; not the beginning of a longer one.
+TAIL = r"[ \-][0-9]{1,3}(?![A-Za-z0-9_])(?:(?![ ./\-][0-9])|(?= [0-9]{2}/[0-9]{2}(?![0-9/])))"
+#: Characters of an IBAN by country.
+IBANS = dict(
+    zip(
+        "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split(),
+        map(int, "24 23 28 20 28 20 16 22 22 29 28 21 22 28 24 22 18 28 20 29 24 18 18 27 22 22 23 18 27 28 21 28 22 23 23 26 27 30 30 20 28 32 21 20 20 21 25 27 24 22 19 27 31 30 18 15 24 28 29 25 29 24 22 24 31 24 19 24 27 25 28 23 24 26 29 22 24 20".split()),
+        strict=True,
+    )
+)
+
 #: Java patterns; tried in this order at each place.
 FORMS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}(?![A-Za-z0-9_])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|\+[0-9]{1,3}[ .\-]?[0-9]{6,12}",
-    "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
+    "card": rf"(?:{FOURS}{TAIL}|{CARD}(?![A-Za-z0-9_])|(?!(?:[0-9]{{1,12}}[ \-]){{1,12}}{CARD}(?![A-Za-z0-9_]))[0-9](?:[ \-]?[0-9]){{12,18}})",
 }
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
 
@@ -99,13 +113,36 @@ def into_shape(shape: Column, chars: Column, kind: str = "[0-9]") -> Column:
     return F.aggregate(F.split(shape, ""), start, put, lambda s: s["out"])
 
 
+def prefixes(match: Column, least: int) -> Column:
+    """The match and its prefixes that end before a space or hyphen and have ``least`` letters and digits, longest first."""
+    ends = F.filter(F.sequence(F.length(match), F.lit(1), F.lit(-1)), lambda i: (i == F.length(match)) | F.substring(match, i + 1, F.lit(1)).isin(" ", "-"))
+    return F.filter(F.transform(ends, lambda i: F.substring(match, F.lit(1), i)), lambda x: F.length(F.regexp_replace(x, "[^A-Z0-9]", "")) >= least)
+
+
+def first_valid(candidates: Column, valid, made) -> Column:
+    """``made`` of the first valid candidate; null without one."""
+    return once(F.try_element_at(F.filter(candidates, valid), F.lit(1)), lambda x: F.when(x.isNotNull(), made(x)))
+
+
 def card(match: Column, key: str, decrypt: bool) -> Column:
-    def other(digits: Column) -> Column:
-        body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", decrypt)
-        checked = once(body, lambda x: F.concat(x, F.pmod(-luhn_sum(x, 0), F.lit(10)).cast("string")))
-        return F.when((luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike("^0+$"), once(checked, lambda x: into_shape(match, x)))
+    """The first valid of: the match's four by four, the match, its prefixes. Longer numbers that start four by four are permuted among
+    those that are no valid card up to there (by going on to the next one), so that the same digits are found again."""
 
-    return once(digits_of(match), other)
+    def other(found: Column) -> Column:
+        digits = digits_of(found)
+        longer = found.rlike(f"^{FOURS}[ \\-]")
+
+        def permuted(d: Column) -> Column:
+            body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", decrypt)
+            return once(body, lambda x: F.concat(x, F.pmod(-luhn_sum(x, 0), F.lit(10)).cast("string")))
+
+        again = lambda d: longer & (luhn_sum(F.substring(d, 1, 16), 1) % 10 == 0)
+        walked = once(permuted(digits), lambda one: F.when(again(one), F.aggregate(F.sequence(F.lit(1), F.lit(16)), one, lambda d, _: F.when(again(d), permuted(d)).otherwise(d))).otherwise(one))
+        return once(walked, lambda x: F.concat(into_shape(found, x), F.substring(match, F.length(found) + 1, F.length(match))))
+
+    valid = lambda x: (luhn_sum(digits_of(x), 1) % 10 == 0) & ~digits_of(x).rlike("^0+$")
+    fours = F.regexp_extract(match, f"^{FOURS}(?![0-9])", 0)
+    return first_valid(F.concat(F.filter(F.array(fours), lambda x: x != ""), prefixes(match, 13)), valid, other)
 
 
 def mod97(text: Column) -> Column:
@@ -120,18 +157,27 @@ def mod97(text: Column) -> Column:
 
 
 def iban(match: Column, key: str, decrypt: bool) -> Column:
-    """The digits of the account part are permuted, letters stay, the check number is made anew."""
+    """The digits of the account part are permuted, letters stay, the check number is made anew. A match is read up to the length of its
+    country if a group ends there, else whole, else up to a space."""
 
-    def other(text: Column) -> Column:
+    def other(found: Column) -> Column:
+        text = F.regexp_replace(found, " ", "")
         body = F.substring(text, F.lit(5), F.length(text))
-        digits = digits_of(body)
-        fresh = once(permuted_digits(digits, key, "iban", decrypt), lambda x: into_shape(body, x))
+        fresh = once(permuted_digits(digits_of(body), key, "iban", decrypt), lambda x: into_shape(body, x))
         country = F.substring(text, 1, 2)
         checked = once(fresh, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), x))).cast("string"), 2, "0"), x))
-        good = (mod97(text) == 1) & (F.length(digits) > 1) & (F.substring(text, 3, 2).cast("int").between(2, 98))
-        return F.when(good, once(checked, lambda x: into_shape(match, x, "[A-Z0-9]")))
-
-    return once(F.regexp_replace(match, " ", ""), other)
+        return once(checked, lambda x: F.concat(into_shape(found, x, "[A-Z0-9]"), F.substring(match, F.length(found) + 1, F.length(match))))
+
+    def valid(found: Column) -> Column:
+        text = F.regexp_replace(found, " ", "")
+        digits = F.length(digits_of(F.substring(text, F.lit(5), F.length(text))))
+        return (mod97(text) == 1) & (digits > 1) & F.substring(text, 3, 2).cast("int").between(2, 98)
+
+    lengths = F.create_map(*[F.lit(x) for pair in IBANS.items() for x in pair])
+    size = F.try_element_at(lengths, F.substring(match, 1, 2))
+    every = prefixes(match, 12)
+    usual = F.filter(every, lambda x: F.length(F.regexp_replace(x, " ", "")).eqNullSafe(size))
+    return first_valid(F.concat(usual, every), valid, other)
 
 
 def ssn(match: Column, key: str, decrypt: bool) -> Column:

@@ -173,3 +173,35 @@ def test_permutations_are_bijections(spark):
     days = spark.range(36525).select(F.date_format(F.date_add(F.lit("1901-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     made = days.select(pii.date(F.col("d"), "k", False).alias("p"))
     assert made.distinct().count() == 36525 and made.where("p is null or p < '1901-01-01' or p > '2000-12-31'").count() == 0
+
+
+def test_values_beside_other_digits_are_found(spark):
+    def checked(body):
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+    long_card = next(c for c in (checked(f"4111111111111{i:03d}12") for i in range(1000)) if not luhn(c[:16]))
+    texts = [
+        "4111 1111 1111 1111 12/27",
+        "4111111111111111 123",
+        "4111-1111-1111-1111 123 12/27",
+        "3782 822463 10005 4111 1111 1111 1111",
+        "4111 1111 1111 1111 5500 0000 0000 0004",
+        "4111 1111 1111 1111 12/05/1990",
+        "no 12 4111 1111 1111 1111",
+        "4222 222 222 222 12/27",
+        "ES9121000418450200051332 EUR",
+        "ES91 2100 0418 4502 0005 1332 EUR",
+        "GB29 NWBK 6016 1331 9268 19 GBP 20",
+        " ".join(long_card[i : i + 4] for i in range(0, 19, 4)),
+    ]
+    hidden = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key")
+    found = {r.doc_id: r for r in hidden.collect()}
+    for i, text in enumerate(texts):
+        assert re.sub("[0-9]", "9", found[i].text) == re.sub("[0-9]", "9", text)
+        assert not any(v in found[i].text for v in ("4111 1111 1111", "4111-1111-1111", "4111111111111111", "3782 822463", "5500 0000", "4222 222", "2100 0418", "21000418450200051332", "6016 1331", "1990", long_card[:4] + " " + long_card[4:8])), (text, found[i].text)
+    assert [found[i].n_card for i in range(8)] == [1, 1, 1, 2, 2, 1, 1, 1] and found[5].n_date == 1
+    assert found[0].text.endswith(" 12/27") and found[1].text.endswith(" 123") and found[6].text.startswith("no 12 ")
+    assert re.sub("[^0-9]", "", found[0].text)[:16] == found[1].text[:16] == re.sub("[^0-9]", "", found[2].text)[:16]
+    assert [found[i].n_iban for i in (8, 9, 10)] == [1, 1, 1]
+    again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
+    assert all(again[i] == t for i, t in enumerate(texts))
