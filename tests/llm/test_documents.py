@@ -247,3 +247,32 @@ def test_long_texts_are_scored_whole(monkeypatch):
     monkeypatch.setattr(lm, "SEGMENT", 1000)
     parts = list(lm.segments(text))
     assert b"".join(p[lead:] for lead, p, _ in parts) == text and [last for *_, last in parts].count(True) == 1
+
+
+def test_counts_have_no_fixed_capacity(spark):
+    """Contexts never share counts, however many there are and however they are divided into ranges."""
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randrange(1, 120), 3000)) for i in range(200)] + ODD
+    few, many = (sorted((str(x.doc_id), x.n_bytes, x.score) for x in lm.score(spark.createDataFrame(rows, DOCS), table_bits=b, block_bytes=30_000).collect()) for b in (20, 6))
+    assert [x[:2] for x in few] == [x[:2] for x in many] and np.allclose([x[2] for x in few], [x[2] for x in many], rtol=1e-5)
+    documents = [(t or "").encode() for i, t in rows]
+    pairs = np.zeros(257 * 257, np.int64)
+    for b in lm.batches_of(documents):
+        x, coded, _ = lm.symbols_of(b)
+        pairs += np.bincount(lm.later(x, 1, 256)[coded].astype(np.int64) * 257 + x[coded], minlength=len(pairs))
+    code = lm.make_code(pairs.reshape(257, 257))
+    own = lm.Block([i for i, _ in rows], documents, code)
+    asked = list(own.requests(7))
+    tables = own.receive([(k, lm.pressed(lm.path_counts(keys, n.astype(np.int64), code))) for k, keys, n in asked])
+    want = [Counter() for _ in lm.TABLES]
+    found = [{} for _ in lm.TABLES]
+    for part, begin in ((own.documents[: own.trained], 0), (own.documents[own.trained :], own.symbols)):
+        read = own.reader(begin)
+        for batch in lm.batches_of(part):
+            bits = read(batch, code)
+            for k in range(len(lm.TABLES)):
+                for c, node, y, pair, at in zip(bits.raw[k][bits.symbol].tolist(), bits.node.tolist(), bits.value.tolist(), bits.pair[bits.symbol].tolist(), bits.slots(k, 0).tolist(), strict=True):
+                    want[k][c, pair // 257, node, y] += begin == 0
+                    found[k][c, pair // 257, node] = tables[k][at].tolist()
+    for k in range(len(lm.TABLES)):
+        assert all([want[k][*key, 0], want[k][*key, 1]] == n for key, n in found[k].items())
