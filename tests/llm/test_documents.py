@@ -276,3 +276,12 @@ def test_counts_have_no_fixed_capacity(spark):
                     found[k][c, pair // 257, node] = tables[k][at].tolist()
     for k in range(len(lm.TABLES)):
         assert all([want[k][*key, 0], want[k][*key, 1]] == n for key, n in found[k].items())
+
+
+def test_all_training_documents_teach_the_mixer(spark):
+    rows = [(i, f"short text {i} of many") for i in range(900)] + [(5000, "long " * 3000), (5001, None)]
+    docs = lm.blocked(spark.createDataFrame(rows, DOCS), 3)
+    code = spark.sparkContext.broadcast(lm.make_code(np.ones((257, 257), np.int64)))
+    total = lm.mixer_sums(docs, lm.count_contexts(docs, code, 2), code, 2000)
+    assert total[0] == sum(len(t or "") + 1 for i, t in rows if lm.remainder(i) != 2)
+    assert total[-lm.DEPTHS * lm.MAP_CELLS * 2 :].sum() >= total[0]
