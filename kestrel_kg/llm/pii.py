@@ -254,21 +254,29 @@ def date(match: Column, key: str, decrypt: bool) -> Column:
 
 
 def email(match: Column, key: str, decrypt: bool) -> Column:
-    """Up to 22 letters and digits of the local part, as two numbers of base 36; capitals become small; longer parts keep their rest."""
+    """The letters and digits of the local part, in blocks of 22, each as two numbers of base 36 with the blocks before it in the key;
+    capitals become small."""
 
-    def other(chars: Column) -> Column:
+    def permuted(chars: Column, kind: Column) -> Column:
         size = F.length(chars)
         half = F.floor(size / 2).cast("int")
         number = lambda x: F.conv(x, 36, 10).cast("long")
         a, b = F.pow(F.lit(36.0), half).cast("long"), F.pow(F.lit(36.0), size - half).cast("long")
         left = F.when(half > 0, number(F.substring(chars, F.lit(1), half))).otherwise(long(0))
-        mixed = feistel(left, number(F.substring(chars, half + 1, size - half)), a, b, key, "email", decrypt)
+        mixed = feistel(left, number(F.substring(chars, half + 1, size - half)), a, b, key, kind, decrypt)
         base36 = lambda x, n: F.lower(F.lpad(F.conv(x.cast("string"), 10, 36), n, "0"))
-        fresh = once(mixed, lambda s: F.concat(F.when(half > 0, base36(s["l"], half)).otherwise(F.lit("")), base36(s["r"], size - half)))
-        local = F.lower(F.substring_index(match, "@", 1))
-        return once(fresh, lambda x: F.concat(into_shape(local, F.concat(x, F.substring(F.regexp_replace(local, "[^a-z0-9]", ""), size + 1, F.lit(64))), "[a-z0-9]"), F.lit("@"), F.substring_index(match, "@", -1)))
+        return once(mixed, lambda s: F.concat(F.when(half > 0, base36(s["l"], half)).otherwise(F.lit("")), base36(s["r"], size - half)))
+
+    def other(chars: Column) -> Column:
+        def add(out: Column, i: Column) -> Column:
+            before = out if decrypt else F.substring(chars, F.lit(1), i)
+            return F.concat(out, once(F.substring(chars, i + 1, F.lit(22)), lambda x: permuted(x, F.concat(F.lit("email"), before))))
+
+        fresh = F.aggregate(F.sequence(F.lit(0), F.length(chars) - 1, F.lit(22)), F.lit(""), add)
+        return once(fresh, lambda x: F.concat(into_shape(local, x, "[a-z0-9]"), F.lit("@"), F.substring_index(match, "@", -1)))
 
-    chars = F.substring(F.lower(F.regexp_replace(F.substring_index(match, "@", 1), "[^A-Za-z0-9]", "")), 1, 22)
+    local = F.lower(F.substring_index(match, "@", 1))
+    chars = F.regexp_replace(local, "[^a-z0-9]", "")
     return F.when(F.length(chars) > 0, once(chars, other))
 
 

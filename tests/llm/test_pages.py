@@ -205,3 +205,16 @@ def test_values_beside_other_digits_are_found(spark):
     assert [found[i].n_iban for i in (8, 9, 10)] == [1, 1, 1]
     again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
     assert all(again[i] == t for i, t in enumerate(texts))
+
+
+def test_long_local_parts_are_permuted_whole(spark):
+    local = "firstnamefirst.middlenamemiddle.lastnamelastname99.x"
+    texts = [f"{local}@mail.example.com", f"{local[:-1]}y@mail.example.com", f"b{local[1:]}@mail.example.com", "ab@example.com"]
+    hidden = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key")
+    found = {r.doc_id: r.text for r in hidden.collect()}
+    for i in range(3):
+        new = found[i].split("@")[0]
+        assert re.sub("[a-z0-9]", "x", found[i]) == re.sub("[a-z0-9]", "x", texts[i]) and "lastname" not in new and not new.endswith("name99.x")
+    assert found[0].split("@")[0][-22:] != found[2].split("@")[0][-22:] and len(set(found.values())) == 4
+    again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
+    assert all(again[i] == t for i, t in enumerate(texts))
