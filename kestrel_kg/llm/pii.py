@@ -37,6 +37,9 @@ IBANS = dict(
     )
 )
 
+#: International numbers in groups parted alike.
+GROUPED = r"\+[0-9]{1,3}([ .\-])[0-9]{1,7}(?:\1(?![0-9]+(?!\1)[/.\-][0-9])[0-9]{1,7}){1,4}"
+
 #: Java patterns; tried in this order at each place.
 FORMS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
@@ -44,7 +47,7 @@ FORMS = {
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|\+[0-9]{1,3}[ .\-]?[0-9]{6,12}",
+    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}|\+[0-9]{1,3}[ .\-]?[0-9]{6,12}|" + GROUPED,
     "card": rf"(?:{FOURS}{TAIL}|{CARD}(?![A-Za-z0-9_])|(?!(?:[0-9]{{1,12}}[ \-]){{1,12}}{CARD}(?![A-Za-z0-9_]))[0-9](?:[ \-]?[0-9]){{12,18}})",
 }
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
@@ -196,8 +199,11 @@ def ssn(match: Column, key: str, decrypt: bool) -> Column:
 
 
 def phone(match: Column, key: str, decrypt: bool) -> Column:
-    """Country code and the first digits of area and exchange stay, so that the number stays in its plan; other digits are permuted."""
-    international = match.rlike(r"^\+[0-9]{1,3}[ .\-]?[0-9]{6,12}$")
+    """Country code and the first digits of area and exchange stay, so that the number stays in its plan; other digits are permuted.
+    Without a country code the area must be of the plan. Numbers of other plans keep their country code only."""
+    planned = match.rlike(r"^(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}$")
+    grouped = match.rlike(f"^{GROUPED}$") & ~planned & (F.length(digits_of(match)) >= 8)
+    international = match.rlike(r"^\+[0-9]{1,3}[ .\-]?[0-9]{6,12}$") | grouped
     digits = digits_of(match)
 
     def plan(d: Column) -> Column:
@@ -205,14 +211,14 @@ def phone(match: Column, key: str, decrypt: bool) -> Column:
         kept = F.concat(F.substring(d, F.lit(1), head + 1))
         free = F.concat(F.substring(d, head + 2, F.lit(2)), F.substring(d, head + 5, F.lit(6)))
         fresh = once(permuted_digits(free, key, "phone", decrypt), lambda x: F.concat(kept, F.substring(x, 1, 2), F.substring(d, head + 4, F.lit(1)), F.substring(x, 3, 6)))
-        return F.when(F.substring(d, head + 1, F.lit(1)).rlike("[2-9]"), once(fresh, lambda x: into_shape(match, x)))
+        return F.when(match.startswith("+") | F.substring(d, head + 1, F.lit(1)).rlike("[2-9]"), once(fresh, lambda x: into_shape(match, x)))
 
     def free_form(d: Column) -> Column:
         head = F.greatest(F.length(F.regexp_extract(match, r"^\+([0-9]{1,3})(?:[ .\-])", 1)), F.lit(1))
         fresh = once(permuted_digits(F.substring(d, head + 1, F.length(d)), key, "line", decrypt), lambda x: F.concat(F.substring(d, F.lit(1), head), x))
         return once(fresh, lambda x: into_shape(match, x))
 
-    return F.when(international, once(digits, free_form)).otherwise(once(digits, plan))
+    return F.when(international, once(digits, free_form)).when(planned, once(digits, plan))
 
 
 def ip(match: Column, key: str, decrypt: bool) -> Column:

@@ -218,3 +218,15 @@ def test_long_local_parts_are_permuted_whole(spark):
     assert found[0].split("@")[0][-22:] != found[2].split("@")[0][-22:] and len(set(found.values())) == 4
     again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
     assert all(again[i] == t for i, t in enumerate(texts))
+
+
+def test_phones_of_other_plans_are_found(spark):
+    texts = ["call +1 (017) 555-7713 now", "+44 20 7946 0958", "+33 1 23 45 67 89, +49 171 1234567", "+44 20 7946 0958 12/05/1990", "+1 415 555 2671", "sum +1 2 3"]
+    hidden = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key")
+    found = {r.doc_id: r for r in hidden.collect()}
+    assert [found[i].n_phone for i in range(6)] == [1, 1, 2, 1, 1, 0] and found[3].n_date == 1
+    for i, text in enumerate(texts):
+        assert re.sub("[0-9]", "9", found[i].text) == re.sub("[0-9]", "9", text) and (found[i].text == text) == (i == 5)
+    assert found[0].text.startswith("call +1 (0") and found[1].text.startswith("+44 ")
+    again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
+    assert all(again[i] == t for i, t in enumerate(texts))
