@@ -1,7 +1,6 @@
-"""Quality rules, decontamination, line dedup, packing, scores: each against a brute-force version."""
+"""Quality rules, decontamination, line dedup, packing: each against a brute-force version."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -11,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel_kg.llm import decontaminate, linededup, lm, packing, quality, tokens
+from kestrel_kg.llm import decontaminate, linededup, packing, quality, tokens
 
 DOCS, ITEMS, LABELS = "doc_id long, text string", "item_id long, text string", "doc_id long, quality int, toxic int"
 ODD = [(900, None), (901, ""), (902, " \n\t\n "), (903, "one"), (904, "é" * 70_000 + " end"), (None, "no id at all"), (905, "same same"), (905, "same same")]
@@ -193,95 +192,3 @@ def test_fast_tokens_are_the_file_s_tokens():
     for _ in range(300):
         text = "".join(r.choice(alphabet) for _ in range(r.randrange(0, 60)))
         assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids, text
-
-
-# --- scores
-
-
-def test_scores(spark):
-    r = random.Random(8)
-    rows = [x for x in ODD if x[0] != 905] + [(i, prose(r, r.randrange(0, 120), 60).capitalize() + "\n" + prose(r, 5, 60)) for i in range(150)]
-    found = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, DOCS), table_bits=14, mixer_bytes=20_000).collect()}
-    words = {i: [*split(lower(t)), None] for i, t in rows}
-    counts = Counter(w for i, _ in rows for w in words[i] if lm.remainder(i) != 2)
-    n, v = sum(counts.values()), len(counts)
-    better = []
-    for i, _ in rows:
-        x = found[i]
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (lm.remainder(i) == 2, len(words[i]), sum(counts[w] > 0 for w in words[i]), n)
-        assert x.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words[i]))
-        assert x.score < 0
-        if x.held_out and x.n_tokens > 40:
-            better.append(x.bits_per_byte)
-    assert np.mean(better) < 3
-    assert lm.score(spark.createDataFrame([], DOCS), table_bits=14).count() == 0
-
-
-def test_codes_are_complete_and_causal():
-    r = random.Random(9)
-    texts = [prose(r, 40).encode() for _ in range(30)]
-    pairs = np.zeros(257 * 257, np.int64)
-    for b in lm.batches_of(texts):
-        x, coded, _ = lm.symbols_of(b)
-        pairs += np.bincount(lm.later(x, 1, 256)[coded].astype(np.int64) * 257 + x[coded], minlength=len(pairs))
-    code = lm.make_code(pairs.reshape(257, 257))
-    counts = [np.zeros((1 << (14 + d), 2), np.int32) for d in lm.TABLES]
-    for b in lm.batches_of(texts):
-        bits = lm.encode(b, code)
-        for k, t in enumerate(counts):
-            np.add.at(t, (bits.slots(k, len(t).bit_length() - 1), bits.value), 1)
-    model = lm.Model(code, [lm.packed(c) for c in counts], lm.fit_mixer(texts, code, counts))
-    start = texts[0][:30]
-    # the first decisions of a text don't depend on what follows it
-    a, b = lm.encode(next(lm.batches_of([start])), code), lm.encode(next(lm.batches_of([start + b"x"])), code)
-    n = int(code.length[np.array([256, *start[:-1]]) * 257 + np.array(list(start))].sum())
-    assert all((a.slots(k, 12)[:n] == b.slots(k, 12)[:n]).all() for k in range(4)) and model.score([start])[0] < 0
-    for row in range(0, 257, 16):
-        lengths = code.length[row * 257 : (row + 1) * 257]
-        assert (2.0 ** -lengths).sum() == pytest.approx(1)
-
-
-def test_long_texts_are_scored_whole(monkeypatch):
-    text = (b"some words that come again " * 400)[:9000]
-    parts = list(lm.segments(text))
-    monkeypatch.setattr(lm, "SEGMENT", 1000)
-    parts = list(lm.segments(text))
-    assert b"".join(p[lead:] for lead, p, _ in parts) == text and [last for *_, last in parts].count(True) == 1
-
-
-def test_counts_have_no_fixed_capacity(spark):
-    """Contexts never share counts, however many there are and however they are divided into ranges."""
-    r = random.Random(12)
-    rows = [(i, prose(r, r.randrange(1, 120), 3000)) for i in range(200)] + ODD
-    few, many = (sorted((str(x.doc_id), x.n_bytes, x.score) for x in lm.score(spark.createDataFrame(rows, DOCS), table_bits=b, block_bytes=30_000).collect()) for b in (20, 6))
-    assert [x[:2] for x in few] == [x[:2] for x in many] and np.allclose([x[2] for x in few], [x[2] for x in many], rtol=1e-5)
-    documents = [(t or "").encode() for i, t in rows]
-    pairs = np.zeros(257 * 257, np.int64)
-    for b in lm.batches_of(documents):
-        x, coded, _ = lm.symbols_of(b)
-        pairs += np.bincount(lm.later(x, 1, 256)[coded].astype(np.int64) * 257 + x[coded], minlength=len(pairs))
-    code = lm.make_code(pairs.reshape(257, 257))
-    own = lm.Block([i for i, _ in rows], documents, code)
-    asked = list(own.requests(7))
-    tables = own.receive([(k, lm.pressed(lm.path_counts(keys, n.astype(np.int64), code))) for k, keys, n in asked])
-    want = [Counter() for _ in lm.TABLES]
-    found = [{} for _ in lm.TABLES]
-    for part, begin in ((own.documents[: own.trained], 0), (own.documents[own.trained :], own.symbols)):
-        read = own.reader(begin)
-        for batch in lm.batches_of(part):
-            bits = read(batch, code)
-            for k in range(len(lm.TABLES)):
-                for c, node, y, pair, at in zip(bits.raw[k][bits.symbol].tolist(), bits.node.tolist(), bits.value.tolist(), bits.pair[bits.symbol].tolist(), bits.slots(k, 0).tolist(), strict=True):
-                    want[k][c, pair // 257, node, y] += begin == 0
-                    found[k][c, pair // 257, node] = tables[k][at].tolist()
-    for k in range(len(lm.TABLES)):
-        assert all([want[k][*key, 0], want[k][*key, 1]] == n for key, n in found[k].items())
-
-
-def test_all_training_documents_teach_the_mixer(spark):
-    rows = [(i, f"short text {i} of many") for i in range(900)] + [(5000, "long " * 3000), (5001, None)]
-    docs = lm.blocked(spark.createDataFrame(rows, DOCS), 3)
-    code = spark.sparkContext.broadcast(lm.make_code(np.ones((257, 257), np.int64)))
-    total = lm.mixer_sums(docs, lm.count_contexts(docs, code, 2), code, 2000)
-    assert total[0] == sum(len(t or "") + 1 for i, t in rows if lm.remainder(i) != 2)
-    assert total[-lm.DEPTHS * lm.MAP_CELLS * 2 :].sum() >= total[0]
