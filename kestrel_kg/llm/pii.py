@@ -2,7 +2,7 @@
 
 Values are found by one pattern, validated (Luhn, mod 97, octets, calendar, number plans) and replaced by a permutation of the set of
 all valid values of their own form: a card number becomes another of equal length, grouping and valid check digit, a date another date
-of the same century and notation, and so on. A permutation maps equal values to equal pseudonyms in every document, and no two to one,
+of the same century and notation (order, widths), a letter of an address another one, large or small as it was, and so on. A permutation maps equal values to equal pseudonyms in every document, and no two to one,
 so links stay. With the key it can be undone (``decrypt=True``). What fails validation stays as it is.
 
 A permutation splits a value into two numbers below ``a`` and ``b`` and adds, modulo ``a`` and ``b`` in turn, a keyed SHA-256 of the
@@ -42,7 +42,7 @@ GROUPED = r"\+[0-9]{1,3}([ .\-])[0-9]{1,7}(?:\1(?![0-9]+(?!\1)[/.\-][0-9])[0-9]{
 
 #: Java patterns; tried in this order at each place.
 FORMS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,125}\.[A-Za-z]{2,24}",
     "iban": r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}(?![A-Za-z0-9_])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
@@ -52,12 +52,16 @@ FORMS = {
 }
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
 
+#: Steps of a walk; letters and the digits that stand for them in base 26.
+WALK = 200
+ALPHABET, BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+
 long = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x.cast("long")
 
 
-def keyed(key: str, kind: str, step: Column, value: Column) -> Column:
+def keyed(key: str, kind: str | Column, step: Column, value: Column) -> Column:
     """A 60-bit number from the key, the form, the round and the other half."""
-    text = F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), value.cast("string"))
+    text = F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), step.cast("string"), value.cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
@@ -232,58 +236,83 @@ def ip(match: Column, key: str, decrypt: bool) -> Column:
 
 
 def date(match: Column, key: str, decrypt: bool) -> Column:
-    """The days of 1901-2000 (36525 = 75 * 487) and of 2001-2100 (36524 = 92 * 397) are permuted each. Numbers between slashes are
-    read day first where that is a date, else month first, and written in the same order (with leading zeros); a pseudonym written
-    month first may read as a date day first, so that order alone can't always be undone."""
+    """The days of each century (from its year 01 to its year 00; 36525 = 75 * 487 of them or 36524 = 92 * 397, and 36159 = 51 * 709 in the
+    last one, which ends with 9999) are permuted. Numbers between slashes are read day first where that is a date, else month first.
+
+    A notation is the order and the widths of day and month. Where it can't write every day (``1.3.1987``; a day over 12 after the month)
+    the permutation goes on until it meets a day that it can, which permutes those days. ``WALK`` steps leave less than one in 1e21 out."""
     iso = match.rlike("^[0-9]{4}")
     n = F.split(match, "[-./]")
-    p = [F.try_element_at(n, F.lit(i)).cast("int") for i in (1, 2, 3)]
-    text = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    day_first = text(p[2], p[1], p[0])
-    month_first = F.when(match.contains("/") & (p[1] > 12), text(p[2], p[0], p[1]))
-    mark = F.regexp_extract(match, "[-./]", 0)
+    p = [F.try_element_at(n, F.lit(i)) for i in (1, 2, 3)]
+    number = [x.cast("int") for x in p]
+    text = lambda y, m, d: F.when(y > 0, F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
+    day_first = text(number[2], number[1], number[0])
+    month_first = F.when(match.contains("/") & (number[1] > 12), text(number[2], number[0], number[1]))
+    american = day_first.isNull() & ~iso
 
     def permute(day: Column) -> Column:
-        first = F.when(F.year(day) > 2000, F.lit("2001-01-01")).otherwise(F.lit("1901-01-01")).cast("date")
-        late = F.year(day) > 2000
-        a, b = F.when(late, long(92)).otherwise(long(75)), F.when(late, long(397)).otherwise(long(487))
+        from_year = F.floor((F.year(day) - 1) / 100) * 100 + 1
+        first = F.make_date(from_year.cast("int"), F.lit(1), F.lit(1))
+        size = F.when(from_year == 9901, 2).when((from_year + 99) % 400 == 0, 1).otherwise(0)
+        a, b = (F.when(size == 2, long(x)).when(size == 1, long(y)).otherwise(long(z)) for x, y, z in ((51, 75, 92), (709, 487, 397)))
         at = F.datediff(day, first).cast("long")
-        mixed = feistel(F.floor(at / b), at % b, a, b, key, "date", decrypt)
-        return F.when(F.year(day).between(1901, 2100), once(mixed, lambda s: F.date_add(first, (s["l"] * b + s["r"]).cast("int"))))
+        mixed = feistel(F.floor(at / b), at % b, a, b, key, F.concat(F.lit("date"), from_year.cast("string")), decrypt)
+        return once(mixed, lambda s: F.date_add(first, (s["l"] * b + s["r"]).cast("int")))
 
-    written = lambda day, parts: F.concat_ws("", *[mark if x == "-" else F.date_format(day, x) for x in parts])
-    year_first = once(permute(text(p[0], p[1], p[2])), lambda d: written(d, ("yyyy", "-", "MM", "-", "dd")))
-    plain = once(permute(day_first), lambda d: written(d, ("dd", "-", "MM", "-", "yyyy")))
-    american = once(permute(month_first), lambda d: written(d, ("MM", "-", "dd", "-", "yyyy")))
-    full = lambda x: F.when(F.length(x) == 10, x)
-    return F.when(iso, full(year_first)).when(day_first.isNotNull(), full(plain)).otherwise(full(american))
+    def writable(day: Column) -> Column:
+        """Can the match's notation write the day, and is it read back?"""
+        d, m = F.when(american, F.length(p[1])).otherwise(F.length(p[0])), F.when(american, F.length(p[0])).otherwise(F.length(p[1]))
+        return iso | (((d > 1) | (F.dayofmonth(day) < 10)) & ((m > 1) | (F.month(day) < 10)) & (~american | (F.dayofmonth(day) > 12)))
+
+    def walked(day: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permute(day), lambda d, _: F.when(writable(d), d).otherwise(permute(d)))
+
+    mark = F.regexp_extract(match, "[-./]", 0)
+    wide = lambda x, like: F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), F.length(like)), "0")
+
+    def written(day: Column) -> Column:
+        d, m, y = F.dayofmonth(day), F.month(day), F.lpad(F.year(day).cast("string"), 4, "0")
+        forms = (y, mark, wide(m, p[1]), mark, wide(d, p[2])), (wide(m, p[0]), mark, wide(d, p[1]), mark, y), (wide(d, p[0]), mark, wide(m, p[1]), mark, y)
+        return F.when(iso, F.concat(*forms[0])).when(american, F.concat(*forms[1])).otherwise(F.concat(*forms[2]))
+
+    start = F.when(iso, text(number[0], number[1], number[2])).otherwise(F.coalesce(day_first, month_first))
+    return once(start, lambda day: F.when(day.isNotNull(), once(walked(day), lambda found: F.when(writable(found), written(found)))))
 
 
 def email(match: Column, key: str, decrypt: bool) -> Column:
-    """The letters and digits of the local part, in blocks of 22, each as two numbers of base 36 with the blocks before it in the key;
-    capitals become small."""
+    """The letters of the local part, in blocks of 22, each as two numbers of base 26 with the blocks before it in the key, and its
+    digits in blocks of 36 likewise. A letter stays as large or small as it is; equal addresses differing in that alone stay linked."""
 
-    def permuted(chars: Column, kind: Column) -> Column:
+    def letters(chars: Column, kind: Column) -> Column:
         size = F.length(chars)
         half = F.floor(size / 2).cast("int")
-        number = lambda x: F.conv(x, 36, 10).cast("long")
-        a, b = F.pow(F.lit(36.0), half).cast("long"), F.pow(F.lit(36.0), size - half).cast("long")
+        number = lambda x: F.conv(F.translate(x, ALPHABET, BASE26), 26, 10).cast("long")
+        a, b = F.pow(F.lit(26.0), half).cast("long"), F.pow(F.lit(26.0), size - half).cast("long")
         left = F.when(half > 0, number(F.substring(chars, F.lit(1), half))).otherwise(long(0))
         mixed = feistel(left, number(F.substring(chars, half + 1, size - half)), a, b, key, kind, decrypt)
-        base36 = lambda x, n: F.lower(F.lpad(F.conv(x.cast("string"), 10, 36), n, "0"))
-        return once(mixed, lambda s: F.concat(F.when(half > 0, base36(s["l"], half)).otherwise(F.lit("")), base36(s["r"], size - half)))
+        base26 = lambda x, n: F.translate(F.lower(F.lpad(F.conv(x.cast("string"), 10, 26), n, "0")), BASE26, ALPHABET)
+        return once(mixed, lambda s: F.concat(F.when(half > 0, base26(s["l"], half)).otherwise(F.lit("")), base26(s["r"], size - half)))
+
+    def digits(chars: Column, kind: Column) -> Column:
+        one = feistel(long(0), chars.cast("long"), long(1), long(10), key, kind, decrypt)
+        return F.when(F.length(chars) > 1, permuted_digits(chars, key, kind, decrypt)).otherwise(one["r"].cast("string"))
 
-    def other(chars: Column) -> Column:
+    def in_blocks(chars: Column, function, size: int, kind: str) -> Column:
         def add(out: Column, i: Column) -> Column:
             before = out if decrypt else F.substring(chars, F.lit(1), i)
-            return F.concat(out, once(F.substring(chars, i + 1, F.lit(22)), lambda x: permuted(x, F.concat(F.lit("email"), before))))
+            return F.concat(out, once(F.substring(chars, i + 1, F.lit(size)), lambda x: function(x, F.concat(F.lit(kind), before))))
+
+        return F.when(F.length(chars) > 0, F.aggregate(F.sequence(F.lit(0), F.length(chars) - 1, F.lit(size)), F.lit(""), add)).otherwise("")
+
+    local = F.substring_index(match, "@", 1)
+    found = [F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), F.regexp_replace(local, "[^0-9]", "")]
+    fresh = F.struct(in_blocks(found[0], letters, 22, "email").alias("a"), in_blocks(found[1], digits, 36, "email9").alias("n"))
 
-        fresh = F.aggregate(F.sequence(F.lit(0), F.length(chars) - 1, F.lit(22)), F.lit(""), add)
-        return once(fresh, lambda x: F.concat(into_shape(local, x, "[a-z0-9]"), F.lit("@"), F.substring_index(match, "@", -1)))
+    def put(x: Column) -> Column:
+        plain = into_shape(into_shape(local, x["a"], "[A-Za-z]"), x["n"])
+        return F.array_join(F.zip_with(F.split(local, ""), F.split(plain, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
 
-    local = F.lower(F.substring_index(match, "@", 1))
-    chars = F.regexp_replace(local, "[^a-z0-9]", "")
-    return F.when(F.length(chars) > 0, once(chars, other))
+    return F.when(local.rlike("[A-Za-z0-9]"), F.concat(once(fresh, put), F.lit("@"), F.substring_index(match, "@", -1)))
 
 
 def replaced(match: Column, key: str, decrypt: bool) -> Column:

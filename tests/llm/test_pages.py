@@ -230,3 +230,75 @@ def test_phones_of_other_plans_are_found(spark):
     assert found[0].text.startswith("call +1 (0") and found[1].text.startswith("+44 ")
     again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
     assert all(again[i] == t for i, t in enumerate(texts))
+
+
+# --- pseudonyms against an independent computation
+
+
+def rounds(left, right, a, b, key, kind, sign=1):
+    def f(i, value):
+        return int(hashlib.sha256(f"{key}|{kind}|{i}|{value}".encode()).hexdigest()[:15], 16)
+
+    for i in range(1, 11):
+        if i % 2:
+            left = (left + sign * (f(i, right) % a)) % a
+        else:
+            right = (right + sign * (f(i, left) % b)) % b
+    return left, right
+
+
+def same_century(day, key):
+    first = (day.year - 1) // 100 * 100 + 1
+    a, b = (51, 709) if first == 9901 else (75, 487) if (first + 99) % 400 == 0 else (92, 397)
+    start = datetime.date(first, 1, 1)
+    x, y = rounds(*divmod((day - start).days, b), a, b, key, f"date{first}")
+    return start + datetime.timedelta(x * b + y)
+
+
+def other_date(text, key):
+    """The pseudonym of a dotted or slashed date, or itself."""
+    mark = "/" if "/" in text else "."
+    p, q, y = text.split(mark)
+    for d, m, american in ((p, q, False), (q, p, True)):
+        try:
+            day = datetime.date(int(y), int(m), int(d))
+        except ValueError:
+            continue
+        if american and (mark == "." or int(q) <= 12):
+            return text
+        while True:
+            day = same_century(day, key)
+            if (len(d) > 1 or day.day < 10) and (len(m) > 1 or day.month < 10) and (not american or day.day > 12):
+                out = (f"{day.day:0{len(d)}d}", f"{day.month:0{len(m)}d}")
+                return mark.join([*(out[::-1] if american else out), f"{day.year:04d}"])
+    return text
+
+
+def test_dates_and_addresses_are_those_of_the_rule(spark):
+    r = random.Random(21)
+    days = [f"{r.randrange(1, 33):0{r.randrange(1, 3)}d}{mark}{r.randrange(1, 14):0{r.randrange(1, 3)}d}{mark}{r.randrange(0, 10000):04d}" for _ in range(120) for mark in "./"]
+    days += [f"{m:02d}/{d:02d}/1987" for m in (1, 5, 12) for d in (13, 28, 31)] + ["1.3.1987", "05/31/1987", "29.02.2000", "29.02.1900", "31.12.9999", "01.01.0001"]
+    names = ["John.Smith", "a", "7", "x9.Y8_Z7", "abcdefghijklmnopqrstuvwxyz" * 2, "1" * 40 + "b", "._%"]
+    texts = [*days, *(f"{n}@Mail.example.com" for n in names)]
+    hidden = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key")
+    found = {r.doc_id: r.text for r in hidden.collect()}
+    for i, day in enumerate(days):
+        assert found[i] == other_date(day, "key"), day
+    for i, name in enumerate(names, len(days)):
+        new, _, domain = found[i].partition("@")
+        shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+        assert shape(new) == shape(name) and domain == "Mail.example.com"
+    place = lambda word: sum((ord(c) - 97) * 26 ** (len(word) - 1 - k) for k, c in enumerate(word))
+    left, right = rounds(place("john"), place("smith"), 26**4, 26**5, "key", "email")
+    letters = "".join(chr(97 + left // 26 ** (3 - k) % 26) for k in range(4)) + "".join(chr(97 + right // 26 ** (4 - k) % 26) for k in range(5))
+    assert found[len(days)].split("@")[0].replace(".", "").lower() == letters
+    again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
+    assert [again[i] for i in range(len(texts))] == texts
+
+
+def test_long_chains_of_labels_and_repeated_rows(spark):
+    long = "see x@" + "a." * 200_000
+    rows = [(1, long), (2, "mail a.b@" + "c." * 40 + "de"), (3, "12.05.1899"), (3, "12.05.1899"), (None, "12.05.1899")]
+    found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    assert {r.text for r in found if r.doc_id == 1} == {long} and [r.n_email for r in found if r.doc_id == 2] == [1]
+    assert len({r.text for r in found if r.doc_id in (3, None)}) == 1 and len(found) == 5
