@@ -6,7 +6,8 @@ potentials by the child's sort. Sum-product messages go up from the leaves and d
 marginal, and blocks of at least 1/2 are the text. The potentials are trained on labelled pages (``html_pages``, or given ones) by
 gradient steps on the exact likelihood, whose expectations come from the same messages.
 
-Text rules: scripts, styles, comments, templates and the head are no text. Character references are decoded. A block ends where a
+Text rules: scripts, styles, comments, templates and the head are no text; what noscript and xmp hold is. A tag without its end is
+none, and neither is what follows it. Character references are decoded. A block ends where a
 block element begins or ends; a line break is white space. White space inside a block becomes one space, and the blocks are joined in
 page order by one space.
 
@@ -30,13 +31,16 @@ from .common import with_columns
 from .html_pages import labelled_pages
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|template|iframe|noembed|noframes|noscript|svg|xmp)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"(<!--.*?(?:-->|(?P<open>\Z)))"
+    r"|<(script|style|title|textarea|template|iframe|noembed|noframes|svg|xmp)(?=[\s/>])[^>]*+>(.*?)(?:</\3\s*>|(?P<cut>\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+#: The same without quoted values: once a quotation mark stays open, it would be looked for from every later tag to the end.
+PLAIN = re.compile(TOKEN.pattern.replace(r"""((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>""", "([^>]*+)>", 1), re.S | re.I)
+UNCLOSED = re.compile(r"<[a-zA-Z!?/]")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCKS = frozenset(
@@ -64,16 +68,26 @@ class Page:
         self.open = [0]
         self.run: list[str] = []
         self.links = self.link_chars = 0
-        at = 0
-        for m in TOKEN.finditer(html):
+        # nothing after the last ">" can be a tag; a tag left open there goes to the end
+        at, last, token = 0, html.rfind(">") + 1, TOKEN
+        while at < last and (m := token.search(html, at, last)):
             if m.start() > at:
                 self._say(html[at : m.start()])
             at = m.end()
-            name = m.group(3) or m.group(6)
+            name = m.group(7) or m.group(10)
             if name:
-                self._tag(name.lower(), bool(m.group(2) or m.group(5)), m.group(4) or m.group(7) or "")
-        if at < len(html):
-            self._say(html[at:])
+                self._tag(name.lower(), bool(m.group(6) or m.group(9)), m.group(8) or m.group(11) or "")
+                token = PLAIN if m.group(10) else token
+            elif m.group("open") is not None or m.group("cut") is not None:
+                at = len(html)
+            if (m.group(3) or "").lower() == "xmp":  # text as it stands
+                self._tag("pre", False, "")
+                self._say(html[m.start(4) : m.end(4) if m.group("cut") is None else len(html)].replace("&", "&amp;"))
+                self._tag("pre", True, "")
+        m = UNCLOSED.search(html, max(at, last))
+        end = m.start() if m else len(html)
+        if at < end:
+            self._say(html[at:end])
         self._flush()
 
     def _say(self, text: str) -> None:
@@ -98,24 +112,26 @@ class Page:
 
     def _tag(self, name: str, closing: bool, attributes: str) -> None:
         if name == "a":
-            self.links = 0 if closing else 1
+            # a link lasts over blocks inside it, and no longer than the block that it begins in
+            self.links = 0 if closing else len(self.open)
         elif name == "br":
             self.run.append(" ")
         if name not in BLOCKS:
             return
         self._flush()
-        self.links = 0
         if closing:
             if name not in ("html", "body"):
                 for k in range(len(self.open) - 1, 0, -1):
                     if self.name[self.open[k]] == name:
                         del self.open[k:]
                         break
+            self.links = self.links if len(self.open) >= self.links else 0
             return
         if name in CLOSES_P:
             self._end({"p"}, {"td", "th", "button", "table", "li", "div", "article", "section"})
         if name in ENDS:
             self._end(*ENDS[name])
+        self.links = self.links if len(self.open) >= self.links else 0
         if name in ("html", "body", "head") and any(self.name[i] == name for i in self.open):
             return
         if name == "body":

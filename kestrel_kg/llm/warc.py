@@ -1,13 +1,14 @@
 """Dictionary-compressed WARC archives.
 
-An archive is a run of records. A Zstandard dictionary is trained from its records' payloads, stored in a leading skippable frame
+An archive is a run of records. A Zstandard dictionary is trained from its records, stored in a leading skippable frame
 (magic 0x184D2A5D), and each record is compressed as a frame of its own with that dictionary, so a reader can start at any record.
 Of records with equal payloads the one of smallest page_id is a ``response``, the others are ``revisit`` records without payload
 that name it; if several rows have that smallest id, all of them are responses.
 
 Archives are rows (archive, n_records, content) of a table in the shared folder, a file's bytes each: Spark's own writer commits
 them, so a lost executor leaves no half file, and ``export`` writes them out as files. Limits: an archive is closed at
-``archive_bytes`` of record bytes; its dictionary is trained from at most ``sample_bytes`` of its payloads.
+``archive_bytes`` of record bytes; its dictionary is trained from whole records, every n-th of them, so that they make about
+``sample_bytes``.
 
 Cases: null html is an empty payload; empty payloads are equal payloads. Null ids sort after all others. An empty table gives no
 archives. Extra columns aren't read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import os
 import struct
 import uuid
@@ -78,12 +80,18 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("an archive starts with its dictionary")
     held = content[8 : 8 + size]
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held) if held else None)
-    rest = memoryview(content)[8 + size :]
-    while rest:
-        one = reader.decompressobj()
-        data = one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :] if one.unused_data else rest[:0]
-        head, _, block = data.partition(b"\r\n\r\n")
+    whole, at = memoryview(content), 8 + size
+    while at < len(whole):
+        # in slices that grow with the frame: what a frame leaves unread is copied, so never hand over the whole rest
+        one, parts, step = reader.decompressobj(), [], 4096
+        while not one.eof:
+            if at >= len(whole):
+                raise ValueError("an archive ends within a record")
+            parts.append(one.decompress(whole[at : at + step]))
+            at = min(at + step, len(whole))
+            step *= 2
+        at -= len(one.unused_data)
+        head, _, block = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield fields, block[: int(fields["Content-Length"])]
 
@@ -110,10 +118,11 @@ def write(pages: DataFrame, *, archive_bytes: int = 32 << 20, sample_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, records, samples, size, sampled = TaskContext.get().partitionId(), 0, [], [], 0, 0
+        part, number, records, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
             name = f"part-{part:05d}-{number:05d}.warc.zst"
+            samples = records[:: math.ceil(size / sample_bytes)]
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)]), pa.array([archive(records, samples, dictionary_bytes, level)], pa.binary())], names=["archive", "n_records", "content"])
 
         for batch in batches:
@@ -123,12 +132,9 @@ def write(pages: DataFrame, *, archive_bytes: int = 32 << 20, sample_bytes: int
                 made = record(pages[i], urls[i], payload, digest(payload), firsts[i], revisits[i])
                 records.append(made)
                 size += len(made)
-                if payload and sampled < sample_bytes and not revisits[i]:
-                    samples.append(payload[: sample_bytes - sampled])
-                    sampled += len(samples[-1])
                 if size >= archive_bytes:
                     yield close()
-                    number, records, samples, size, sampled = number + 1, [], [], 0, 0
+                    number, records, size = number + 1, [], 0
         if records:
             yield close()
 
