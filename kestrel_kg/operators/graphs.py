@@ -1,14 +1,10 @@
 """Graph measures: degrees, PageRank, components, neighbourhoods, subgraphs.
 
-PageRank and components have two physical forms with equal results. If the edges number at most ``SMALL`` (a counted bound), they are
-read into arrays and iterated there, because a distributed step costs about a second whatever its size; else every step is a join and
-an aggregation whose lineage is cut by a checkpoint.
+Every step of PageRank and components is a join and an aggregation in one job, whose lineage is cut by a checkpoint.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +12,6 @@ from ..functions import text as tx
 from ..session import checkpoint
 from .model import Graph
 
-SMALL = 1_000_000
-
 
 def nodes_of(graph: Graph) -> DataFrame:
     return graph.entities.select(F.col("entity_id").alias("node"))
@@ -27,48 +21,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("dst", "src")).distinct()
 
 
-def arrays(nodes: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Sorted node names and the edges as places in them, or None if there are more than ``SMALL`` of either."""
-    if edges.limit(SMALL + 1).count() > SMALL or nodes.limit(SMALL + 1).count() > SMALL:
-        return None
-    names = np.sort(nodes.toPandas()["node"].to_numpy(dtype=object).astype(str))
-    pairs = edges.toPandas()
-    return names, np.searchsorted(names, pairs["src"].to_numpy(dtype=object).astype(str)), np.searchsorted(names, pairs["dst"].to_numpy(dtype=object).astype(str))
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, max_steps: int = 200, tolerance: float = 1e-6, fixed_steps: int | None = None) -> DataFrame:
     """node, pagerank: uniform teleport, uniform spread of dangling mass, until the L1 change is under ``tolerance`` a node."""
-    small = arrays(nodes, edges)
-    spark = nodes.sparkSession
-    if small is not None:
-        names, src, dst = small
-        n = len(names)
-        if not n:
-            return spark.createDataFrame([], "node string, pagerank double")
-        out = np.bincount(src, minlength=n).astype(float)
-        rank = np.full(n, 1 / n)
-        for _ in range(fixed_steps or max_steps):
-            share = np.divide(rank, out, out=np.zeros(n), where=out > 0)
-            new = alpha * (np.bincount(dst, share[src], n) + rank[out == 0].sum() / n) + (1 - alpha) / n
-            change, rank = np.abs(new - rank).sum(), new
-            if not fixed_steps and change < n * tolerance:
-                break
-        else:
-            if not fixed_steps:
-                raise RuntimeError(f"PageRank didn't converge in {max_steps} steps")
-        return spark.createDataFrame(pd.DataFrame({"node": names, "pagerank": rank}), "node string, pagerank double")
     n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("pagerank"))
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     links = checkpoint(edges.join(degree, edges["src"] == degree["node"]).select("src", "dst", "out"))
     state = checkpoint(nodes.join(degree, "node", "left").select("node", "out", F.lit(1 / n).alias("pagerank")))
     for _ in range(fixed_steps or max_steps):
-        loose = state.where("out is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
+        loose = F.broadcast(state.where("out is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose")))
         got = links.join(state.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") / F.col("out")).alias("got"))
-        value = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - alpha) / n
-        new = checkpoint(state.join(got, "node", "left").select("node", "out", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")))
-        change = new.agg(F.sum("moved")).first()[0]
+        value = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n
+        new = checkpoint(state.join(got, "node", "left").crossJoin(loose).select("node", "out", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")))
         state = new.drop("moved")
-        if not fixed_steps and change < n * tolerance:
+        if not fixed_steps and new.agg(F.sum("moved")).first()[0] < n * tolerance:
             break
     else:
         if not fixed_steps:
@@ -78,20 +45,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, max_ste
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least name of its weakly connected component."""
-    small = arrays(nodes, edges)
-    if small is not None:
-        names, src, dst = small
-        label = np.arange(len(names))
-        while len(src):
-            before = label.copy()
-            least = np.minimum(label[src], label[dst])
-            np.minimum.at(label, src, least)
-            np.minimum.at(label, dst, least)
-            label = np.minimum(label, label[label])
-            if (before == label).all():
-                break
-        frame = pd.DataFrame({"node": names, "component": names[label]} if len(names) else {"node": [], "component": []}, dtype=object)
-        return nodes.sparkSession.createDataFrame(frame, "node string, component string")
     both = checkpoint(symmetric(edges).where("src <> dst"))
     state = checkpoint(nodes.select("node", F.col("node").alias("component")))
     while True:
@@ -188,8 +141,8 @@ def path_relations(graph: Graph, entity_id: str, depth: int = 1) -> DataFrame:
 def greedy_subgraph(graph: Graph, centres: list[str], *, depth: int = 1, max_nodes: int = 50, types: list[str] | None = None, batch: int = 5000) -> dict[str, list]:
     """Relations taken in order as long as their ends number at most ``max_nodes``; neighbours fill up if none fits.
 
-    The choice is one after the other by nature. It reads sorted relations as a stream and stops reading once every node is taken
-    and no later relation can join two of them unseen, so the driver holds ``max_nodes`` nodes and their relations.
+    The choice is one after the other by nature. Relations are read in pages of ``batch``, only those that can still fit (once a single
+    place is left one end must be taken already, once none is left both), so the driver holds a page, ``max_nodes`` nodes and the result.
     """
     depth, max_nodes = min(max(depth, 1), 3), min(max(max_nodes, 1), 200)
     spark = graph.entities.sparkSession
@@ -203,11 +156,26 @@ def greedy_subgraph(graph: Graph, centres: list[str], *, depth: int = 1, max_nod
     found = {r.node for r in start.collect()}
     chosen: list = []
     nodes = set(sorted(found)[:max_nodes])
-    for r in labelled(graph, rows).orderBy(*five_key(), "relation_index").toLocalIterator():
-        more = nodes | {r.subject_id, r.object_id}
-        if len(more) <= max_nodes:
-            nodes = more
-            chosen.append(r)
+    key = [*five_key(), F.col("relation_index")]
+    ordered = labelled(graph, rows).withColumn("_at", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
+    page, last = None, None
+    while page is None or page:
+        room = max_nodes - len(nodes)
+        taken = [F.col(c).isin(sorted(nodes)) for c in ("subject_id", "object_id")]
+        left = ordered if room > 1 else ordered.where(taken[0] | taken[1] if room else taken[0] & taken[1])
+        left = left if last is None else left.where(F.col("_at") > F.struct(*[F.lit(v).cast("long" if isinstance(v, int) else "string").alias(f"k{i}") for i, v in enumerate(last)]))
+        page = left.orderBy("_at").limit(batch).collect()
+        for r in page:
+            last = r["_at"]
+            more = nodes | {r.subject_id, r.object_id}
+            if len(more) <= max_nodes:
+                nodes = more
+                chosen.append(r)
+            if max_nodes - len(nodes) < min(room, 2):
+                break
+        else:
+            if len(page) < batch:
+                break
     if not chosen:
         rest = near.where("depth > 0").join(graph.entities.select(F.col("entity_id").alias("node"), "label"), "node").orderBy(tx.fold(F.col("label")), "node").limit(max(0, max_nodes - len(nodes)))
         nodes |= {r.node for r in rest.collect()}

@@ -34,21 +34,19 @@ def violations(graph: Graph, classes: DataFrame, specs: DataFrame) -> DataFrame:
 
     A loop is checked further; an unknown predicate isn't. Missing ends are no domain or range violation.
     """
-    names = sorted(r.name for r in classes.select("name").limit(BROADCAST_ROWS).collect())
-    predicates = sorted(r.predicate for r in specs.select("predicate").limit(BROADCAST_ROWS).collect())
-    none = F.lit(None).cast("string")
-    listed = lambda values: F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-    bad = graph.entities.join(small(classes.select(F.col("name").alias("entity_type"))), "entity_type", "left_anti")
-    of_entities = bad.select(F.lit("invalid_entity_type").alias("kind"), "entity_id", F.lit(None).cast("long").alias("relation_index"), none.alias("predicate"), none.alias("subject_id"), none.alias("object_id"), listed(names).alias("expected"), F.col("entity_type").alias("actual"))
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    listed = lambda table, column: F.broadcast(table.agg(F.array_sort(F.collect_list(column)).alias("listed")))
+    bad = graph.entities.join(small(classes.select(F.col("name").alias("entity_type"))), "entity_type", "left_anti").crossJoin(listed(classes, "name"))
+    of_entities = bad.select(F.lit("invalid_entity_type").alias("kind"), "entity_id", F.lit(None).cast("long").alias("relation_index"), none.alias("predicate"), none.alias("subject_id"), none.alias("object_id"), F.col("listed").alias("expected"), F.col("entity_type").alias("actual"))
     known = F.coalesce("known", F.lit(False))
     differs = lambda kind, spec: known & F.col(kind).isNotNull() & (F.col(spec) != "Other") & (F.col(kind) != F.col(spec))
     found = F.array(
-        F.when(F.col("subject_id") == F.col("object_id"), F.struct(F.lit(1).alias("rank"), F.lit("self_loop").alias("kind"), listed([]).alias("expected"), none.alias("actual"))),
-        F.when(~known, F.struct(F.lit(2).alias("rank"), F.lit("invalid_predicate").alias("kind"), listed(predicates).alias("expected"), F.col("predicate").alias("actual"))),
+        F.when(F.col("subject_id") == F.col("object_id"), F.struct(F.lit(1).alias("rank"), F.lit("self_loop").alias("kind"), nothing.alias("expected"), none.alias("actual"))),
+        F.when(~known, F.struct(F.lit(2).alias("rank"), F.lit("invalid_predicate").alias("kind"), F.col("listed").alias("expected"), F.col("predicate").alias("actual"))),
         F.when(differs("s_type", "domain"), F.struct(F.lit(3).alias("rank"), F.lit("domain_violation").alias("kind"), F.array("domain").alias("expected"), F.col("s_type").alias("actual"))),
         F.when(differs("o_type", "range"), F.struct(F.lit(4).alias("rank"), F.lit("range_violation").alias("kind"), F.array("range").alias("expected"), F.col("o_type").alias("actual"))),
     )
-    rows = with_spec(graph, specs).select("relation_index", "predicate", "subject_id", "object_id", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v"))
+    rows = with_spec(graph, specs).crossJoin(listed(specs, "predicate")).select("relation_index", "predicate", "subject_id", "object_id", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v"))
     of_relations = rows.select("v.kind", none.alias("entity_id"), "relation_index", "predicate", "subject_id", "object_id", "v.expected", "v.actual")
     return of_entities.unionByName(of_relations)
 
@@ -94,8 +92,8 @@ def repaired_relations(graph: Graph, specs: DataFrame) -> DataFrame:
     rows = with_action(graph, specs).where("action <> 'removed_self_loops'")
     turned, relaxed = F.col("action") == "reversed", F.col("action").endswith("relaxed")
     meta = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    more = F.when(turned, F.create_map(F.lit("repair"), F.lit("reversed"), F.lit("original_subject_id"), F.col("subject_id"), F.lit("original_object_id"), F.col("object_id")))
-    more = more.when(relaxed, F.create_map(F.lit("repair"), F.col("action"), F.lit("original_predicate"), F.col("predicate"))).otherwise(F.create_map().cast("map<string,string>"))
+    more = F.when(turned, F.create_map(F.lit("repair_action"), F.lit("reversed"), F.lit("repair_original_subject_id"), F.col("subject_id"), F.lit("repair_original_object_id"), F.col("object_id")))
+    more = more.when(relaxed, F.create_map(F.lit("repair_action"), F.col("action"), F.lit("repair_original_predicate"), F.col("predicate"))).otherwise(F.create_map().cast("map<string,string>"))
     return rows.select(
         "relation_index", F.when(turned, F.col("object_id")).otherwise(F.col("subject_id")).alias("subject_id"), F.when(relaxed, F.lit(RELAXED)).otherwise(F.col("predicate")).alias("predicate"),
         F.when(turned, F.col("subject_id")).otherwise(F.col("object_id")).alias("object_id"), F.when(relaxed, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("confidence"),
@@ -153,12 +151,12 @@ def inferred_relations(graph: Graph, *, predicate: str = "treats", subject: str
     old = graph.relations.where(F.col("predicate") == RELAXED).select("subject_id", "object_id")
     known = old.union(old.select("object_id", "subject_id")).distinct()
     best = best.join(known, ["subject_id", "object_id"], "left_anti")
-    meta = F.to_json(F.create_map(F.lit("inferred"), F.lit("true"), F.lit("rule"), F.lit(f"shared_{target.lower()}"), F.lit("via"), F.col("b.target")))
+    meta = F.to_json(F.create_map(F.lit("inferred_by"), F.lit("shared_condition_rule"), F.lit("condition_id"), F.col("b.target")))
     order = F.struct("b.target_name", "b.first_at", "b.subject_id_name", "subject_id", "b.object_id_name", "object_id")
     return best.select("subject_id", F.lit(RELAXED).alias("predicate"), "object_id", F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("source_chunk"), meta.alias("metadata"), order.alias("_order"), F.col("b.target").alias("via"))
 
 
-def quality(graph: Graph, classes: DataFrame, specs: DataFrame, *, default_precision: float = 0.0, weights: tuple[float, float, float, float] = (0.3, 0.3, 0.2, 0.2)) -> DataFrame:
+def quality(graph: Graph, classes: DataFrame, specs: DataFrame, *, default_precision: float = 1.0, weights: tuple[float, float, float, float] = (0.3, 0.3, 0.2, 0.2)) -> DataFrame:
     """One row: coverage, consistency, precision, redundancy, quality."""
     real = classes.where("name <> 'Other'")
     used = graph.entities.select(F.col("entity_type").alias("name")).distinct().join(small(real.select("name")), "name", "left_semi")

@@ -28,7 +28,7 @@ def label_pairs(entities: DataFrame) -> DataFrame:
     return left.join(right, "entity_type").where("left_id < right_id").select("left_id", "right_id")
 
 
-def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.5, *, lexical: bool = True, floor: float = 0.0) -> DataFrame:
+def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.6, *, lexical: bool = True, floor: float = 0.0) -> DataFrame:
     """The pairs with lexical, semantic and hybrid similarity. Without vectors the semantic part is the lexical one.
 
     ``floor``: lexical similarities under it may come out as nought; only for entities without vectors may it be the threshold.
@@ -100,7 +100,7 @@ class Resolution:
     after: int
 
 
-def resolve(graph: Graph, *, alpha: float = 0.5, threshold: float = 0.85, pairs: DataFrame | None = None, lexical: bool = True) -> Resolution:
+def resolve(graph: Graph, *, alpha: float = 0.6, threshold: float = 0.85, pairs: DataFrame | None = None, lexical: bool = True) -> Resolution:
     """Merge near-duplicate entities; a graph without any comes back as it is."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie within 0 and 1")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixture import CENTRE, PREFERRED, QUESTIONS, SPECS
-from .queries import STEPS, THETA
+from .queries import ALPHAS, STEPS, THETA, THETAS
 
 CLAIM_STOP = "['the','and','for','with','как','что','при','для','или','это','по','на','в','и']"
 LABEL_STOP = "['a','an','and','by','for','in','of','on','or','the','to','with','в','и','или','при','с','у']"
@@ -34,6 +34,12 @@ def words(x: str) -> str:
     return f"[w for w in string_split_regex({x}, '\\s+') if w <> '']"
 
 
+def crc32(x: str) -> str:
+    """DuckDB has none: byte by byte, bit by bit, of an ASCII string."""
+    eight = "list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda t: ascii(t)::BIGINT)), lambda c, b: xor(c >> 8, {eight})), 4294967295)"
+
+
 CHUNKS = f"""
 w AS (SELECT 'doc_' || doc_id AS document_id, {words('text')} AS w FROM documents),
 c AS (SELECT document_id, w, unnest(generate_series(0, greatest(ceil((len(w) - 100) / 80.0), 0)::BIGINT)) AS i FROM w WHERE len(w) > 0),
@@ -166,7 +172,7 @@ EVAL = f"""{TOP10}, {WANT}, wn AS (SELECT query, count(DISTINCT doc) AS n FROM w
 hit AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS k FROM (SELECT DISTINCT query, rank FROM top JOIN want USING (query, doc))),
 ev AS MATERIALIZED (SELECT query, coalesce(min(rank) <= 5, false)::INTEGER::DOUBLE AS hit_at_5, coalesce(min(rank) <= 10, false)::INTEGER::DOUBLE AS hit_at_10, coalesce(1.0 / min(rank), 0)::DOUBLE AS rr, coalesce(sum(k::DOUBLE / rank), 0) / least(any_value(n), 10) AS ap FROM wn LEFT JOIN hit USING (query) GROUP BY 1)"""
 QA = "qa AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
-PAIRS = "pr AS MATERIALIZED (SELECT round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS s, a.label = b.label AS t FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 25)"
+PAIRS = "pr AS MATERIALIZED (SELECT round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS s, a.label = b.label AS t FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0)"
 COUNTS = "count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn"
 F1 = "coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0)"
 PARTS = f"pe AS MATERIALIZED (SELECT DISTINCT md5({norm(chr(112) + '_brand')} || ' ' || p_name) AS id, {norm(chr(112) + '_brand')} AS b, p_name AS n FROM part)"
@@ -217,7 +223,9 @@ def oracle() -> dict[str, str]:
         "repair_relations": w(
             FULL,
             """SELECT relation_index, CASE WHEN action = 'reversed' THEN object_id ELSE subject_id END AS subject_id, CASE WHEN action LIKE '%relaxed' THEN 'related_to' ELSE predicate END AS predicate,
-            CASE WHEN action = 'reversed' THEN subject_id ELSE object_id END AS object_id, CASE WHEN action LIKE '%relaxed' THEN least(confidence, 0.45) ELSE confidence END AS confidence, source_chunk FROM act WHERE action <> 'removed_self_loops'""",
+            CASE WHEN action = 'reversed' THEN subject_id ELSE object_id END AS object_id, CASE WHEN action LIKE '%relaxed' THEN least(confidence, 0.45) ELSE confidence END AS confidence, source_chunk,
+            CASE WHEN action = 'reversed' THEN '{"repair_action":"reversed","repair_original_subject_id":"' || subject_id || '","repair_original_object_id":"' || object_id || '"}'
+              WHEN action LIKE '%relaxed' THEN '{"repair_action":"' || action || '","repair_original_predicate":"' || predicate || '"}' ELSE '{}' END AS metadata FROM act WHERE action <> 'removed_self_loops'""",
         ),
         "repair_dedupe": w(
             G,
@@ -228,9 +236,44 @@ def oracle() -> dict[str, str]:
             FULL,
             f""", sh AS (SELECT object_id AS t, subject_id AS m, min(relation_index) AS ri FROM f WHERE predicate = 'supplies' AND st = 'Supplier' AND ot = 'Part' GROUP BY 1, 2),
             ft AS (SELECT t, min(ri) AS fa FROM sh GROUP BY 1), nm AS (SELECT entity_id, {fold('label')} AS n FROM ent)
-            SELECT a.m AS subject_id, b.m AS object_id, 0.7::DOUBLE AS confidence, arg_min(a.t, (nt.n, fa, a.t)) AS via FROM sh a JOIN sh b ON a.t = b.t JOIN nm na ON na.entity_id = a.m JOIN nm nb ON nb.entity_id = b.m JOIN nm nt ON nt.entity_id = a.t JOIN ft ON ft.t = a.t
+            SELECT a.m AS subject_id, b.m AS object_id, 0.7::DOUBLE AS confidence, arg_min(a.t, (nt.n, fa, a.t)) AS via, '{{"inferred_by":"shared_condition_rule","condition_id":"' || arg_min(a.t, (nt.n, fa, a.t)) || '"}}' AS metadata FROM sh a JOIN sh b ON a.t = b.t JOIN nm na ON na.entity_id = a.m JOIN nm nb ON nb.entity_id = b.m JOIN nm nt ON nt.entity_id = a.t JOIN ft ON ft.t = a.t
             WHERE (na.n, a.m) < (nb.n, b.m) GROUP BY 1, 2""",
         ).replace("\n, sh AS", ",\nsh AS"),
+        "reason_suggestions": w(
+            FULL,
+            f""", sh AS (SELECT DISTINCT object_id AS t, subject_id AS m FROM f WHERE predicate = 'supplies' AND st = 'Supplier' AND ot = 'Part'), nm AS (SELECT entity_id, label, {fold('label')} AS n FROM ent)
+            SELECT any_value(na.label) AS subject_label, any_value(nb.label) AS object_label FROM sh a JOIN sh b USING (t) JOIN nm na ON na.entity_id = a.m JOIN nm nb ON nb.entity_id = b.m WHERE (na.n, a.m) < (nb.n, b.m) GROUP BY a.m, b.m""",
+        ).replace("\n, sh AS", ",\nsh AS"),
+        "infer_types": w(
+            f"{G}, {SPEC}",
+            f""", oe AS (SELECT entity_id, label, CASE WHEN {crc32('label')} % 4 = 0 THEN 'Other' ELSE entity_type END AS entity_type FROM ent),
+            bal AS (SELECT rel.relation_index AS ri, 0 AS side, subject_id AS entity_id, domain AS vote FROM rel JOIN spec USING (predicate) WHERE predicate <> 'related_to' UNION ALL SELECT rel.relation_index, 1, object_id, range FROM rel JOIN spec USING (predicate) WHERE predicate <> 'related_to'),
+            cnt AS (SELECT entity_id, vote, count(*) AS votes, min((ri, side)) AS first FROM bal JOIN oe USING (entity_id) WHERE entity_type = 'Other' AND vote <> 'Other' GROUP BY 1, 2),
+            top AS (SELECT *, sum(votes) OVER (PARTITION BY entity_id) AS every, row_number() OVER (PARTITION BY entity_id ORDER BY votes DESC, first) AS k FROM cnt)
+            SELECT entity_id, vote AS entity_type, votes FROM top WHERE k = 1 AND votes >= 2 AND votes / every >= 0.67""",
+        ).replace("\n, oe AS", ",\noe AS"),
+        "pagerank_topk": w(
+            pagerank(),
+            ", ch AS (" + " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum(abs(a.r - b.r)) FROM r{i} a JOIN r{i - 1} b USING (entity_id)) AS c" for i in range(1, STEPS + 1)) + f"), stop AS (SELECT min(i) AS i FROM ch, n WHERE c < n * 1e-6), pr AS (" + " UNION ALL ".join(f"SELECT {i} AS i, entity_id, r FROM r{i}" for i in range(1, STEPS + 1)) + f")\nSELECT entity_id, label, round(r, 6) AS pagerank FROM pr JOIN stop USING (i) JOIN ent USING (entity_id) ORDER BY r DESC, {fold('label')}, entity_id LIMIT 10",
+        ).replace("\n, ch AS", ",\nch AS"),
+        "greedy_subgraph": w(
+            BALL,
+            f""", inb AS (SELECT node FROM c UNION SELECT node FROM b1 UNION SELECT node FROM b2),
+            o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {FIVE}) AS k FROM rel WHERE subject_id IN (SELECT node FROM inb) AND object_id IN (SELECT node FROM inb)),
+            g AS (SELECT 0::BIGINT AS k, [node] AS nodes, false AS taken FROM c UNION ALL
+              SELECT g.k + 1, CASE WHEN len(list_distinct(list_concat(nodes, [subject_id, object_id]))) <= 25 THEN list_distinct(list_concat(nodes, [subject_id, object_id])) ELSE nodes END, len(list_distinct(list_concat(nodes, [subject_id, object_id]))) <= 25 FROM g JOIN o ON o.k = g.k + 1)
+            SELECT relation_index, subject_label, predicate, object_label FROM g JOIN o USING (k) WHERE taken""",
+        ).replace("\n, inb AS", ",\ninb AS"),
+        "display_ranking": w(
+            f"{pagerank()}, {DEGREES.removeprefix(G + ', ')}, {CENTRE_ROW}",
+            f"""SELECT relation_index, round(s, 6) AS display_score FROM (SELECT relation_index, t, 20.0::DOUBLE * t + CASE predicate WHEN 'supplies' THEN 3.0 WHEN 'based_in' THEN 2.0 WHEN 'located_in' THEN 1.0 ELSE 0.0 END + sqrt(x.degree + y.degree) + 150 * (p.r + q.r) + confidence AS s
+            FROM (SELECT *, (subject_id IN (SELECT node FROM c) OR object_id IN (SELECT node FROM c))::INTEGER AS t FROM rel) JOIN deg x ON x.entity_id = subject_id JOIN deg y ON y.entity_id = object_id JOIN r{STEPS} p ON p.entity_id = subject_id JOIN r{STEPS} q ON q.entity_id = object_id) ORDER BY t DESC, s DESC, relation_index LIMIT 50""",
+        ),
+        "relation_keys": w(
+            G,
+            """, k AS (SELECT subject_id, upper(predicate) AS relation_type, object_id, predicate, md5('{"metadata": {}, "object_id": "' || object_id || '", "predicate": "' || predicate || '", "source_chunk": ' || coalesce('"' || source_chunk || '"', 'null') || ', "subject_id": "' || subject_id || '"}') AS relation_key FROM rel WHERE subject_id <> object_id)
+            SELECT DISTINCT subject_id, relation_type, object_id, relation_key FROM k""",
+        ).replace("\n, k AS", ",\nk AS"),
         "quality": w(
             VIOLATIONS,
             """SELECT round(coverage, 6) AS coverage, round(consistency, 6) AS consistency, round(precision, 6) AS precision, round(redundancy, 6) AS redundancy, round(0.3 * coverage + 0.3 * consistency + 0.2 * precision - 0.2 * redundancy, 6) AS quality FROM (
@@ -299,7 +342,7 @@ def oracle() -> dict[str, str]:
         ).replace("\n, hs AS", ",\nhs AS"),
         "latency_stats": "SELECT event_type AS stage, count(*) AS runs, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1",
         "pair_confusion": w(PAIRS, f", k AS (SELECT {COUNTS} FROM (SELECT s >= 0.2 AS p, t FROM pr)) SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 1), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round({F1}, 6) AS f1 FROM k").replace("\n, k AS", ",\nk AS"),
-        "ablation_grid": w(PAIRS, f", k AS (SELECT alpha, theta, {COUNTS} FROM (SELECT alpha, theta, alpha * s >= theta AS p, t FROM pr CROSS JOIN (SELECT unnest([0.4, 0.6, 1.0])::DOUBLE AS alpha) CROSS JOIN (SELECT unnest([0.1, 0.15, 0.2])::DOUBLE AS theta)) GROUP BY 1, 2) SELECT *, round({F1}, 6) AS f1 FROM k").replace("\n, k AS", ",\nk AS"),
+        "ablation_grid": w(PAIRS, f", k AS (SELECT alpha, theta, {COUNTS} FROM (SELECT alpha, theta, alpha * s >= theta AS p, t FROM pr CROSS JOIN (SELECT unnest({list(ALPHAS)})::DOUBLE AS alpha) CROSS JOIN (SELECT unnest({list(THETAS)})::DOUBLE AS theta)) GROUP BY 1, 2) SELECT *, round({F1}, 6) AS f1 FROM k").replace("\n, k AS", ",\nk AS"),
         "dashboard_types": w(G, "SELECT entity_type, count(*) AS entities FROM ent GROUP BY 1"),
         "dashboard_predicates": w(G, "SELECT predicate, count(*) AS relations FROM rel GROUP BY 1 ORDER BY 2 DESC, min(relation_index) LIMIT 10"),
         "dashboard_chunks": w(G, "SELECT (SELECT count(DISTINCT source_chunk) FROM rel) AS source_chunks, (SELECT count(*) FROM ent WHERE aliases <> '') AS aliases"),

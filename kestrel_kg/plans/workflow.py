@@ -33,7 +33,7 @@ def cut(graph: Graph) -> Graph:
 
 
 def build_graph(
-    spark: SparkSession, folder: str, onto: files.Ontology, make: Callable[[], clients.TextModel], *, size: int = 800, overlap: int = 100, alpha: float = 0.5, threshold: float = 0.85, cache: DataFrame | None = None, rule: dict[str, str] | None = None
+    spark: SparkSession, folder: str, onto: files.Ontology, make: Callable[[], clients.TextModel], *, size: int = 800, overlap: int = 100, alpha: float = 0.6, threshold: float = 0.85, cache: DataFrame | None = None, rule: dict[str, str] | None = None
 ) -> Built:
     """Scan, chunk, extract (each distinct text once), type, resolve, check, repair, infer, rank."""
     classes, specs = onto.class_table(spark), onto.relation_table(spark)

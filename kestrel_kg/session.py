@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,12 @@ def get_session(cores: int | None = None, **more: str) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder that the session names; a temporary one only where it names none."""
+    """Cut the lineage by a table in the shared folder that the session names; a local session without one gets a temporary folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kestrel-", dir=os.environ.get("TMPDIR")))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="kestrel-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)

@@ -8,6 +8,7 @@ import os
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,12 @@ def relation_digest(subject: str, predicate: str, object_: str, chunk: str | Non
 
 
 def relation_key(*columns: str) -> Column:
-    """MD5 of the relation without its confidence; a UDF because the digest is over JSON as Python writes it."""
-    return F.udf(relation_digest, "string")(*columns)
+    """MD5 of the relation without its confidence; in Arrow batches because the digest is over JSON as Python writes it."""
+
+    def digests(*values: pd.Series) -> pd.Series:
+        return pd.Series([relation_digest(*row) for row in zip(*values, strict=True)], dtype=object)
+
+    return F.pandas_udf(digests, "string")(*columns)
 
 
 def store_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:

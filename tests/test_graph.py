@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,9 +54,7 @@ def ranks(nodes, edges, steps=100, alpha=0.85):
     return dict(zip(nodes, r, strict=True))
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_pagerank_and_components_in_both_forms(spark, monkeypatch, small):
-    monkeypatch.setattr(graphs, "SMALL", small)
+def test_pagerank_and_components(spark):
     names = list("abcdefg")
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "f")]
     nodes = spark.createDataFrame([(n,) for n in names], "node string")
@@ -127,3 +127,25 @@ def test_quality(spark):
     g = graph(spark, [("imatinib", "Drug", "", ["Glivec", "BCR-ABL inhibitor"]), ("Ph+ ALL", "Condition", "", []), ("untyped note", "Other", "", [])], [("imatinib", "treats", "Ph+ ALL", 0.5), ("imatinib", "related_to", "Ph+ ALL", 1.0)])
     row = ontology.quality(g, classes(spark), specs(spark)).first()
     assert (row.coverage, row.precision, row.redundancy, row.consistency) == (2 / 8, 0.75, 2 / 5, 1.0)
+
+
+@pytest.mark.parametrize("batch", [7, 5000])
+def test_greedy_subgraph_is_the_same_in_pages(spark, batch):
+    r = random.Random(5)
+    names = [f"n{i:02d}" for i in range(30)]
+    edges = [(a, "treats", b) for a, b in (r.sample(names, 2) for _ in range(60))]
+    g = graph(spark, [(n, "Drug", "", []) for n in names], edges)
+    label = {eid(n): n for n in names}
+    for most in (2, 9):
+        found = graphs.greedy_subgraph(g, [eid("n00")], depth=2, max_nodes=most, batch=batch)
+        near, ball = {"n00"}, {"n00"}
+        for _ in range(2):
+            near = {x for a, _, b in edges for x in (a, b) if {a, b} & near} - ball
+            ball |= near
+        nodes, want = {"n00"}, []
+        for s, p, o in sorted((s, p, o) for s, p, o in edges if {s, o} <= ball):
+            if len(nodes | {s, o}) <= most:
+                nodes |= {s, o}
+                want.append((s, p, o))
+        assert [(x.subject_label, x.predicate, x.object_label) for x in found["relations"]] == want
+        assert not want or {label[n] for n in found["nodes"]} == nodes
