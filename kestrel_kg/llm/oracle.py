@@ -64,5 +64,21 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted_lines, 0) A
 FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
+EIGHT = "list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda t: ascii(t)::BIGINT)), lambda c, b: xor(c >> 8, {EIGHT})), 4294967295)"
+BASE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {CRC} % 7 = 2 AS held_out, list_concat(regexp_extract_all({lower("text")}, {SPACE}), [chr(10)]) AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS w FROM d), c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 6) AS base_score FROM t LEFT JOIN c USING (w) CROSS JOIN n GROUP BY doc_id"""
+QUALITY = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {SPACE}) AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM d)),
+r AS (SELECT doc_id, count(DISTINCT x)::BIGINT AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS x FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS k FROM g) WHERE k > 1) GROUP BY 1),
+l AS (SELECT doc_id, (count(*) - count(DISTINCT t))::BIGINT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM d) WHERE regexp_matches(t, {SPACE}) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES}
+    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "lm_base": BASE, "quality_base": QUALITY}

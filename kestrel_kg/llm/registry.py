@@ -89,8 +89,18 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "text")
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express."""
+    return op5_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    return op6_quality(spark, sf_dir).drop("kept", "llr")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, lm_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
