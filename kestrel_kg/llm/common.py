@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc()
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="corpus-")
+        if context.getCheckpointDir().isDefined():
+            found = context.getCheckpointDir().get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="corpus-")
+        else:
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -49,6 +55,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is dealt to several tasks; there can't be more such keys than this.
+SHARE = 500
+
+
+def dealt_join(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with a table in which ``keys`` are unique. Rows of a key that holds over one in ``SHARE`` of them are dealt to as
+    many parts as that share asks for, and the key's row of ``unique`` is repeated for each. ``counts``: rows by key (column ``n``)."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("n") * SHARE > total).select(*keys, F.ceil(F.col("n") * SHARE / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    found = often.collect()
+    if not found:
+        return rows.join(unique, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, often.schema))
+    # the part of a row is a hash of it, so that a task done again deals it alike
+    plain = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    left = rows.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*plain), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = unique.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 class WordHash(dict):
     """word -> 64-bit hash; the cache is emptied when it has grown to ``WORD_CACHE`` words."""
 

@@ -4,14 +4,19 @@ Lines are split at ``\\n``; lines without a word take no part and stay. A run is
 documents stand in the order of their ids, and a run of ``min_words`` words or more that also begins at an earlier place is a later
 copy: its lines are deleted, and each line goes that lies in some such run.
 
-Suffixes are named by doubling: at level 0 a line's name is the first place of an equal line, at level k a place's name is the first
-place at which the same ``2 ** k`` lines begin, found from the pair of names of its halves. Places whose name is theirs alone drop
-out at each level. A group of suffixes that share their first m lines is a longest-common-prefix interval of the suffix array of
-depth m or more, and two overlapping names of level ``floor(log2 m)`` tell such groups apart. Which lines go depends on no deeper
-order than ``min_words`` words: a maximal repeated run is the union of its shortest stretches of ``min_words`` words from each line
-on and up to each line. So only those stretches are compared and ``log2(min_words)`` levels are enough, however long the copies are.
+Suffixes are ranked by doubling. A line's rank is the place of its id (128 bits of hashes) among the sorted ids that occur twice or more;
+at level k a suffix's rank is the place of the pair of its halves' ranks among the sorted pairs, so equal ranks mean equal first
+``2 ** k`` lines, and the ranks' order is that of the suffix array to that depth. Ranks are counted, not hashed: no two runs share
+one by accident. Suffixes whose rank is theirs alone have no common prefix of that length with any other and drop out.
 
-Nothing gathers a group: names come from minima that Spark combines before its shuffles. A document's repeated lines form one row.
+Suffixes that share their first m lines are an interval of the suffix array in which the longest common prefixes are m or more. With
+``2 ** k <= m < 2 ** (k + 1)`` it is the set of suffixes of one rank at level k whose rank ``m - 2 ** k`` lines further on is one
+too, so the two overlapping ranks name the interval, and its first place is a minimum. Which lines go depends on no deeper order than
+``min_words`` words: a maximal repeated run is the union of its shortest stretches of ``min_words`` words from each line on and up to
+each line. So only these depths are looked at and ``log2(min_words)`` levels are enough, however long the copies are.
+
+Nothing gathers an interval: first places are minima that Spark combines before its shuffles, and where they return to the suffixes those
+of a frequent line or run are dealt to several tasks (``dealt_join``). A document's repeated lines form one row.
 
 Cases: null texts stay null. Texts of which all lines go become empty (or the blank lines they have). Rows of null doc_id stand
 first. Rows of equal id and text are one document, with the same result. An empty table gives no rows. Extra columns pass through and
@@ -28,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from ..operators.model import ordered_index
+from .common import dealt_join, texts, written
 
 PLACE = ("d", "h", "i")
 WINDOWS = pa.list_(pa.int32())
@@ -80,15 +86,19 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     return keyed(docs).where("text is not null").select("d", "h", "text").mapInArrow(run, "d long, h long, i int, lengths array<int>, p long, q long")
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose ``keys`` occur at two places or more, with that group's ``first`` place."""
+def ranked(rows: DataFrame, keys: list[str], name: str, doubled: int | None = None) -> DataFrame:
+    """``rows`` whose ``keys`` occur at two places or more, with their interval's ``first`` place and ``rank`` (of depth ``doubled``, if given)."""
     place = F.struct(*PLACE)
-    groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*keys, "first")
-    return rows.join(groups, keys)
+    groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").drop("last")
+    groups = written(groups, f"groups-{name}")
+    least = groups if doubled is None else groups.where(F.col("m") == doubled)
+    order = written(ordered_index(least.select(*keys), "rank", *keys), f"ranks-{name}")
+    told = groups.join(order, keys, "left")
+    return dealt_join(rows, told.drop("n"), keys, groups.select(*keys, "n"))
 
 
 def pairs(rows: DataFrame, level: int) -> DataFrame:
-    """d, h, i, m, x, y: the names x, y of level ``level`` that make up m lines, of each document's stretches and of the next level."""
+    """d, h, i, m, x, y: the ranks x, y of level ``level`` that make up m lines, of each document's stretches and of the next level."""
     half = 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,19 +123,18 @@ def pairs(rows: DataFrame, level: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     """d, h, spans: the [i, i + m) stretches of each document that also begin at an earlier place."""
-    name = F.xxhash64("first.d", "first.h", "first.i").alias("name")
-    rows = named(lines_of(docs, min_words), ["p", "q"])
-    rows = written(rows.select(*PLACE, "lengths", name), "names-0")
+    rows = ranked(lines_of(docs, min_words), ["p", "q"], "lines")
+    rows = written(rows.select(*PLACE, "lengths", F.col("rank").alias("name")), "names-0")
     found: DataFrame | None = None
     level = 0
     while True:
-        both = written(named(pairs(rows, level), ["m", "x", "y"]), f"pairs-{level}")
+        both = written(ranked(pairs(rows, level), ["m", "x", "y"], f"pairs-{level}", 2 << level), f"pairs-{level}")
         later = both.where("lengths is null and first < struct(d, h, i)").select(*PLACE, "m")
         found = later if found is None else found.unionByName(later)
         level += 1
         if 1 << level > min_words:
             break
-        rows = both.where("lengths is not null").select(*PLACE, "lengths", name)
+        rows = both.where("lengths is not null").select(*PLACE, "lengths", F.col("rank").alias("name"))
     return found.groupBy("d", "h").agg(F.collect_list(F.struct("i", "m")).alias("spans"))
 
 
