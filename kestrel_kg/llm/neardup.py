@@ -15,8 +15,9 @@ are the sets themselves and exact.
 Large lists. Only components are wanted, so no list emits all its pairs. First every class is paired with the least class of each
 of its lists; those links are confirmed and joined to components. What still lies in lists with several components is compared
 across components only, and exactly: a list of up to ``block`` classes in one task, which emits a pair that passes the estimate only
-from the first list that both share; larger lists are joined to clusters of classes, whose blocks of ``block`` classes meet pairwise
-on their full sets and emit no more links than it takes to join what belongs together.
+from the first list that both share; larger lists are joined to clusters of classes, whose blocks of ``block`` classes meet pairwise:
+sizes and sketches leave a few pairs, these are confirmed on their full sets, and no more links are emitted than it takes to join what
+belongs together. The pairs of a class that many others meet are dealt to several tasks (``dealt_join``).
 
 Cases: null and empty texts have no shingles, link with nothing and are kept. Texts of fewer words than a shingle have their whole
 word sequence as one. Rows of equal doc_id are one document, linked with what any of its texts is linked with; rows of null doc_id
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, texts, written
+from .common import WordHash, dealt_join, texts, written
 from .components import connected_components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +112,8 @@ def union_estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
 
 def estimated(pairs: DataFrame, sketches: DataFrame, k: int, estimate: float) -> DataFrame:
     """The pairs a, b that pass the estimate."""
-    rows = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = written(pairs, "pairs")
+    rows = dealt_join(pairs, sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), ["a"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +126,8 @@ def estimated(pairs: DataFrame, sketches: DataFrame, k: int, estimate: float) ->
 
 def confirmed(pairs: DataFrame, whole: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar."""
-    rows = pairs.join(whole.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    pairs = written(pairs, "pairs")
+    rows = dealt_join(pairs, whole.select(F.col("rep").alias("a"), F.col("text").alias("x")), ["a"]).join(whole.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -214,15 +217,17 @@ def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, percent: int,
     return joined.mapInArrow(run, "a long, b long")
 
 
-def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None, percent: int) -> list[tuple[int, int]]:
-    """A forest of links between similar sets of different components; with ``cut``, of the rows before it with those from it on."""
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    matrix = np.zeros((len(sets), flat.max() + 1), np.float32)
-    sizes = np.array([len(s) for s in sets])
-    matrix[np.repeat(np.arange(len(sets)), sizes), flat] = 1
+def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None, percent: int, k: int = 64, estimate: float = 0.5) -> list[tuple[int, int]]:
+    """A forest of links between similar sets of different components; with ``cut``, of the rows before it with those from it on.
+
+    Sizes and the estimate from the sketches leave few pairs; their full sets are merged one by one, so memory is that of the sets."""
+    sizes, of = np.array([len(s) for s in sets]), np.array(component)
     left, right = (slice(None), slice(None)) if cut is None else (slice(0, cut), slice(cut, None))
-    common = matrix[left] @ matrix[right].T
-    similar = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+    least, most = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    sketch = incidence([s[:k].tolist() for s in sets])
+    likely = (of[left][:, None] != of[right][None, :]) & (100 * least >= percent * most) & (sketch[left] @ sketch[right].T >= estimate * np.minimum(most, k))
+    if cut is None:
+        likely = np.triu(likely, 1)
     top = {c: c for c in component}
 
     def find(c: int) -> int:
@@ -232,10 +237,13 @@ def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None,
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(similar), strict=True):
+    for i, j in zip(*np.nonzero(likely), strict=True):
         i, j = int(i), int(j) + (cut or 0)
         p, q = find(component[i]), find(component[j])
         if p != q:
+            same = len(np.intersect1d(sets[i], sets[j], True))
+            if 100 * same < percent * (len(sets[i]) + len(sets[j]) - same):
+                continue
             top[p] = q
             out.append((i, j))
     return out

@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+import numpy as np
+
 from kestrel_kg.llm import neardup
 
 SCHEMA = "doc_id long, text string"
@@ -67,3 +69,44 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
 def test_one_very_long_text(spark):
     long = " ".join(str(i) for i in range(60_000))
     assert results(spark, [(5, long), (3, long + " end")])[5] == (59_996, 3, False)
+
+
+def test_hot_keys_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from kestrel_kg.llm.common import dealt_join
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), F.lit("x").alias("s"))
+    unique = rows.select("k").distinct().where("k <> 2500").withColumn("v", F.col("k") * 2)
+    found = dealt_join(rows, unique, ["k"])
+    assert sorted((r.id, r.v) for r in found.collect()) == [(i, 14 if i < 2000 else 2 * i) for i in range(3000) if i != 2500]
+    assert dealt_join(rows.limit(0), unique, ["k"]).count() == 0
+
+
+def test_joining_links_join_what_all_pairs_join():
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = np.unique(r.integers(0, 1 << 60, 300).astype(np.uint64))
+        for drop in (0, 10, 40, 60, 90):
+            keep = np.sort(r.permutation(base)[: len(base) - drop])
+            sets.append(np.unique(np.concatenate([keep, r.integers(0, 1 << 60, drop // 4).astype(np.uint64)])))
+    component = [i // 2 for i in range(len(sets))]
+    for cut in (None, 25):
+        top = list(range(len(sets)))
+
+        def find(c):
+            return c if top[c] == c else find(top[c])
+
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if component[i] == component[j] or ((cut is None or j < cut <= i) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)):
+                    top[find(i)] = find(j)
+        want = [find(i) for i in range(len(sets))]
+        links = neardup.joining_links(sets, component, cut, 75)
+        top = list(range(len(sets)))
+        for i, j in [*links, *((i, j) for i in range(len(sets)) for j in range(i) if component[i] == component[j])]:
+            top[find(i)] = find(j)
+        got = [find(i) for i in range(len(sets))]
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
