@@ -65,39 +65,44 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(a), unescape(b)) for a, b in PARSE.findall(formatted)]
 
 
-def chat_tokenizer(path: str):
-    """The tokenizer of a file with the three marks added."""
-    found = tokens.load(path)
-    found.encode_special_tokens = False
-    found.add_special_tokens([TURN, TEXT, END])
-    return found
+def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """One list of 32-bit numbers for each array."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
+def slices(column: pa.ListArray) -> list[np.ndarray]:
+    """The numbers of each list."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def format_conversations(conversations: DataFrame, *, tokenizer: str | None = None, learnt: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, formatted, ids, offsets (a start and an end for each token) and mask (runs of tokens under the loss)."""
+    """conv_id, n_turns, formatted, ids, offsets (a start and an end for each token) and mask (a first and an end token for each run under the loss)."""
     path = tokenizer or tokens.default_path()
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chat_tokenizer(path).encode
-        run_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        encode = tokens.offset_encoder(path, [TURN, TEXT, END])
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                rows = []
+                n, text, ids, offsets, mask = [], [], [], [], []
                 for turns in part.column(1).to_pylist():
                     formatted, spans = render([(t["role"], t["text"]) for t in turns], learnt)
-                    found = encode(formatted, add_special_tokens=False)
-                    offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
-                    rows.append((len(turns), formatted, found.ids, offsets.ravel(), [{"first": a, "end": b} for a, b in masked(offsets, spans)]))
-                n, text, ids, offsets, mask = zip(*rows, strict=True)
+                    found, places = encode(formatted)
+                    n.append(len(turns))
+                    text.append(formatted)
+                    ids.append(found)
+                    offsets.append(places.ravel())
+                    mask.append(np.array(masked(places, spans), np.int32).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(mask, run_type)],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string()), lists(ids, pa.int32()), lists(offsets, pa.int32()), lists(mask, pa.int32())],
                     names=["conv_id", "n_turns", "formatted", "ids", "offsets", "mask"],
                 )
 
-    return whole.mapInArrow(run, "conv_id long, n_turns long, formatted string, ids array<long>, offsets array<long>, mask array<struct<first:long,end:long>>")
+    return whole.mapInArrow(run, "conv_id long, n_turns long, formatted string, ids array<int>, offsets array<int>, mask array<int>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -107,9 +112,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, text, offsets, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, text, offsets, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), slices(batch.column(2)), slices(batch.column(3)), strict=True):
                 turns = parse(text)
-                loss = "".join(unescape(text[offsets[2 * r["first"]] : offsets[2 * r["end"] - 1]]) for r in mask)
+                loss = "".join(unescape(text[offsets[2 * first] : offsets[2 * end - 1]]) for first, end in mask.reshape(-1, 2))
                 rows.append((conv, len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)

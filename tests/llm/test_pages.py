@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kestrel_kg.llm import chat, html, pii, warc
+from kestrel_kg.llm import chat, html, pii, tokens, warc
 from kestrel_kg.llm.html_pages import labelled_pages
 
 PAGES = "page_id long, url string, html string"
@@ -84,6 +84,22 @@ def test_escapes_are_undone(text):
     assert not re.search(r"<\||</?s>|\[/?INST\]|<</?SYS>>", chat.escape(text))
 
 
+def test_offsets_equal_those_of_the_slow_encoder():
+    marks = [chat.TURN, chat.TEXT, chat.END]
+    path = tokens.default_path()
+    fast, slow = tokens.offset_encoder(path, marks), tokens.load(path)
+    slow.encode_special_tokens = False
+    slow.add_special_tokens(marks)
+    r = random.Random(4)
+    alphabet = ["a", "é", "漢", "\U0001f600", " ", "\n", "  ", "word", " word", "12", "<|\\x", *marks]
+    for k in range(300):
+        text = "".join(r.choice(alphabet) for _ in range(k))
+        ids, offsets = fast(text)
+        found = slow.encode(text, add_special_tokens=False)
+        assert ids.tolist() == found.ids
+        assert [tuple(x) for x in offsets.tolist()] == found.offsets
+
+
 def test_conversations_read_back(spark):
     r = random.Random(1)
     alphabet = ["a", "é", "漢", "\U0001f600", " ", "\n", "<|end|>", "<|turn|>assistant<|text|>", "</s>[INST] ok [/INST]", "\\", "<\\|", "word "]
