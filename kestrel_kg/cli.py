@@ -1,4 +1,4 @@
-"""Command line: run-demo, ask, graph-stats, repair-graph, export, payload, evaluate. Handled errors end with status 2."""
+"""Command line: run-demo, ask, graph-stats, repair-graph, export, export-neo4j, payload, evaluate, web. Handled errors end with status 2."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ import json
 import sys
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 
-from . import clients
+from . import clients, settings
 from .operators import graphs, ontology, retrieve
-from .plans import workflow
+from .plans import web, workflow
 from .session import get_session
 from .sources import files, stores
 
@@ -24,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     demo.add_argument("--input", required=True)
     demo.add_argument("--out", required=True)
     demo.add_argument("--answers", required=True, help="JSON of rules: prompt, part of a prompt or schema to answer")
+    demo.add_argument("--cache", help="folder that keeps the model's answers")
     demo.add_argument("--chunk-size", type=int, default=800)
     demo.add_argument("--overlap", type=int, default=100)
     ask = sub.add_parser("ask", help="answer a question from a graph")
@@ -32,9 +32,18 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--top-k", type=int, default=10)
     fix = sub.add_parser("repair-graph", help="repair a graph against the ontology")
     fix.add_argument("--out", required=True)
+    fix.add_argument("--report")
     fix.add_argument("--infer-types", action="store_true")
+    fix.add_argument("--keep-duplicates", action="store_true")
     out = sub.add_parser("export", help="write Parquet tables and rows for a property-graph store")
     out.add_argument("--out", required=True)
+    store = sub.add_parser("export-neo4j", help="merge a graph into the graph store of the settings")
+    store.add_argument("--clear", action="store_true")
+    serve = sub.add_parser("web", help="serve the JSON endpoints")
+    serve.add_argument("--root", default=".")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    serve.add_argument("--answers", help="JSON of rules for a model")
     payload = sub.add_parser("payload", help="JSON for a view")
     payload.add_argument("--view", choices=("dashboard", "entities", "subgraph", "compare"), required=True)
     payload.add_argument("--query", default="")
@@ -46,10 +55,14 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--gt", required=True)
     score.add_argument("--out", required=True)
     score.add_argument("--skip", nargs="*", default=[])
+    score.add_argument("--pairs", help="JSON list of [left label, right label, whether they are one] for the resolution grid")
+    score.add_argument("--apply-dedup", action="store_true", help="resolve the whole graph at each setting; needs --ontology")
+    score.add_argument("--latency-questions", type=int, default=20)
+    score.add_argument("--ontology")
     stats = sub.add_parser("graph-stats", help="figures of a graph")
-    for p in (ask, stats, fix, out, payload, score):
+    for p in (ask, stats, fix, out, payload, score, store, serve):
         p.add_argument("--graph", required=True)
-    for p in (demo, fix, payload):
+    for p in (demo, fix, payload, serve):
         p.add_argument("--ontology", required=True)
     return top
 
@@ -63,11 +76,19 @@ def run(args: argparse.Namespace) -> None:
     if args.command == "run-demo":
         with open(args.answers, encoding="utf-8") as f:
             rules = json.load(f)
-        built = workflow.build_graph(spark, args.input, files.load_ontology(args.ontology), lambda: clients.RuleModel(rules), size=args.chunk_size, overlap=args.overlap)
+        built = workflow.build_graph(spark, args.input, files.load_ontology(args.ontology), lambda: clients.RuleModel(rules), size=args.chunk_size, overlap=args.overlap, cache=args.cache, path=args.out)
         stores.write_json(built.graph, args.out, built.ranks)
-        stores.save_json(built.summary, args.out.rpartition("/")[0] + "/run_summary.json" if "/" in args.out else "run_summary.json")
+        stores.save_json(built.summary, built.summary["summary_path"])
         show(built.summary)
         return
+    if args.command == "web":
+        model = None
+        if args.answers:
+            with open(args.answers, encoding="utf-8") as f:
+                rules = json.load(f)
+            model = lambda: clients.RuleModel(rules)
+        web.server(web.Service(spark, args.root, args.graph, files.load_ontology(args.ontology), model), args.host, args.port).serve_forever()
+        return
     graph, ranks = files.read_graph(spark, args.graph)
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     if args.command == "graph-stats":
@@ -78,19 +99,34 @@ def run(args: argparse.Namespace) -> None:
     elif args.command == "repair-graph":
         onto = files.load_ontology(args.ontology)
         classes, specs = onto.class_table(spark), onto.relation_table(spark)
-        fixed, actions = ontology.repair(graph, specs, infer_types=args.infer_types)
-        report = {"before": ontology.validation(graph, classes, specs).first().asDict(), "after": ontology.validation(fixed, classes, specs).first().asDict(), "actions": rows(actions)}
+        fixed, actions = ontology.repair(graph, specs, infer_types=args.infer_types, deduplicate=not args.keep_duplicates)
+        report = workflow.repair_report(graph, fixed, actions, classes, specs, ontology.inferred_types(graph, specs) if args.infer_types else None)
+        path = args.report or args.out.removesuffix(".json") + ".repair_report.json"
+        report |= {"input_graph": args.graph, "output_graph": args.out, "report_path": path}
         stores.write_json(fixed, args.out, graphs.pagerank(graphs.nodes_of(fixed), fixed.edges()).withColumnRenamed("node", "entity_id"))
-        stores.save_json(report, args.out.removesuffix(".json") + ".repair_report.json")
+        stores.save_json(report, path)
         show(report)
     elif args.command == "export":
         stores.write_tables(graph, args.out, ranks)
         nodes, edges = stores.store_rows(graph)
         nodes.write.mode("overwrite").parquet(f"{args.out}/store_nodes")
         edges.write.mode("overwrite").parquet(f"{args.out}/store_edges")
+    elif args.command == "export-neo4j":
+        found = settings.store()
+        stores.upsert(graph, lambda: stores.CypherTarget.connect(found.uri, found.user, found.password, found.database), clear=args.clear)
     elif args.command == "evaluate":
         questions = files.read_benchmark(spark, args.gt).withColumnRenamed("id", "query")
-        print(stores.fixed_width(workflow.full_evaluation(spark, retrieve.Retriever.of(graph, ranks), questions, args.out, skip=tuple(args.skip)).get("retrieval_metrics", [])))
+        labelled = tables = None
+        if args.pairs:
+            with open(args.pairs, encoding="utf-8") as f:
+                labelled = spark.createDataFrame([(a, b, bool(c)) for a, b, c in json.load(f)], "left string, right string, actual boolean")
+        if args.apply_dedup:
+            if not args.ontology:
+                raise ValueError("--apply-dedup needs --ontology")
+            onto = files.load_ontology(args.ontology)
+            tables = onto.class_table(spark), onto.relation_table(spark)
+        found = workflow.full_evaluation(spark, retrieve.Retriever.of(graph, ranks), questions, args.out, skip=tuple(args.skip), labelled=labelled, n_latency=args.latency_questions, ontology_tables=tables)
+        print(stores.fixed_width(found.get("retrieval_metrics", [])))
     elif args.view == "dashboard":
         onto = files.load_ontology(args.ontology)
         show(workflow.dashboard(graph, ranks, onto.class_table(spark), onto.relation_table(spark)))
@@ -101,8 +137,7 @@ def run(args: argparse.Namespace) -> None:
         page = graphs.subgraph(graph, args.entity, args.depth, args.limit, args.offset)
         show(page | {"relations": rows(page["relations"]), "nodes": rows(page["nodes"])})
     else:
-        questions = spark.createDataFrame([(0, args.query)], "query long, question string")
-        show(rows(retrieve.Retriever.of(graph, ranks).compare(questions, args.limit).orderBy("mode", F.col("rank"))))
+        show(retrieve.timed_comparison(retrieve.Retriever.of(graph, ranks), args.query, args.limit))
 
 
 def main(argv: list[str] | None = None) -> int:

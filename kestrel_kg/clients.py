@@ -69,6 +69,8 @@ class HttpModel:
     timeout: float = 60
     retries: int = 2
     interval: float = 0.0
+    single: bool = False
+    temperature: float = 0.0
     _last: float = 0.0
 
     def __repr__(self) -> str:
@@ -89,14 +91,19 @@ class HttpModel:
         raise AssertionError
 
     def complete(self, prompt: str, schema: str | None = None) -> str:
-        found = self.post({"model": self.model, "stream": False, "messages": [{"role": "user", "content": prompt}]})
+        found = self.post({"model": self.model, "stream": False, "temperature": self.temperature, "messages": [{"role": "user", "content": prompt}]})
         return found["choices"][0]["message"]["content"] if "choices" in found else found["message"]["content"]
 
     def encode(self, texts: list[str]) -> list[list[float]]:
-        rows = self.post({"model": self.model, "input": texts})["data"]
-        if len(rows) != len(texts):
+        """Vectors of a batch (``data`` with indexes, or ``embeddings``); an endpoint that takes one text a request answers with ``embedding``."""
+        if self.single:
+            found = [self.post({"model": self.model, "prompt": t})["embedding"] for t in texts]
+        else:
+            reply = self.post({"model": self.model, "input": texts})
+            found = reply["embeddings"] if "embeddings" in reply else [r["embedding"] for r in sorted(reply["data"], key=lambda r: r["index"])]
+        if len(found) != len(texts):
             raise ValueError("as many vectors as texts are due")
-        return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
+        return [[float(x) for x in v] for v in found]
 
 
 def complete_all(requests: DataFrame, make: Callable[[], TextModel], schema: str | None = None, at_once: int | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ def path_relations(graph: Graph, entity_id: str, depth: int = 1) -> DataFrame:
     return labelled(graph, rows).orderBy("predicate", "subject_label", "object_label", "subject_id", "object_id", "relation_index")
 
 
-def greedy_subgraph(graph: Graph, centres: list[str], *, depth: int = 1, max_nodes: int = 50, types: list[str] | None = None, batch: int = 5000) -> dict[str, list]:
+def greedy_subgraph(graph: Graph, centres: list[str], *, depth: int = 1, max_nodes: int = 50, types: list[str] | None = None, predicate: str | None = None, batch: int = 5000) -> dict[str, list]:
     """Relations taken in order as long as their ends number at most ``max_nodes``; neighbours fill up if none fits.
 
     The choice is one after the other by nature. Relations are read in pages of ``batch``, only those that can still fit (once a single
@@ -153,6 +153,7 @@ def greedy_subgraph(graph: Graph, centres: list[str], *, depth: int = 1, max_nod
         near = near.join(allowed, "node", "left_semi").unionByName(near.where("depth = 0")).distinct()
     inside = near.select("node")
     rows = graph.relations.join(inside.withColumnRenamed("node", "subject_id"), "subject_id", "left_semi").join(inside.withColumnRenamed("node", "object_id"), "object_id", "left_semi")
+    rows = rows.where(F.col("predicate") == predicate) if predicate else rows
     found = {r.node for r in start.collect()}
     chosen: list = []
     nodes = set(sorted(found)[:max_nodes])

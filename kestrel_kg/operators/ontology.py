@@ -120,14 +120,15 @@ def inferred_types(graph: Graph, specs: DataFrame, *, votes: int = 2, share: flo
     return rows.where((F.col("votes") >= votes) & (F.col("votes") / F.col("all") >= share)).select("entity_id", "entity_type", "votes")
 
 
-def repair(graph: Graph, specs: DataFrame, *, infer_types: bool = False) -> tuple[Graph, DataFrame]:
+def repair(graph: Graph, specs: DataFrame, *, infer_types: bool = False, deduplicate: bool = True) -> tuple[Graph, DataFrame]:
     """(the repaired graph, relations by action)."""
     if infer_types:
         new = inferred_types(graph, specs).select("entity_id", F.col("entity_type").alias("_new"))
         entities = graph.entities.join(new, "entity_id", "left").withColumn("entity_type", F.coalesce("_new", "entity_type")).select(*graph.entities.columns)
         graph = Graph(entities, graph.relations)
     actions = with_action(graph, specs).groupBy("action").agg(F.count("*").alias("relations"))
-    rows = best_of_equal(repaired_relations(graph, specs)).withColumnRenamed("relation_index", "_old")
+    rows = repaired_relations(graph, specs)
+    rows = (best_of_equal(rows) if deduplicate else rows).withColumnRenamed("relation_index", "_old")
     return Graph(graph.entities, ordered_index(rows, "relation_index", "_old").drop("_old").select(*graph.relations.columns)), actions
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -208,6 +209,24 @@ class Retriever:
         return out
 
 
+def timed_comparison(retriever: Retriever, question: str, limit: int = 10) -> dict[str, object]:
+    """One question in every mode: seconds and hits by mode."""
+    if not question.strip():
+        raise ValueError("the question is empty")
+    limit = min(max(limit, 1), 20)
+    asked = retriever.graph.entities.sparkSession.createDataFrame([(0, question)], "query long, question string")
+    modes: dict[str, object] = {}
+    for mode in MODES:
+        started = time.perf_counter()
+        found = retriever.retrieve(asked, mode, limit).collect()
+        seconds = time.perf_counter() - started
+        hits = retriever.graph.entities.where(F.col("entity_id").isin([r.doc for r in found])).select("entity_id", "label", "entity_type").collect()
+        names = {r.entity_id: r for r in hits}
+        items = [{"rank": r["rank"], "entity_id": r.doc, "label": names[r.doc].label, "entity_type": names[r.doc].entity_type, "score": r.score, "components": r.components} for r in sorted(found, key=lambda r: r["rank"])]
+        modes[mode] = {"duration_s": seconds, "items": items}
+    return {"query": question, "top_k": limit, "modes": modes}
+
+
 def search(graph: Graph, needle: str, *, kind: str | None = None, limit: int = 20, offset: int = 0, most: int = 200, by_field: bool = False) -> tuple[DataFrame, int]:
     """(a page of the entities whose joined text holds the needle, their number); ``by_field``: the needle must lie in one field."""
     limit, offset, needle = min(max(limit, 1), most), max(offset, 0), needle.strip().lower().replace("ß", "ss")

@@ -6,15 +6,17 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterable
-from typing import Protocol
+from typing import IO, Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graphs, retrieve
 from ..operators.model import Graph, ordered_index
+from ..session import checkpoint
 
 
 def write_tables(graph: Graph, folder: str, ranks: DataFrame | None = None) -> None:
@@ -39,14 +41,32 @@ def write_json(graph: Graph, path: str, ranks: DataFrame | None = None) -> None:
             name = value.pop(key)
             if "metadata" in value:
                 value["metadata"] = json.loads(value["metadata"])
-            yield f"{json.dumps(name, ensure_ascii=False)}: {json.dumps(value.get('pagerank', value), ensure_ascii=False)}"
+            yield f"    {json.dumps(name, ensure_ascii=False)}: {indented(value.get('pagerank', value))}"
 
     entities = graph.entities.drop("ord").orderBy("entity_id").toLocalIterator()
     relations = graph.relations.orderBy("relation_index").drop("relation_index").toLocalIterator()
     with open(path, "w", encoding="utf-8") as f:
-        f.write('{\n"entities": {\n' + ",\n".join(members(entities, "entity_id")) + '\n},\n"relations": [\n')
-        f.write(",\n".join(json.dumps(r.asDict() | {"metadata": json.loads(r.metadata)}, ensure_ascii=False) for r in relations))
-        f.write('\n],\n"pagerank": {\n' + (",\n".join(members(ranks.orderBy("entity_id").toLocalIterator(), "entity_id")) if ranks is not None else "") + "\n}\n}\n")
+        f.write('{\n  "entities": ')
+        listed(f, "{}", members(entities, "entity_id"))
+        f.write(',\n  "relations": ')
+        listed(f, "[]", ("    " + indented(r.asDict() | {"metadata": json.loads(r.metadata)}) for r in relations))
+        f.write(',\n  "pagerank": ')
+        listed(f, "{}", members(ranks.orderBy("entity_id").toLocalIterator(), "entity_id") if ranks is not None else ())
+        f.write("\n}")
+
+
+def indented(value: object) -> str:
+    """JSON with two spaces a level, for a place two levels down."""
+    return json.dumps(value, ensure_ascii=False, indent=2).replace("\n", "\n    ")
+
+
+def listed(file: IO[str], ends: str, items: Iterable[str]) -> None:
+    """The items between the two ``ends``, one after the other as they come."""
+    mark = ends[0] + "\n"
+    for item in items:
+        file.write(mark + item)
+        mark = ",\n"
+    file.write(ends if mark[0] == ends[0] else "\n  " + ends[1])
 
 
 def json_text(value: object) -> str:
@@ -76,8 +96,15 @@ def store_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return graph.entities.drop("ord"), last.select(*key, "r.*")
 
 
-def upsert(graph: Graph, connect: Callable[[], object], batch: int = 1000) -> None:
-    """Send the rows in batches; ``connect()`` gives an object with ``nodes(list)``, ``edges(list)`` and ``close()`` in each task."""
+def upsert(graph: Graph, connect: Callable[[], object], batch: int = 1000, clear: bool = False) -> None:
+    """Send the rows in batches; ``connect()`` gives an object with ``prepare(clear)``, ``nodes(list)``, ``edges(list)`` and ``close()``.
+
+    The driver prepares the store (unique ids; emptied if ``clear``), then every task opens its own. Rows are merged by key, so that
+    a task done again changes nothing; the edges are sent after all the nodes.
+    """
+    target = connect()
+    target.prepare(clear)
+    target.close()
 
     def sender(method: str) -> Callable[[Iterable[Row]], None]:
         def send(rows: Iterable[Row]) -> None:
@@ -108,6 +135,44 @@ def from_store(nodes: DataFrame, edges: DataFrame) -> Graph:
     return Graph(ordered_index(entities, "ord", "entity_id"), ordered_index(relations, "relation_index", "subject_id", "predicate", "object_id", "source_chunk", "confidence"))
 
 
+class CypherTarget:
+    """The target of ``upsert`` in a property-graph database that speaks Cypher; ``session``: an object with ``run(text, **values)`` and ``close()``."""
+
+    def __init__(self, session: object) -> None:
+        self.session = session
+
+    @staticmethod
+    def connect(uri: str, user: str, password: str, database: str | None = None) -> CypherTarget:
+        from neo4j import GraphDatabase  # needed on the executors only where this target is used
+
+        return CypherTarget(GraphDatabase.driver(uri, auth=(user, password)).session(database=database))
+
+    def prepare(self, clear: bool = False) -> None:
+        self.session.run("CREATE CONSTRAINT entity_id IF NOT EXISTS FOR (e:Entity) REQUIRE e.id IS UNIQUE")
+        if clear:
+            self.session.run("MATCH (e:Entity) DETACH DELETE e")
+
+    def nodes(self, rows: list[dict]) -> None:
+        values = [{("id" if k == "entity_id" else "metadata_json" if k == "metadata" else k): v for k, v in r.items()} for r in rows]
+        self.session.run("UNWIND $rows AS row MERGE (e:Entity {id: row.id}) SET e += row", rows=values)
+
+    def edges(self, rows: list[dict]) -> None:
+        """A statement for each relationship type, because a type can't be a parameter; types hold letters, digits and _ only."""
+        types: dict[str, list[dict]] = {}
+        for r in rows:
+            types.setdefault(r["relation_type"], []).append(r)
+        for name, part in types.items():
+            self.session.run(
+                "UNWIND $rows AS row MATCH (s:Entity {id: row.subject_id}) MATCH (o:Entity {id: row.object_id}) "
+                f"MERGE (s)-[r:`{name}` {{predicate: row.predicate, relation_key: row.relation_key}}]->(o) "
+                "SET r.confidence = row.confidence, r.source_chunk = row.source_chunk, r.metadata_json = row.metadata",
+                rows=part,
+            )
+
+    def close(self) -> None:
+        self.session.close()
+
+
 class Store(Protocol):
     def read_graph(self) -> Graph: ...
     def write_graph(self, graph: Graph, clear: bool = False) -> None: ...
@@ -116,6 +181,18 @@ class Store(Protocol):
     def get_subgraph(self, entity_id: str, depth: int = 1, limit: int = 50, offset: int = 0) -> dict[str, object]: ...
 
 
+def merged(old: Graph, new: Graph) -> Graph:
+    """``new`` over ``old``: entities by id, relations by ends, predicate and key."""
+    entities = old.entities.join(new.entities, "entity_id", "left_anti").withColumn("_new", F.lit(0)).unionByName(new.entities.withColumn("_new", F.lit(1)))
+    keyed = lambda g, n: g.relations.withColumns({"_new": F.lit(n), "_key": relation_key("subject_id", "predicate", "object_id", "source_chunk", "metadata")})
+    relations = keyed(old, 0).join(keyed(new, 1).select("_key").distinct(), "_key", "left_anti").unionByName(keyed(new, 1))
+    names = [c for c in new.relations.columns if c != "relation_index"]
+    return Graph(
+        ordered_index(entities.withColumnRenamed("ord", "_old"), "ord", "_new", "_old").select(*new.entities.columns),
+        ordered_index(relations.withColumnRenamed("relation_index", "_old"), "relation_index", "_new", "_old").select("relation_index", *names).select(*new.relations.columns),
+    )
+
+
 class TableStore:
     """A store over Parquet tables."""
 
@@ -126,7 +203,10 @@ class TableStore:
         return read_tables(self.spark, self.folder)
 
     def write_graph(self, graph: Graph, clear: bool = False) -> None:
-        write_tables(graph, self.folder)
+        """Entities and relations by key: the graph's replace the store's of equal key, the others stay unless ``clear``."""
+        if not clear and os.path.exists(f"{self.folder}/entities"):
+            graph = merged(self.read_graph(), graph)
+        write_tables(Graph(checkpoint(graph.entities), checkpoint(graph.relations)), self.folder)
 
     def stats(self) -> dict[str, int]:
         graph = self.read_graph()
@@ -140,6 +220,23 @@ class TableStore:
         return found | {"relations": found["relations"].collect(), "nodes": found["nodes"].collect()}
 
 
+def read_cache(spark: SparkSession, folder: str | None, name: str) -> DataFrame:
+    """key, payload of the answers kept under a folder; none where there is no table yet."""
+    empty = spark.createDataFrame([], "key string, payload string")
+    if folder is None:
+        return empty
+    try:
+        return spark.read.schema(empty.schema).parquet(f"{folder}/{name}").groupBy("key").agg(F.min("payload").alias("payload"))
+    except AnalysisException:
+        return empty
+
+
+def append_cache(fresh: DataFrame, folder: str | None, name: str) -> None:
+    """Keep those new answers that are JSON objects, whatever their shape."""
+    if folder is not None:
+        fresh.where(F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{")).select("key", "payload").write.mode("append").parquet(f"{folder}/{name}")
+
+
 def save_json(payload: object, path: str) -> str:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:

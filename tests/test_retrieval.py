@@ -110,13 +110,19 @@ def test_from_markdown_to_answers(spark, tmp_path):
     for name, content in (("onto.json", ONTOLOGY), ("rules.json", rules()), ("gt.json", {"questions": [{"question": "imatinib", "relevant_entity_labels": ["Imatinib"]}]})):
         (tmp_path / name).write_text(json.dumps(content), encoding="utf-8")
     built = workflow.build_graph(spark, str(tmp_path / "notes"), files.load_ontology(str(tmp_path / "onto.json")), lambda: clients.RuleModel(rules()))
-    assert {k: built.summary[k] for k in ("documents", "chunks", "entities", "relations", "inferred_relations", "consistency")} == {"documents": 2, "chunks": 2, "entities": 3, "relations": 3, "inferred_relations": 1, "consistency": 1.0}
+    s = built.summary
+    assert (s["documents_processed"], s["chunks_processed"], s["entity_count_raw"], s["entity_count_final"], s["relation_count_raw"], s["relation_count_final"]) == (2, 2, 3, 3, 2, 3)
+    assert s["reasoning"] == {"inferred_relations": 1} and s["consistency_final"] == 1.0 and len(s) == 18
+    assert s["typing"]["typed"] == 3 and s["typing"]["cache_misses"] == 3 and s["retrieved_entities"][0]["rank"] == 1
     told = workflow.ask(spark, retrieve.Retriever.of(built.graph, built.ranks), "imatinib", limit=2)
     assert told["entities"][0]["label"] == "imatinib" and told["source_chunks"]
     stores.write_json(built.graph, str(tmp_path / "g.json"), built.ranks)
     questions = files.read_benchmark(spark, str(tmp_path / "gt.json")).withColumnRenamed("id", "query")
     out = workflow.full_evaluation(spark, retrieve.Retriever.of(built.graph, built.ranks), questions, str(tmp_path / "out"))
     assert {r["mode"]: r["mrr"] for r in out["retrieval_metrics"]}["lexical_only"] == 1.0
+    assert {r["system"] for r in out["baseline_metrics"]} == set(evaluate.BASELINES)
+    assert {r["stage"] for r in out["latency_results"]} == set(workflow.STAGES)
+    assert spark.read.parquet(str(tmp_path / "out" / "retrieval_per_question")).count() == 5
     assert (tmp_path / "out" / "evaluation_report.md").exists()
 
 
