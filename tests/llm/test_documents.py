@@ -1,6 +1,7 @@
 """Quality rules, decontamination, line dedup, packing: each against a brute-force version."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
