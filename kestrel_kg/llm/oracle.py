@@ -80,5 +80,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT
   len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
+def url_sql() -> str:
+    """The rules of op11 as rows, the vocabulary as one pattern a term."""
+    from .registry import URL_RULES
+    from .urls import LIMIT, weights
+
+    text = "coalesce(url, '')"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    terms = ", ".join(f"('{t}', {w})" for t, w in weights().items())
+    edge = r"[^a-z0-9\x80-\x{10FFFF}]"
+    return f"""
+WITH a AS (SELECT page_id, {lower("url")} AS u, CASE WHEN strpos({text}, '://') > 0 THEN regexp_extract(substr({text}, strpos({text}, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, u, {lower("regexp_extract(rest, '^[^/]*')")} AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM a),
+r AS (SELECT * FROM (VALUES {rules}) AS r(h, p, v)), t AS (SELECT * FROM (VALUES {terms}) AS t(term, w)),
+f AS (SELECT page_id, arg_max(h || p, (length(h || p), v)) AS rule, arg_max(v, (length(h || p), v)) AS said FROM b JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+x AS (SELECT page_id, sum(w)::BIGINT AS weight, string_agg(term, ',' ORDER BY term) AS terms FROM b JOIN t ON regexp_matches(u, '(^|{edge})' || term || '($|{edge})') GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(weight, 0) AS weight, coalesce(terms, '') AS terms FROM b LEFT JOIN f USING (page_id) LEFT JOIN x USING (page_id)"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "lm_base": BASE, "quality_base": QUALITY}
+    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "op11_urls": url_sql(), "lm_base": BASE, "quality_base": QUALITY}

@@ -89,6 +89,17 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "text")
 
 
+#: (host, path, verdict)
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    found = urls.judge(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+    return found.select("page_id", "host", "path", "rule", "verdict", "weight", F.array_join("terms", ",").alias("terms"))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that SQL can express."""
     return op5_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
@@ -100,7 +111,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, lm_base, quality_base)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, op11_urls, lm_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
