@@ -79,6 +79,14 @@ l AS (SELECT doc_id, (count(*) - count(DISTINCT t))::BIGINT AS n FROM (SELECT do
 SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
   len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
+NEGATIVES = """
+WITH v AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
 
 def url_sql() -> str:
     """The rules of op11 as rows, the vocabulary as one pattern a term."""
@@ -99,4 +107,4 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(weight, 0) >
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "op11_urls": url_sql(), "lm_base": BASE, "quality_base": QUALITY}
+    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "op11_urls": url_sql(), "op12_negatives": NEGATIVES, "lm_base": BASE, "quality_base": QUALITY}

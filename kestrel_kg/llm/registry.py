@@ -100,6 +100,14 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "weight", F.array_join("terms", ",").alias("terms"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 50 == 0)
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that SQL can express."""
     return op5_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
@@ -111,7 +119,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, op11_urls, lm_base, quality_base)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, op11_urls, op12_negatives, lm_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
