@@ -87,6 +87,19 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE
 SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
 
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower("text")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+s AS MATERIALIZED (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p WHERE regexp_matches(t, '[^\x20\x09]')),
+o AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM s CROSS JOIN (VALUES (1), (2), (3), (4)) AS k(k) WHERE len(w) >= k),
+g AS MATERIALIZED (SELECT lang, k, w[i : i + k - 1] AS w, count(*) AS f FROM o GROUP BY 1, 2, 3),
+m AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT * FROM g WHERE k > 1 AND f >= 30),
+x AS (SELECT c.lang, c.w, c.f AS a, cut, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score FROM c JOIN (VALUES (1), (2), (3)) AS t(cut) ON cut < c.k JOIN g l ON l.lang = c.lang AND l.w = c.w[1 : cut] JOIN g r ON r.lang = c.lang AND r.w = c.w[cut + 1 : c.k]),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+h AS (SELECT lang, w[i : j] AS w, max(f) AS longer FROM c JOIN (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS t(i, j) ON j <= k AND j - i + 1 < k GROUP BY 1, 2)
+SELECT y.lang, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, array_to_string(y.w, ' ')) AS rank, array_to_string(y.w, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM y JOIN m ON m.lang = y.lang LEFT JOIN h ON h.lang = y.lang AND h.w = y.w WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, array_to_string(y.w, ' ')) <= 2000"""
+
 
 def url_sql() -> str:
     """The rules of op11 as rows, the vocabulary as one pattern a term."""
@@ -107,4 +120,4 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(weight, 0) >
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "op11_urls": url_sql(), "op12_negatives": NEGATIVES, "lm_base": BASE, "quality_base": QUALITY}
+    return {"op2_chat": CHAT, "op3_decontaminate": CONTAMINATION, "op4_warc": WARC, "op7_neardup": NEAR, "op10_linededup": LINES, "op11_urls": url_sql(), "op12_negatives": NEGATIVES, "op13_phrases": PHRASES, "lm_base": BASE, "quality_base": QUALITY}

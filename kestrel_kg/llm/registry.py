@@ -108,6 +108,12 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 50 == 0)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that SQL can express."""
     return op5_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
@@ -119,7 +125,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, op11_urls, op12_negatives, lm_base, quality_base)}
+    return {f.__name__: f for f in (op1_html, op2_chat, op3_decontaminate, op4_warc, op5_lm, op6_quality, op7_neardup, op8_packing, op9_pii, op10_linededup, op11_urls, op12_negatives, op13_phrases, lm_base, quality_base)}
 
 
 def oracle_sql() -> dict[str, str]:
