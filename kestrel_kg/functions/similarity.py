@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,30 +38,47 @@ def sorted_ratio(left: str, right: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def best_ratio(left: list[str], right: list[str], floor: float = 0.0) -> float:
-    """The largest ratio of two lists' members; ratios under ``floor`` may come out as nought, which spares their computation."""
-    if not len(left) or not len(right):
-        return 0.0
-    if set(left) & set(right):
-        return 1.0
-    return max(sorted_ratio(a, b) if bound(a, b) >= floor else 0.0 for a in left for b in right)
+def best_ratio(left: list[str], right: list[str]) -> float:
+    """The largest ratio of two lists' members."""
+    return max((sorted_ratio(a, b) for a in left for b in right), default=0.0)
 
 
-def bound(a: str, b: str) -> float:
-    """No ratio of the two is larger: it counts the words' characters that occur in both."""
-    both = sum((Counter(a) & Counter(b)).values())
-    return 2 * both / ((len(a) + len(b)) or 1)
+def lexical_similarity(left: Column | str, right: Column | str) -> Column:
+    """Largest ratio over two lists of label variants."""
 
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([best_ratio(a, b) for a, b in zip(x, y, strict=True)], dtype=float)
 
-def lexical_similarity(left: Column | str, right: Column | str, floor: float = 0.0) -> Column:
-    """Largest ratio over two lists of label variants."""
+    return F.pandas_udf(ratios, "double")(left, right)
+
+
+def sorted_words(text: Column) -> Column:
+    """The text's words in order, as ``sorted_ratio`` compares them."""
+    return F.array_join(F.array_sort(F.filter(F.split(text, " "), lambda w: w != "")), " ")
+
+
+def ratio_of_sorted(left: Column | str, right: Column | str) -> Column:
+    """Ratio of texts whose words are sorted already."""
 
     def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([best_ratio(a, b, floor) for a, b in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)], dtype=float)
 
     return F.pandas_udf(ratios, "double")(left, right)
 
 
+def counted_characters(text: Column) -> Column:
+    """The text's characters, each with how often it has occurred so far: the overlap of two such arrays is that of the characters' counts."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def lexical_floor(threshold: float, alpha: float, *, vectors: bool) -> float:
+    """No pair whose lexical similarity is under this reaches the threshold, whatever its vectors."""
+    if not vectors:
+        return threshold
+    return max(0.0, (threshold - alpha) / (1 - alpha)) if alpha < 1 else 0.0
+
+
 def hybrid_similarity(lexical: Column, semantic: Column, left_type: Column, right_type: Column, alpha: float) -> Column:
     compatible = (left_type == right_type) | (left_type == "Other") | (right_type == "Other")
     mixed = F.lit(alpha) * semantic + F.lit(1 - alpha) * lexical

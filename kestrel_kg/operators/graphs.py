@@ -1,15 +1,17 @@
 """Graph measures: degrees, PageRank, components, neighbourhoods, subgraphs.
 
-Every step of PageRank and components is a join and an aggregation in one job, whose lineage is cut by a checkpoint.
+PageRank and components go on in steps whose lineage is cut by checkpoints.
 """
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import checkpoint
+from ..session import bucketed, checkpoint
 from .model import Graph
 
 
@@ -21,41 +23,116 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("dst", "src")).distinct()
 
 
+#: Steps of PageRank in one job.
+STRIDE = 4
+
+
+def spread(links: DataFrame, values: DataFrame, alpha: float) -> DataFrame:
+    """node, value: what each node gets if every node shares ``alpha`` of its value (node, value) among its links (src, dst, out)."""
+    return links.join(values.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.lit(alpha) * F.sum(F.col("value") / F.col("out"))).alias("value"))
+
+
+class Ranks:
+    """PageRank's vector in jobs of several steps.
+
+    A step is x' = A x + e / n, where A spreads along links and e = alpha * (what dangling nodes hold) + 1 - alpha. So after k steps
+    x = A^k x0 + sum of e_j * A^(k-j) (1/n). The powers of the uniform vector are made once, for the first few k; a job makes A^k x0 in
+    a chain of joins without knowing any e, and the masses observed on the way give the e afterwards: what reaches all nodes in a step is
+    what those with links held before it.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, n: int, alpha: float) -> None:
+        degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
+        self.links = bucketed(edges.join(degree, edges["src"] == degree["node"]).select("src", "dst", "out"), "src")
+        self.alpha, self.n = alpha, n
+        power = nodes.select("node", F.lit(1 / n).alias("value"))
+        rows = nodes.join(degree, "node", "left").select("node", "out", F.lit(1 / n).alias("b0"))
+        for k in range(1, STRIDE):
+            power = spread(self.links, power, alpha)
+            rows = rows.join(power.withColumnRenamed("value", f"b{k}"), "node", "left").fillna(0.0, [f"b{k}"])
+        self.powers = [f"b{k}" for k in range(STRIDE)]
+        self.state = checkpoint(rows)
+        self.x, self.old = F.col("b0"), None
+        loose = self.state.where("out is null").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in self.powers]).first()
+        self.loose_powers, self.loose = list(loose), loose[0]
+
+    def go(self, steps: int) -> None:
+        """On by up to ``STRIDE`` steps."""
+        value = self.state.select("node", self.x.alias("value"))
+        rows = self.state.select("node", "out", *self.powers, self.x.alias("y0"))
+        for k in range(1, steps + 1):
+            value = spread(self.links, value, self.alpha)  # used twice: Spark makes the shuffle once
+            rows = rows.join(value.withColumnRenamed("value", f"y{k}"), "node", "left").fillna(0.0, [f"y{k}"])
+        self.state = checkpoint(rows)
+        held = self.state.where("out is null").agg(*[F.coalesce(F.sum(f"y{k}"), F.lit(0.0)) for k in range(1, steps + 1)]).first()
+        e = []
+        for k in range(steps):
+            e.append(self.alpha * self.loose + 1 - self.alpha)
+            self.loose = held[k] + sum(x * self.loose_powers[k - i] for i, x in enumerate(e))
+        mixed = lambda k: sum((F.lit(e[j]) * F.col(f"b{k - 1 - j}") for j in range(k)), F.col(f"y{k}"))
+        self.x, self.old = mixed(steps), mixed(steps - 1)
+
+    def moved(self) -> float:
+        """L1 change by the last step."""
+        return self.state.agg(F.sum(F.abs(self.x - self.old))).first()[0]
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, max_steps: int = 200, tolerance: float = 1e-6, fixed_steps: int | None = None) -> DataFrame:
-    """node, pagerank: uniform teleport, uniform spread of dangling mass, until the L1 change is under ``tolerance`` a node."""
+    """node, pagerank: uniform teleport, uniform spread of dangling mass, until the L1 change is under ``tolerance`` a node.
+
+    The links are shuffled once, into buckets by source; steps shuffle ranks and contributions only. The change shrinks from step to step,
+    so it is looked at once a job, and the last job is done again for the first step under the tolerance.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
-    links = checkpoint(edges.join(degree, edges["src"] == degree["node"]).select("src", "dst", "out"))
-    state = checkpoint(nodes.join(degree, "node", "left").select("node", "out", F.lit(1 / n).alias("pagerank")))
-    for _ in range(fixed_steps or max_steps):
-        loose = F.broadcast(state.where("out is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose")))
-        got = links.join(state.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") / F.col("out")).alias("got"))
-        value = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n
-        new = checkpoint(state.join(got, "node", "left").crossJoin(loose).select("node", "out", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved")))
-        state = new.drop("moved")
-        if not fixed_steps and new.agg(F.sum("moved")).first()[0] < n * tolerance:
+    ranks, left = Ranks(nodes, edges, n, alpha), fixed_steps or max_steps
+    while left:
+        steps = min(STRIDE, left)
+        start = copy.copy(ranks)
+        ranks.go(steps)
+        left -= steps
+        if not fixed_steps and ranks.moved() < n * tolerance:
+            for fewer in range(1, steps):
+                again = copy.copy(start)
+                again.go(fewer)
+                if again.moved() < n * tolerance:
+                    ranks = again
+                    break
             break
     else:
         if not fixed_steps:
             raise RuntimeError(f"PageRank didn't converge in {max_steps} steps")
-    return state.select("node", "pagerank")
+    return ranks.state.select("node", ranks.x.alias("pagerank"))
+
+
+def contracted(links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component: its least node) for every node of ``links`` (a, b), and the number of rounds.
+
+    A round links every node's larger neighbours to its least one (large star), then all smaller ones (small star), until what is left are
+    stars around each component's least node. The rounds grow with the logarithm of the longest path; each ends in a checkpoint.
+    """
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    rounds = 0
+    while True:
+        # stars: nobody has two parents, and no parent has one
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("x"))
+        if not ends.groupBy("x.node").agg(F.sum("x.child").alias("child"), F.max("x.parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)").limit(1).count():
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = checkpoint(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        rounds += 1
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), rounds
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least name of its weakly connected component."""
-    both = checkpoint(symmetric(edges).where("src <> dst"))
-    state = checkpoint(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        seen = both.join(state.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
-        near = state.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
-        jump = state.select(F.col("node").alias("least"), F.col("component").alias("far"))
-        new = checkpoint(near.join(jump, "least").select("node", F.col("component").alias("old"), F.least("least", "far").alias("component")))
-        moved = new.where("old <> component").limit(1).count()
-        state = new.drop("old")
-        if not moved:
-            return state
+    found, _ = contracted(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def degrees(graph: Graph) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..session import checkpoint
 from .graphs import components, degrees
 from .model import Graph, ordered_index
 
@@ -21,30 +22,103 @@ def blocking_pairs(entities: DataFrame) -> DataFrame:
     return left.join(right, "key").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
-def label_pairs(entities: DataFrame) -> DataFrame:
+#: Characters whose frequency orders them; all others count as rarer.
+ORDERED = 256
+#: Members of a key's list that one task pairs; longer lists are dealt to a triangle of cells.
+CELL = 2000
+
+
+def dealt_pairs(rows: DataFrame, keys: list[str], name: str, fits: Column, cell: int = CELL) -> DataFrame:
+    """``rows`` paired with each other on ``keys`` where ``fits`` (over the aliases l and r) holds. A key of more than ``cell`` rows is dealt
+    to cells: a row meets each share of the others in a cell of its own, so no task pairs a whole list."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("_parts")).where("_parts > 1")
+    rows = rows.join(parts, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = rows.withColumn("_other", every).withColumn("_cell", F.struct(F.col("_share").alias("l"), F.col("_other").alias("r"))).drop("_parts", "_share", "_other")
+    right = rows.withColumn("_other", every).withColumn("_cell", F.struct(F.col("_other").alias("l"), F.col("_share").alias("r"))).drop("_parts", "_share", "_other")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "_cell")]
+    on = fits & (F.col(f"l.{name}") < F.col(f"r.{name}"))
+    for one in same:
+        on &= one
+    return left.alias("l").join(right.alias("r"), on)
+
+
+def similar_variants(entities: DataFrame, floor: float, cell: int = CELL) -> DataFrame:
+    """left_id, right_id, left_text, right_text: variants of two entities that share a blocking key, whose character counts allow a ratio
+    of ``floor`` or more. No other pair of variants reaches it.
+
+    A ratio counts matching characters twice, over both lengths; they are at most as many as the characters' counts overlap. Two variants
+    of that overlap share one of their first characters in an order from rare to common (prefix filter), so only those meet: their lists are
+    by blocking key and character. Lengths and whole counts are compared in the join itself.
+    """
+    if not 0 < floor <= 1:
+        raise ValueError("the floor must lie above 0 and up to 1")
+    variants = entities.select("entity_id", tx.blocking_keys(F.col("label"), F.col("aliases")).alias("keys"), F.explode(tx.entity_variants(F.col("label"), F.col("aliases"))).alias("variant"))
+    rows = variants.select("entity_id", "keys", sim.sorted_words(F.col("variant")).alias("text")).dropDuplicates(["entity_id", "text"]).withColumn("chars", sim.counted_characters(F.col("text")))
+    often = [r.c for r in rows.select(F.explode("chars").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(ORDERED).collect()]
+    rank = F.lit(often) if often else F.array().cast("array<string>")
+    # array_position is 0 for all rarer ones, so the commonest character comes last
+    place = lambda c: F.when(F.array_position(rank, c) > 0, F.lit(len(often)) - F.array_position(rank, c)).otherwise(-1)
+    ordered = F.transform(F.array_sort(F.transform("chars", lambda c: F.struct(place(c).alias("p"), c.alias("c")))), lambda x: x["c"])
+    n = F.size("chars")
+    least = F.ceil(n * F.lit(floor / (2 - floor)) - 1e-9).cast("int")
+    rows = rows.select("entity_id", "keys", "text", n.alias("n"), "chars", F.slice(ordered, 1, n - least + 1).alias("first")).where("n > 0")
+    rows = checkpoint(rows).withColumn("key", F.explode("keys")).withColumn("char", F.explode("first"))
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))  # noqa: E741
+    both = floor * (l("n") + r("n")) - 1e-9
+    fits = (2 * F.least(l("n"), r("n")) >= both) & (2 * F.size(F.array_intersect(l("chars"), r("chars"))) >= both)
+    # a pair that shares several keys and characters is taken at the first of them
+    fits &= (F.array_intersect(l("keys"), r("keys"))[0] == l("key")) & (F.array_intersect(l("first"), r("first"))[0] == l("char"))
+    pairs = dealt_pairs(rows, ["key", "char"], "entity_id", fits, cell)
+    return pairs.select(l("entity_id").alias("left_id"), r("entity_id").alias("right_id"), l("text").alias("left_text"), r("text").alias("right_text"))
+
+
+def similar_pairs(entities: DataFrame, floor: float) -> DataFrame:
+    """left_id, right_id, lexical: all blocked pairs whose lexical similarity is ``floor`` or more."""
+    rows = similar_variants(entities, floor)
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # small rows, long work: more tasks than their bytes would get
+    found = rows.withColumn("lexical", sim.ratio_of_sorted("left_text", "right_text")).groupBy("left_id", "right_id").agg(F.max("lexical").alias("lexical"))
+    return found.where(F.col("lexical") >= floor)
+
+
+def label_pairs(entities: DataFrame, cell: int = CELL) -> DataFrame:
     """left_id, right_id of entities of one type: the blocking for vectors whose labels carry no names."""
-    rows = entities.select("entity_id", "entity_type")
-    left, right = rows.withColumnRenamed("entity_id", "left_id"), rows.withColumnRenamed("entity_id", "right_id")
-    return left.join(right, "entity_type").where("left_id < right_id").select("left_id", "right_id")
+    pairs = dealt_pairs(entities.select("entity_id", "entity_type"), ["entity_type"], "entity_id", F.lit(True), cell)
+    return pairs.select(F.col("l.entity_id").alias("left_id"), F.col("r.entity_id").alias("right_id"))
 
 
-def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.6, *, lexical: bool = True, floor: float = 0.0) -> DataFrame:
+def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.6, *, lexical: bool = True) -> DataFrame:
     """The pairs with lexical, semantic and hybrid similarity. Without vectors the semantic part is the lexical one.
 
-    ``floor``: lexical similarities under it may come out as nought; only for entities without vectors may it be the threshold.
+    Pairs that bring a column ``lexical`` keep it; ``lexical=False`` counts it as nought.
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie within 0 and 1")
-    of = lambda end: entities.select(F.col("entity_id").alias(f"{end}_id"), F.col("entity_type").alias(f"{end}_type"), F.col("embedding").alias(f"{end}_vector"), tx.entity_variants(F.col("label"), F.col("aliases")).alias(f"{end}_variants"))
+    known = "lexical" in pairs.columns
+    extra = [] if known or not lexical else ["variants"]
+    made = entities.withColumn("variants", tx.entity_variants(F.col("label"), F.col("aliases")))
+    of = lambda end: made.select(*[F.col(c).alias(f"{end}_{n}") for c, n in (("entity_id", "id"), ("entity_type", "type"), ("embedding", "vector"))], *[F.col(c).alias(f"{end}_{c}") for c in extra])
     rows = pairs.join(of("left"), "left_id").join(of("right"), "right_id")
-    if lexical:  # small rows, long work: more tasks than their bytes would get
+    if extra:
         rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "left_id", "right_id")
-    rows = rows.withColumn("lexical", sim.lexical_similarity("left_variants", "right_variants", floor) if lexical else F.lit(0.0))
+    if not known:
+        rows = rows.withColumn("lexical", sim.lexical_similarity("left_variants", "right_variants") if lexical else F.lit(0.0))
     rows = rows.withColumn("semantic", sim.semantic_similarity(F.col("left_vector"), F.col("right_vector"), F.col("lexical")))
     hybrid = sim.hybrid_similarity(F.col("lexical"), F.col("semantic"), F.col("left_type"), F.col("right_type"), alpha)
     return rows.select("left_id", "right_id", "lexical", "semantic", hybrid.alias("hybrid"))
 
 
+def matching_pairs(entities: DataFrame, alpha: float = 0.6, threshold: float = 0.85) -> DataFrame:
+    """The blocked pairs whose hybrid similarity reaches the threshold, with their similarities.
+
+    A lexical floor follows from the threshold; only where vectors alone could reach it are all blocked pairs compared.
+    """
+    floor = sim.lexical_floor(threshold, alpha, vectors=bool(entities.where("embedding is not null").limit(1).count()))
+    pairs = similar_pairs(entities, floor) if floor > 0 else blocking_pairs(entities)
+    return with_similarity(pairs, entities, alpha).where(F.col("hybrid") >= threshold)
+
+
 def canonical_map(graph: Graph, matches: DataFrame) -> DataFrame:
     """entity_id, component, canonical_id: the member of most edges, then first in order, then by label and id."""
     nodes = graph.entities.select(F.col("entity_id").alias("node"))
@@ -104,9 +178,11 @@ def resolve(graph: Graph, *, alpha: float = 0.6, threshold: float = 0.85, pairs:
     """Merge near-duplicate entities; a graph without any comes back as it is."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie within 0 and 1")
-    floor = 0.0 if graph.entities.where("embedding is not null").limit(1).count() else threshold
-    scored = with_similarity(blocking_pairs(graph.entities) if pairs is None else pairs, graph.entities, alpha, lexical=lexical, floor=floor)
-    mapping = canonical_map(graph, scored.where(F.col("hybrid") >= threshold))
+    if pairs is None and lexical:
+        matches = matching_pairs(graph.entities, alpha, threshold)
+    else:
+        matches = with_similarity(blocking_pairs(graph.entities) if pairs is None else pairs, graph.entities, alpha, lexical=lexical).where(F.col("hybrid") >= threshold)
+    mapping = canonical_map(graph, matches)
     before, after = mapping.agg(F.count("*"), F.countDistinct("component")).first()
     if after == before:
         return Resolution(graph, mapping, before, after)

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from .model import Graph
+from ..session import checkpoint
+from .model import Graph, ordered_index
 
 MODES = ("semantic_only", "lexical_only", "lexical_structural", "structural_only", "hybrid_rrf")
-#: A side of a join of more bytes than this isn't broadcast.
+#: More questions than this aren't broadcast.
 BROADCAST_QUESTIONS = 10_000
+#: Questions whose vectors are compared with all entities in one pass, and documents of one range of an impact index.
+BLOCK_QUESTIONS, RANGE = 2048, 128
 
 
 @dataclass(frozen=True)
@@ -61,15 +67,166 @@ def bm25(questions: DataFrame, index: Index, *, k1: float = 1.5, b: float = 0.75
     return parts.groupBy("query", "doc").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
 
 
-def all_pairs(questions: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores of every document for every question: full rankings need the documents that score nought."""
-    return few(questions.select("query")).crossJoin(docs.select("doc")).join(scores, ["query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+@dataclass(frozen=True)
+class ImpactIndex:
+    """Postings in blocks: those of a token in a range of documents, with the largest share of a score that any of them gives."""
+
+    blocks: DataFrame  # token, range, most, n, postings: array of (doc, tf, length)
+    df: DataFrame
+    count: int
+    mean: float
+
+
+def impact_index(index: Index, *, width: int = RANGE, k1: float = 1.5, b: float = 0.75) -> ImpactIndex:
+    """``index`` dealt to blocks of ``width`` neighbouring documents, kept in the shared folder."""
+    places = ordered_index(index.documents, "at", "doc").select("doc", "length", F.expr(f"at div {width}").alias("range"))
+    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(index.mean)))
+    rows = index.terms.join(places, "doc").withColumn("impact", impact)
+    blocks = rows.groupBy("token", "range").agg(F.max("impact").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "tf", "length")).alias("postings"))
+    return ImpactIndex(checkpoint(blocks), index.df, index.count, index.mean)
+
+
+def bm25_top(questions: DataFrame, index: ImpactIndex, limit: int, *, first: int = 4, digits: int | None = None, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(query, doc, score: at least the ``limit`` best documents of each question, all ties included; query, read, postings: how many
+    postings were scored, of all that the question's words have).
+
+    Each range of documents has an upper bound, the sum of its blocks' largest shares. The ``first`` ranges by bound are scored; the
+    ``limit``-th score found there is reached in all, so ranges whose bound is under it are left out, postings unread. ``digits``: scores are
+    rounded, and the bounds wider by as much.
+    """
+    asked = questions.select("query", F.posexplode(tx.search_tokens(F.col("question"))).alias("pos", "token"))
+    n = F.lit(float(index.count))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    words = asked.groupBy("query", "token").agg(F.collect_list("pos").alias("at")).join(index.df, "token").select("query", "token", "at", idf.alias("idf"))
+    found = checkpoint(few(words).join(index.blocks.select("token", "range", "most", "n"), "token").groupBy("query", "range").agg(F.sum(F.size("at") * F.col("idf") * F.col("most")).alias("bound"), F.sum("n").alias("n")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "range"))
+    heads = found.withColumn("place", place).where(F.col("place") <= first).select("query", "range")
+
+    def scored(ranges: DataFrame) -> DataFrame:
+        rows = few(words).join(ranges, "query").join(index.blocks.select("token", "range", "postings"), ["token", "range"]).select("query", "at", "idf", F.explode("postings").alias("p"))
+        weight = F.col("p.tf") + k1 * (1 - b + b * F.col("p.length") / F.lit(index.mean))
+        parts = rows.select("query", "p.doc", F.explode("at").alias("pos"), (F.col("idf") * F.col("p.tf") * (k1 + 1) / weight).alias("part"))
+        ordered = F.sort_array(F.collect_list(F.struct("pos", "part")))
+        total = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"])
+        return parts.groupBy("query", "doc").agg((total if digits is None else F.round(total, digits)).alias("score"))
+
+    worst = scored(heads).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") == limit).select("query", F.col("score").alias("least"))
+    margin = 1e-9 if digits is None else 10.0**-digits
+    kept = found.join(few(worst), "query", "left").where(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) + margin >= F.col("least")))
+    read = found.groupBy("query").agg(F.sum("n").alias("postings")).join(kept.groupBy("query").agg(F.sum("n").alias("read")), "query").select("query", "read", "postings")
+    return scored(kept.select("query", "range")), read
+
+
+def question_blocks(asked: DataFrame, size: int = BLOCK_QUESTIONS) -> Iterator[pa.Table]:
+    """The rows of ``asked`` (query, ...) in blocks that tasks can hold."""
+    asked = checkpoint(asked)
+    parts = -(-asked.count() // size)
+    for p in range(parts):
+        yield asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).toArrow().combine_chunks()
+
+
+def cosines(questions: np.ndarray, vectors: np.ndarray, digits: int | None) -> np.ndarray:
+    """Cosines, [question, vector]. Sums run over the components in order, so a score depends neither on blocks nor on neighbours."""
+    total = np.zeros((len(questions), len(vectors)))
+    for q, v in zip(questions.T, vectors.T, strict=True):
+        total += q[:, None] * v[None, :]
+    norm = lambda m: np.sqrt(sum((c * c for c in m.T), np.zeros(len(m))))
+    below = norm(questions)[:, None] * norm(vectors)[None, :]
+    scores = np.divide(total, below, out=np.zeros_like(total), where=below > 0)
+    return scores if digits is None else np.round(scores, digits) + 0.0
+
+
+def grouped_by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the whole vectors of a list column."""
+    sizes = np.array([len(v) if v is not None and None not in v and len(v) else 0 for v in column.to_pylist()])
+    for d in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d).astype(float)
+
+
+def block_scores(questions: list[tuple[int, np.ndarray, np.ndarray]], n: int, vectors: pa.Array, digits: int | None) -> np.ndarray:
+    """Scores of ``n`` questions, [question, row]; nought where a vector is missing, holds a null or is of another length."""
+    out = np.zeros((n, len(vectors)))
+    for d, rows, matrix in grouped_by_length(vectors):
+        for e, asked, mine in questions:
+            if d == e:
+                out[np.ix_(asked, rows)] = cosines(mine, matrix, digits)
+    return out
+
 
+def nearest(vectors: DataFrame, asked: DataFrame, limit: int, *, digits: int | None = None) -> DataFrame:
+    """query, at, score: each question's ``limit`` first entities by cosine, ties by ``at``. vectors: at, embedding; asked: query, vector.
 
-def semantic(vectors: DataFrame, docs: DataFrame) -> DataFrame:
-    """query, doc, score: cosine of questions (query, vector) and documents (doc, embedding)."""
-    rows = docs.select("doc", F.col("embedding").cast("array<double>").alias("embedding")).crossJoin(few(vectors.select("query", F.col("vector").cast("array<double>").alias("vector"))))
-    return rows.select("query", "doc", sim.cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    A task keeps the best of its entities for every question of a block and passes on these alone.
+    """
+    out = None
+    for block in question_blocks(asked):
+        queries, mine, n = block.column("query").combine_chunks(), list(grouped_by_length(block.column("vector").combine_chunks())), block.num_rows
+
+        def run(batches: Iterator[pa.RecordBatch], queries=queries, mine=mine, n=n) -> Iterator[pa.RecordBatch]:
+            q, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            worst = np.full(n, -np.inf)
+            for b in batches:
+                new = block_scores(mine, n, b.column(1), digits)
+                rows = np.nonzero(new >= worst[:, None])
+                q, at, score = np.concatenate([q, rows[0]]), np.concatenate([at, b.column(0).to_numpy()[rows[1]]]), np.concatenate([score, new[rows]])
+                order = np.lexsort((at, -score, q))
+                q, at, score = q[order], at[order], score[order]
+                starts = np.searchsorted(q, np.arange(n + 1))
+                keep = np.arange(len(q)) - starts[q] < limit
+                full = np.flatnonzero(np.diff(starts) >= limit) if limit else np.zeros(0, int)
+                worst[full] = score[starts[full] + limit - 1]
+                q, at, score = q[keep], at[keep], score[keep]
+            for s in range(0, len(q), 10_000):
+                e = slice(s, s + 10_000)
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(q[e])), pa.array(at[e]), pa.array(score[e])], names=["query", "at", "score"])
+
+        found = vectors.select("at", "embedding").mapInArrow(run, f"query {dict(asked.dtypes)['query']}, at long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return asked.select("query", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("score")).limit(0)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "at")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
+def places_by_cosine(vectors: DataFrame, asked: DataFrame, candidates: DataFrame, *, digits: int | None = None) -> DataFrame:
+    """query, at, rank (from 1, among all entities) of the candidates (query, at), which must be few a question.
+
+    A task counts for each candidate how many of its entities come before it; only these counts are shuffled.
+    """
+    kind = dict(asked.dtypes)["query"]
+    held = candidates.join(vectors.select("at", "embedding"), "at").join(asked, "query")
+    score = sim.cosine(F.col("vector"), F.col("embedding"))
+    held = held.select("query", "at", (score if digits is None else F.round(score, digits)).alias("score"))
+    rows = held.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("score"), "at"))).alias("held"))
+    out = None
+    for block in question_blocks(asked.join(rows, "query")):
+        queries, mine, n = block.column("query").combine_chunks(), list(grouped_by_length(block.column("vector").combine_chunks())), block.num_rows
+        lists = block.column("held").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        scores, at = lists.flatten().field("score").to_numpy(), lists.flatten().field("at").to_numpy()
+
+        def run(batches: Iterator[pa.RecordBatch], queries=queries, mine=mine, n=n, sizes=sizes, starts=starts, scores=scores, at=at) -> Iterator[pa.RecordBatch]:
+            before = np.zeros(len(at), np.int64)
+            for b in batches:
+                new, own = block_scores(mine, n, b.column(1), digits), b.column(0).to_numpy()
+                for q in range(n):
+                    part = slice(starts[q], starts[q] + sizes[q])
+                    # a candidate's own entity is equal and sorts after it
+                    order = np.lexsort((np.concatenate([at[part], own]), np.concatenate([scores[part], -new[q]])))
+                    entity = order >= sizes[q]
+                    before[part][order[~entity]] += np.cumsum(entity)[~entity]
+            for s in range(0, len(at), 10_000):
+                e = slice(s, s + 10_000)
+                names = queries.take(pa.array(np.repeat(np.arange(n), sizes)[e]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(at[e]), pa.array(before[e])], names=["query", "at", "before"])
+
+        found = vectors.select("at", "embedding").mapInArrow(run, f"query {kind}, at long, before long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return candidates.select("query", "at", F.lit(1).cast("long").alias("rank")).limit(0)
+    return out.groupBy("query", "at").agg((F.sum("before") + 1).alias("rank"))
 
 
 def hash_embedding(text: Column, dimensions: int = 3) -> Column:
@@ -89,6 +246,16 @@ def demo_embedding(text: Column, known: dict[str, list[float]], dimensions: int
     return out
 
 
+def each(questions: DataFrame, best: DataFrame) -> DataFrame:
+    """query and the columns of ``best``, a few rows (a head of a list) that every question gets."""
+    held = best.drop("label") if "label" in best.columns else best
+    rows = held.collect()
+    if not rows:
+        return questions.select("query", *[F.lit(None).cast(kind).alias(c) for c, kind in held.dtypes]).limit(0)
+    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kind).alias(c) for c, kind in held.dtypes]) for r in rows])
+    return questions.select("query", F.explode(listed).alias("_one")).select("query", "_one.*")
+
+
 def ranked(scores: DataFrame, names: DataFrame, limit: int | None = None) -> DataFrame:
     """``scores`` with rank from 1 in each query: by score, folded label, id. names: doc, label."""
     best = Window.partitionBy("query").orderBy(F.desc("score"), tx.fold(F.col("label")), "doc")
@@ -118,37 +285,45 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 
 @dataclass(frozen=True)
 class Retriever:
-    """Retrieval over a graph's entities; index, ranks and vectors are made once and serve every question."""
+    """Retrieval over a graph's entities; index, order, ranks and vectors are made once and serve every question.
+
+    order: doc, label, at (place by folded label and id); ranks: doc, score (PageRank), at, place (by score, then ``at``, from 1);
+    vectors: at, embedding. ``digits``: scores of a kind (lexical, structural, semantic) are rounded before they are ranked.
+    """
 
     graph: Graph
     index: Index
+    order: DataFrame
     ranks: DataFrame
     vectors: DataFrame
     embed: object
+    digits: dict[str, int] = field(default_factory=dict)
 
     @staticmethod
-    def of(graph: Graph, ranks: DataFrame | None = None, embed=None) -> Retriever:
+    def of(graph: Graph, ranks: DataFrame | None = None, embed=None, digits: dict[str, int] | None = None) -> Retriever:
         """``ranks``: entity_id, pagerank, made anew unless they are of exactly the graph's entities; ``embed``: Column -> vector Column."""
         from .graphs import nodes_of, pagerank
 
-        embed = embed or (lambda text: hash_embedding(text))
+        embed, digits = embed or (lambda text: hash_embedding(text)), digits or {}
         ids = graph.entities.select("entity_id")
         if ranks is None or ids.join(ranks, "entity_id", "left_anti").limit(1).count() or ranks.join(ids, "entity_id", "left_anti").limit(1).count():
             ranks = pagerank(nodes_of(graph), graph.edges()).withColumnRenamed("node", "entity_id")
         text = tx.entity_document(F.col("label"), F.col("entity_type"), F.col("description"), F.col("aliases"))
         documents = graph.entities.select(F.col("entity_id").alias("doc"), text.alias("text"), "embedding")
-        vectors = documents.select("doc", F.coalesce("embedding", embed(F.col("text"))).alias("embedding")).cache()
-        return Retriever(graph, build_index(documents), ranks.cache(), vectors, embed)
+        order = checkpoint(ordered_index(graph.entities.select(F.col("entity_id").alias("doc"), "label"), "at", tx.fold(F.col("label")), "doc"))
+        rank = F.round("pagerank", digits["structural"]) if "structural" in digits else F.col("pagerank")
+        ranked_ = order.join(ranks.select(F.col("entity_id").alias("doc"), rank.alias("score")), "doc").select("doc", "score", "at")
+        ranked_ = checkpoint(ordered_index(ranked_, "place", F.desc("score"), "at").withColumn("place", F.col("place") + 1))
+        vectors = documents.select("doc", F.coalesce("embedding", embed(F.col("text"))).cast("array<double>").alias("embedding")).join(order, "doc").select("at", "embedding")
+        return Retriever(graph, build_index(documents), order, ranked_, vectors.cache(), embed, digits)
 
     def names(self) -> DataFrame:
-        return self.graph.entities.select(F.col("entity_id").alias("doc"), "label")
+        return self.order.select("doc", "label")
 
     def matches(self, questions: DataFrame) -> DataFrame:
         """BM25 of the entities that share a word with a question."""
-        return bm25(questions, self.index, expanded=True)
-
-    def lexical(self, questions: DataFrame) -> DataFrame:
-        return all_pairs(questions, self.names(), self.matches(questions))
+        found = bm25(questions, self.index, expanded=True)
+        return found.withColumn("score", F.round("score", self.digits["lexical"])) if "lexical" in self.digits else found
 
     def with_best(self, questions: DataFrame, matches: DataFrame, best: DataFrame) -> DataFrame:
         """``matches``, and for every question the few ``best`` (doc) that don't match, at nought.
@@ -156,24 +331,53 @@ class Retriever:
         An entity without a match can only be among the first k if it is among the first k of what orders such entities, because a
         match never lowers a score. So no question meets every entity.
         """
-        rest = few(questions.select("query")).crossJoin(F.broadcast(best.select("doc"))).join(matches, ["query", "doc"], "left_anti")
+        rest = each(questions, best).join(matches, ["query", "doc"], "left_anti")
         return matches.select("query", "doc", "score").unionByName(rest.withColumn("score", F.lit(0.0)))
 
     def first_labels(self, limit: int) -> DataFrame:
-        return self.names().orderBy(tx.fold(F.col("label")), "doc").limit(limit)
+        return self.order.where(F.col("at") < limit)
 
     def first_ranks(self, limit: int) -> DataFrame:
-        rows = self.rank_scores().join(self.names(), "doc")
-        return rows.orderBy(F.desc("score"), tx.fold(F.col("label")), "doc").limit(limit)
+        return self.ranks.where(F.col("place") <= limit)
+
+    def question_vectors(self, questions: DataFrame) -> DataFrame:
+        return questions.select("query", self.embed(tx.expand(F.col("question"))).cast("array<double>").alias("vector"))
 
-    def rank_scores(self) -> DataFrame:
-        return self.ranks.select(F.col("entity_id").alias("doc"), F.col("pagerank").alias("score"))
+    def semantic(self, questions: DataFrame, limit: int) -> DataFrame:
+        """query, doc, score: the first ``limit`` by cosine."""
+        found = nearest(self.vectors, self.question_vectors(questions), limit, digits=self.digits.get("semantic"))
+        return found.join(self.order.select("at", "doc"), "at").select("query", "doc", "score")
 
-    def structural(self, questions: DataFrame) -> DataFrame:
-        return few(questions.select("query")).crossJoin(self.rank_scores())
+    def fused(self, questions: DataFrame, limit: int, k: int = 60) -> DataFrame:
+        """query, doc, score, rank: reciprocal-rank fusion of the full rankings by cosine, words and PageRank.
 
-    def semantic(self, questions: DataFrame) -> DataFrame:
-        return semantic(questions.select("query", self.embed(tx.expand(F.col("question"))).alias("vector")), self.vectors)
+        An entity that is behind place L in all three lists scores at most 3 / (k + L + 1); the first ``limit`` of one list score more than
+        1 / (k + limit). With L as below only heads of L entities can hold a result, so only they get their places in the three lists.
+        Those without a match stand behind all matches, in order of labels: their places follow from counts.
+        """
+        heads = max(2 * k + 3 * limit - 1, 1)
+        asked = checkpoint(self.question_vectors(questions))
+        # a match that rounds to nought stands among those without one
+        matched = checkpoint(self.matches(questions).where("score > 0").join(self.order.select("doc", "at"), "doc").select("query", "at", "score"))
+        by_score = Window.partitionBy("query").orderBy(F.desc("score"), "at")
+        lexical = matched.withColumn("place", F.row_number().over(by_score).cast("long"))
+        near = nearest(self.vectors, asked, heads, digits=self.digits.get("semantic")).select("query", "at")
+        always = self.first_labels(heads).select("at").unionByName(self.first_ranks(heads).select("at")).distinct()
+        candidates = checkpoint(near.unionByName(lexical.where(F.col("place") <= heads).select("query", "at")).unionByName(each(questions, always)).distinct())
+        semantic = places_by_cosine(self.vectors, asked, candidates, digits=self.digits.get("semantic")).select("query", "at", F.col("rank").alias("r0"))
+        # how many matches stand before each candidate by label
+        marked = matched.select("query", "at", F.lit(1).alias("match")).unionByName(candidates.select("query", "at", F.lit(0).alias("match")))
+        upto = Window.partitionBy("query").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = marked.withColumn("before", F.sum("match").over(upto)).where("match = 0").select("query", "at", "before")
+        number = matched.groupBy("query").agg(F.count("*").alias("matches"))
+        behind = F.coalesce("matches", F.lit(0)) + F.col("at") + 1 - F.col("before")
+        words = counted.join(number, "query", "left").join(lexical.select("query", "at", "place"), ["query", "at"], "left").select("query", "at", F.coalesce("place", behind).alias("r1"))
+        rows = semantic.join(words, ["query", "at"]).join(self.ranks.select("doc", "at", F.col("place").alias("r2")), "at")
+        total = F.lit(0.0)
+        for r in ("r0", "r1", "r2"):
+            total = total + 1 / (k + F.col(r))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), F.least("r0", "r1", "r2"), "r0", "doc")
+        return rows.withColumn("score", total).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "doc", "score", "rank")
 
     def retrieve(self, questions: DataFrame, mode: str = "lexical_structural", limit: int = 10) -> DataFrame:
         """query, doc, score, rank, components (map of the scores that were joined), mode."""
@@ -181,22 +385,19 @@ class Retriever:
             raise ValueError(f"unknown mode {mode}")
         limit = max(limit, 0)
         if mode == "semantic_only":
-            rows = self.semantic(questions).withColumn("components", F.create_map(F.lit("semantic"), F.col("score")))
+            rows = self.semantic(questions, limit).withColumn("components", F.create_map(F.lit("semantic"), F.col("score")))
         elif mode == "lexical_only":
-            rows = self.with_best(questions, self.matches(questions), self.first_labels(limit)).withColumn("components", F.create_map(F.lit("lexical"), F.col("score")))
+            rows = self.with_best(questions, self.matches(questions), self.first_labels(limit).select("doc")).withColumn("components", F.create_map(F.lit("lexical"), F.col("score")))
         elif mode == "structural_only":
-            rows = few(questions.select("query")).crossJoin(F.broadcast(self.first_ranks(limit).select("doc", "score"))).withColumn("components", F.create_map(F.lit("structural"), F.col("score")))
+            rows = each(questions, self.first_ranks(limit).select("doc", "score")).withColumn("components", F.create_map(F.lit("structural"), F.col("score")))
         elif mode == "lexical_structural":
-            top = self.rank_scores().agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
-            lexical = self.with_best(questions, self.matches(questions), self.first_ranks(limit))
+            top = self.ranks.agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
+            lexical = self.with_best(questions, self.matches(questions), self.first_ranks(limit).select("doc"))
             lexical = normalised(lexical.withColumn("raw", F.col("score"))).select("query", "doc", F.col("score").alias("l"), F.col("raw").alias("lr"))
-            structural = self.rank_scores().select("doc", F.col("score").alias("sr"), (F.col("score") / top if top > 0 else F.lit(0.0)).alias("s"))
+            structural = self.ranks.select("doc", F.col("score").alias("sr"), (F.col("score") / top if top > 0 else F.lit(0.0)).alias("s"))
             rows = lexical.join(structural, "doc").select("query", "doc", (0.85 * F.col("l") + 0.15 * F.col("s")).alias("score"), F.create_map(F.lit("lexical"), F.col("lr"), F.lit("structural"), F.col("sr")).alias("components"))
         else:
-            lists = [ranked(f(questions), self.names()) for f in (self.semantic, self.lexical, self.structural)]
-            fused = rrf([x.select("query", "doc", "rank") for x in lists])
-            rows = fused.where(F.col("rank") <= limit).withColumn("components", F.create_map(F.lit("rrf"), F.col("score")))
-            return rows.withColumn("mode", F.lit(mode))
+            return self.fused(questions, limit).withColumn("components", F.create_map(F.lit("rrf"), F.col("score"))).withColumn("mode", F.lit(mode))
         return ranked(rows, self.names(), limit).withColumn("mode", F.lit(mode))
 
     def compare(self, questions: DataFrame, limit: int = 10) -> DataFrame:

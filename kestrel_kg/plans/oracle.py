@@ -131,6 +131,7 @@ def hashed(x: str, name: str) -> str:
 
 
 RETRIEVAL = RETRIEVAL.replace("{embed_doc}", hashed("x.text", "v")).replace("{embed_question}", hashed("question", "q"))
+MANY = RETRIEVAL.replace(QUESTION_ROWS, f"{BENCH_Q} UNION ALL SELECT min(p_partkey) + 1000000, p_name FROM part GROUP BY p_name")
 
 
 def ranked(source: str, limit: int = 10) -> str:
@@ -180,6 +181,27 @@ PART_KEYS = f"""{PARTS}, vs AS (SELECT id, trim(regexp_replace(v, '[^a-z0-9_]+',
 ks AS MATERIALIZED (SELECT DISTINCT id, k FROM (SELECT id, unnest([t for t in regexp_extract_all(v, '[a-z0-9]+') if not list_contains({LABEL_STOP}, t)]) AS k FROM vs UNION ALL SELECT id, 'exact:' || v FROM vs)),
 bp AS MATERIALIZED (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM ks a JOIN ks b ON a.k = b.k AND a.id < b.id)"""
 
+# The ratio of two texts: their longest common substring (first in the left one, then in the right one), then the same left and right of it.
+# Only pairs whose characters' counts allow 0.85 are followed.
+COUNTED = "list_sort(string_split(sv, ''))"
+LONGEST = "list_max([struct_pack(k := x % length(a) + 1, i := -(x // length(a)), j := strpos(b, substr(a, (x // length(a) + 1)::INTEGER, (x % length(a) + 1)::INTEGER))) FOR x IN range(0, length(a) * length(a)) IF x // length(a) + x % length(a) < length(a) AND contains(b, substr(a, (x // length(a) + 1)::INTEGER, (x % length(a) + 1)::INTEGER))])"
+RATIO = f"""{PART_KEYS},
+sv AS MATERIALIZED (SELECT id, array_to_string(list_sort(string_split(any_value(v), ' ')), ' ') AS sv FROM vs GROUP BY id),
+oc AS MATERIALIZED (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(sv, '')) AS c FROM sv) GROUP BY 1, 2),
+mb AS MATERIALIZED (SELECT left_id, right_id, l.sv AS a, r.sv AS b FROM bp JOIN sv l ON l.id = left_id JOIN sv r ON r.id = right_id
+  WHERE 2 * (SELECT sum(least(x.n, y.n)) FROM oc x JOIN oc y ON x.c = y.c WHERE x.id = left_id AND y.id = right_id) >= 0.85 * (length(l.sv) + length(r.sv)) - 1e-9),
+sq AS (SELECT left_id, right_id, a, b, 0::BIGINT AS k FROM mb UNION ALL
+  SELECT left_id, right_id, unnest([substr(a, 1, (-m.i)::INTEGER), substr(a, (-m.i + m.k + 1)::INTEGER)]), unnest([substr(b, 1, (m.j - 1)::INTEGER), substr(b, (m.j + m.k)::INTEGER)]), unnest([m.k, 0]) FROM (SELECT left_id, right_id, a, b, {LONGEST} AS m FROM sq WHERE a <> '' AND b <> '') WHERE m IS NOT NULL),
+mk AS (SELECT left_id, right_id, sum(k) AS m FROM sq GROUP BY 1, 2),
+lx AS MATERIALIZED (SELECT left_id, right_id, CASE WHEN a = b THEN 1.0 ELSE 2 * m::DOUBLE / (length(a) + length(b)) END AS lexical FROM mb JOIN mk USING (left_id, right_id))"""
+KINDS = "pt AS MATERIALIZED (SELECT pe.id, min(p_partkey) AS ord, CASE min(p_partkey) % 3 WHEN 0 THEN 'Widget' WHEN 1 THEN 'Other' ELSE 'Part' END AS kind, CASE WHEN min(p_partkey) % 4 <> 0 THEN [min(p_partkey) % 5 + 1, min(p_partkey) % 7 + 1] END AS v FROM pe JOIN part ON pe.id = md5(" + norm("p_brand") + " || ' ' || p_name) GROUP BY 1)"
+MIXED = f"""{RATIO}, {KINDS},
+sx AS (SELECT lx.*, l.kind AS lk, r.kind AS rk, CASE WHEN l.v IS NOT NULL AND r.v IS NOT NULL THEN greatest(0, least(1, list_cosine_similarity(l.v::DOUBLE[], r.v::DOUBLE[]))) ELSE lexical END AS semantic FROM lx JOIN pt l ON l.id = left_id JOIN pt r ON r.id = right_id),
+hx AS (SELECT left_id, right_id, lexical, semantic, CASE WHEN lk = rk OR 'Other' IN (lk, rk) THEN 0.1 * semantic + 0.9 * lexical WHEN lexical >= 0.98 THEN lexical ELSE least(lexical, semantic) * 0.75 END AS hybrid FROM sx)"""
+MERGED = f"""{RATIO}, se AS (SELECT left_id AS a, right_id AS b FROM lx WHERE round(lexical, 9) >= 0.85 UNION SELECT right_id, left_id FROM lx WHERE round(lexical, 9) >= 0.85),
+rx AS (SELECT id AS node, id AS r FROM sv UNION SELECT b, r FROM rx JOIN se ON a = node),
+cx AS (SELECT node AS entity_id, min(r) AS component FROM rx GROUP BY 1), po AS (SELECT md5({norm("p_brand")} || ' ' || p_name) AS entity_id, min(p_partkey) AS ord FROM part GROUP BY 1)"""
+
 
 def canon(x: str) -> str:
     return f"trim(regexp_replace(replace({norm(x)}, 'ё', 'е'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_+]+', ' ', 'g'))"
@@ -293,6 +315,9 @@ def oracle() -> dict[str, str]:
         "subgraph_page": w(BALL, f", inb AS (SELECT node FROM c UNION SELECT node FROM b1 UNION SELECT node FROM b2) SELECT relation_index, subject_label, predicate, object_label FROM rel WHERE subject_id IN (SELECT node FROM inb) AND object_id IN (SELECT node FROM inb) ORDER BY {FIVE} LIMIT 50").replace("\n, inb AS", ",\ninb AS"),
         "path_subgraph": w(BALL, ", inb AS (SELECT node FROM c UNION SELECT node FROM b1) SELECT relation_index, subject_label, predicate, object_label FROM rel WHERE subject_id IN (SELECT node FROM inb) OR object_id IN (SELECT node FROM inb)").replace("\n, inb AS", ",\ninb AS"),
         "blocking_pairs": w(PART_KEYS, "SELECT left_id, right_id FROM bp"),
+        "lexical_pairs": w(RATIO, "SELECT left_id, right_id, round(lexical, 6) AS lexical, round(lexical, 6) AS hybrid FROM lx WHERE lexical >= 0.85"),
+        "hybrid_pairs": w(MIXED, "SELECT left_id, right_id, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, round(hybrid, 6) AS hybrid FROM hx WHERE hybrid >= 0.865"),
+        "dedup_lexical": w(MERGED, "SELECT entity_id, first_value(entity_id) OVER (PARTITION BY component ORDER BY ord, entity_id) AS canonical_id FROM cx JOIN po USING (entity_id)"),
         "candidate_counts": w(PART_KEYS, "SELECT left_id, count(*) AS candidates FROM bp GROUP BY 1"),
         "semantic_pairs": w(VEC, "SELECT left_id, right_id, round(semantic, 6) AS semantic FROM mt"),
         "canonical_map": w(VEC, "SELECT entity_id, component, canonical_id FROM mp"),
@@ -348,4 +373,6 @@ def oracle() -> dict[str, str]:
         "dashboard_chunks": w(G, "SELECT (SELECT count(DISTINCT source_chunk) FROM rel) AS source_chunks, (SELECT count(*) FROM ent WHERE aliases <> '') AS aliases"),
         "relation_types": w(G, "SELECT relation_index, upper(predicate) || CASE relation_index % 3 WHEN 0 THEN '_OF' WHEN 1 THEN '' ELSE '_9' END AS relation_type FROM rel"),
     }
+    for name in ("lexical", "lexical_structural", "semantic", "rrf"):
+        out[f"{name}_many"] = out["semantic_mode_topk" if name == "semantic" else f"{name}_topk"].replace(RETRIEVAL, MANY)
     return out

@@ -308,9 +308,17 @@ def candidate_counts(spark, sf_dir):
 
 @query
 def lexical_pairs(spark, sf_dir):
-    entities = part_entities(spark, sf_dir)
-    rows = resolve.with_similarity(resolve.blocking_pairs(entities), entities, floor=0.85).where("hybrid >= 0.85")
-    return rows.select("left_id", "right_id", r6("lexical").alias("lexical"), r6("hybrid").alias("hybrid"))
+    return resolve.matching_pairs(part_entities(spark, sf_dir)).select("left_id", "right_id", r6("lexical").alias("lexical"), r6("hybrid").alias("hybrid"))
+
+
+@query
+def hybrid_pairs(spark, sf_dir):
+    """The same labels with three types, of which two don't go together, and vectors for three of four."""
+    key = F.col("ord")
+    kind = F.when(key % 3 == 0, "Widget").when(key % 3 == 1, "Other").otherwise("Part")
+    vector = F.when(key % 4 != 0, F.array((key % 5 + 1).cast("double"), (key % 7 + 1).cast("double")))
+    rows = part_entities(spark, sf_dir).withColumns({"entity_type": kind, "embedding": vector})
+    return resolve.matching_pairs(rows, 0.1, 0.865).select("left_id", "right_id", *[r6(c).alias(c) for c in ("lexical", "semantic", "hybrid")])
 
 
 @query
@@ -378,11 +386,16 @@ def document_index(spark, sf_dir) -> retrieve.Index:
     return retrieve.build_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
+@lru_cache(maxsize=4)
+def impact_index(spark, sf_dir) -> retrieve.ImpactIndex:
+    return retrieve.impact_index(document_index(spark, sf_dir))
+
+
 @query
 def bm25_topk(spark, sf_dir):
     """The ten best documents for each benchmark question."""
-    scores = retrieve.bm25(benchmark_questions(spark, sf_dir), document_index(spark, sf_dir)).withColumn("score", r6("score"))
-    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.format_string("%012d", "doc_id").alias("label"))
+    scores, _ = retrieve.bm25_top(benchmark_questions(spark, sf_dir), impact_index(spark, sf_dir), 10, digits=6)
+    names = scores.select("doc", F.format_string("%012d", "doc").alias("label")).distinct()
     return retrieve.ranked(scores, names, 10).select("query", F.col("doc").alias("doc_id"), "score", long("rank").alias("rank"))
 
 
@@ -395,10 +408,10 @@ def bm25_chunks(spark, sf_dir):
 
 @query
 def semantic_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
-    asked = rows.where("doc % 100 = 0").select(F.col("doc").alias("query"), F.col("embedding").alias("vector"))
-    scores = retrieve.semantic(asked, rows).withColumn("score", r6("score"))
-    return retrieve.ranked(scores, rows.select("doc", F.format_string("%012d", "doc").alias("label")), 10).select("query", F.col("doc").alias("vec_id"), "score", long("rank").alias("rank"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = rows.where("at % 100 = 0").select(F.col("at").alias("query"), F.col("embedding").alias("vector"))
+    found = retrieve.nearest(rows, asked, 10, digits=6)
+    return retrieve.ranked(found.withColumnRenamed("at", "doc"), found.select(F.col("at").alias("doc"), F.format_string("%012d", "at").alias("label")).distinct()).select("query", F.col("doc").alias("vec_id"), "score", long("rank").alias("rank"))
 
 
 @query
@@ -409,39 +422,36 @@ def hash_embedding(spark, sf_dir):
 
 @lru_cache(maxsize=4)
 def retriever(spark, sf_dir) -> retrieve.Retriever:
-    return retrieve.Retriever.of(graph(spark, sf_dir), ranks(spark, sf_dir))
-
+    """Scores are rounded before they are ranked, so that engines agree on ties."""
+    return retrieve.Retriever.of(graph(spark, sf_dir), ranks(spark, sf_dir), digits={"lexical": 6, "structural": 9, "semantic": 6})
 
-def rounded(r: retrieve.Retriever) -> retrieve.Retriever:
-    """Scores rounded before they are ranked, so that engines agree on ties."""
 
-    class Rounded(retrieve.Retriever):
-        def matches(self, q):
-            return retrieve.Retriever.matches(self, q).withColumn("score", r6("score"))
+def top(spark, sf_dir, questions: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    rows = retriever(spark, sf_dir).retrieve(questions, name, limit)
+    return rows.select("query", F.col("doc").alias("entity_id"), r6("score").alias("score"), long("rank").alias("rank"))
 
-        def rank_scores(self):
-            return retrieve.Retriever.rank_scores(self).withColumn("score", F.round("score", 9))
 
-        def semantic(self, q):
-            return retrieve.Retriever.semantic(self, q).withColumn("score", r6("score"))
+def mode(name: str) -> Query:
+    return lambda spark, sf_dir: top(spark, sf_dir, fixture.questions(spark), name)
 
-    return Rounded(r.graph, r.index, r.ranks, r.vectors, r.embed)
 
+def many_questions(spark, sf_dir) -> DataFrame:
+    """All benchmark passages and all names of parts as questions."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("question")).agg((F.min("p_partkey").cast("long") + 1_000_000).alias("query"))
+    return benchmark_questions(spark, sf_dir).select(F.col("query").cast("long").alias("query"), "question").unionByName(names.select("query", "question"))
 
-def mode(name: str) -> Query:
-    def run(spark, sf_dir):
-        rows = rounded(retriever(spark, sf_dir)).retrieve(fixture.questions(spark), name, 10)
-        return rows.select("query", F.col("doc").alias("entity_id"), r6("score").alias("score"), long("rank").alias("rank"))
 
-    return run
+def many(name: str) -> Query:
+    return lambda spark, sf_dir: top(spark, sf_dir, many_questions(spark, sf_dir), name)
 
 
 REGISTRY |= {"lexical_topk": mode("lexical_only"), "structural_topk": mode("structural_only"), "lexical_structural_topk": mode("lexical_structural"), "semantic_mode_topk": mode("semantic_only"), "rrf_topk": mode("hybrid_rrf")}
+REGISTRY |= {"lexical_many": many("lexical_only"), "lexical_structural_many": many("lexical_structural"), "semantic_many": many("semantic_only"), "rrf_many": many("hybrid_rrf")}
 
 
 @query
 def mode_compare(spark, sf_dir):
-    rows = rounded(retriever(spark, sf_dir)).compare(fixture.questions(spark), 5)
+    rows = retriever(spark, sf_dir).compare(fixture.questions(spark), 5)
     return rows.groupBy("mode", "query").agg(F.count("*").alias("results"), F.max(long("rank")).alias("last_rank"))
 
 

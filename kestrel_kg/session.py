@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,27 @@ def get_session(cores: int | None = None, **more: str) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder that the session names; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by the session; a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="kestrel-", dir=os.environ.get("TMPDIR")))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in a table of the shared folder, dealt to buckets by ``key``: joins on the key read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"kestrel_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
