@@ -66,6 +66,8 @@ class Page:
         self.text: list[str | None] = [None]
         self.linked: list[int] = [0]
         self.open = [0]
+        #: Places in ``open`` of each name's elements, so that no tag walks through the stack.
+        self.places: dict[str, list[int]] = {}
         self.run: list[str] = []
         self.links = self.link_chars = 0
         # nothing after the last ">" can be a tag; a tag left open there goes to the end
@@ -120,11 +122,8 @@ class Page:
             return
         self._flush()
         if closing:
-            if name not in ("html", "body"):
-                for k in range(len(self.open) - 1, 0, -1):
-                    if self.name[self.open[k]] == name:
-                        del self.open[k:]
-                        break
+            if name not in ("html", "body") and self.places.get(name):
+                self._cut(self.places[name][-1])
             self.links = self.links if len(self.open) >= self.links else 0
             return
         if name in CLOSES_P:
@@ -132,22 +131,26 @@ class Page:
         if name in ENDS:
             self._end(*ENDS[name])
         self.links = self.links if len(self.open) >= self.links else 0
-        if name in ("html", "body", "head") and any(self.name[i] == name for i in self.open):
+        if name in ("html", "body", "head") and self.places.get(name):
             return
         if name == "body":
             self._end({"head"}, set())
         node = self._add(name, name_words(attributes), None, 0)
         if name not in EMPTY and not attributes.endswith("/"):
+            self.places.setdefault(name, []).append(len(self.open))
             self.open.append(node)
 
     def _end(self, names: set[str], scope: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.name[self.open[k]]
-            if name in names:
-                del self.open[k:]
-                return
-            if name in scope:
-                return
+        """End the innermost open element of one of the names, unless one of the scope elements is open inside it."""
+        last = lambda some: max((self.places[n][-1] for n in some if self.places.get(n)), default=0)
+        if (k := last(names)) > last(scope):
+            self._cut(k)
+
+    def _cut(self, k: int) -> None:
+        """End the elements from place k on."""
+        for node in self.open[k:]:
+            self.places[self.name[node]].pop()
+        del self.open[k:]
 
 
 def name_words(attributes: str) -> tuple[str, ...]:

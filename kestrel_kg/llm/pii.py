@@ -28,21 +28,23 @@ FOURS = r"[0-9]{4}(?:[ \-][0-9]{4}){3}"
 CARD = rf"(?:{FOURS}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{4,5}}|[0-9]{{13,19}})"
 #: A group after four by four: the end of a card of 17 to 19 digits, or another number; not the beginning of a longer one.
 TAIL = r"[ \-][0-9]{1,3}(?![A-Za-z0-9_])(?:(?![ ./\-][0-9])|(?= [0-9]{2}/[0-9]{2}(?![0-9/])))"
-#: Characters of an IBAN by country.
-IBANS = dict(
-    zip(
-        "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split(),
-        map(int, "24 23 28 20 28 20 16 22 22 29 28 21 22 28 24 22 18 28 20 29 24 18 18 27 22 22 23 18 27 28 21 28 22 23 23 26 27 30 30 20 28 32 21 20 20 21 25 27 24 22 19 27 31 30 18 15 24 28 29 25 29 24 22 24 31 24 19 24 27 25 28 23 24 26 29 22 24 20".split()),
-        strict=True,
-    )
-)
+#: Characters of an IBAN by country (fixed values).
+IBANS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 #: International numbers in groups parted alike.
 GROUPED = r"\+[0-9]{1,3}([ .\-])[0-9]{1,7}(?:\1(?![0-9]+(?!\1)[/.\-][0-9])[0-9]{1,7}){1,4}"
 
 #: Java patterns; tried in this order at each place.
 FORMS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,125}\.[A-Za-z]{2,24}",
+    # neither the local part nor the number of labels is bounded: both are read without going back, and only from their beginning
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.(?=[A-Za-z]{2}|[A-Za-z0-9\-]{1,63}\.[A-Za-z0-9\-]))++[A-Za-z]{2,24}",
     "iban": r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}(?![A-Za-z0-9_])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
@@ -52,6 +54,14 @@ FORMS = {
 }
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
 
+#: Letters beyond ASCII that addresses may hold; others stay.
+ALPHABETS = tuple(
+    "".join(chr(c) for first, last in spans for c in range(first, last + 1))
+    for spans in (
+        ((0xDF, 0xF6), (0xF8, 0xFF)), ((0xC0, 0xD6), (0xD8, 0xDE)), ((0x100, 0x17F),), ((0x3B1, 0x3C9),), ((0x391, 0x3A1), (0x3A3, 0x3A9)), ((0x430, 0x44F), (0x451, 0x451)), ((0x410, 0x42F), (0x401, 0x401)), ((0x5D0, 0x5EA),),
+    )
+)
+
 #: Steps of a walk; letters and the digits that stand for them in base 26.
 WALK = 200
 ALPHABET, BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
@@ -304,6 +314,21 @@ def email(match: Column, key: str, decrypt: bool) -> Column:
 
         return F.when(F.length(chars) > 0, F.aggregate(F.sequence(F.lit(0), F.length(chars) - 1, F.lit(size)), F.lit(""), add)).otherwise("")
 
+    def others(local: Column, sent: Column) -> Column:
+        """Letters beyond ASCII, each moved within its alphabet by a number from the key, what the ASCII part is written as, and the letters
+        written before it."""
+
+        def add(s: Column, c: Column) -> Column:
+            number = lambda size: F.pmod(keyed(key, "email+", F.length(s["done"]), F.concat(sent, F.lit("|"), s["done"])), F.lit(size))
+            new = c
+            for letters in ALPHABETS:
+                at = F.instr(F.lit(letters), c) - 1 + (-1 if decrypt else 1) * number(len(letters))
+                new = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), F.pmod(at, F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(new)
+            new = F.when(c > "\x7f", new).otherwise(c)
+            return once(new, lambda x: F.struct(F.concat(s["out"], x).alias("out"), F.concat(s["done"], F.when(c > "\x7f", c if decrypt else x).otherwise("")).alias("done")))
+
+        return F.aggregate(F.split(local, ""), F.struct(F.lit("").alias("out"), F.lit("").alias("done")), add, lambda s: s["out"])
+
     local = F.substring_index(match, "@", 1)
     found = [F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), F.regexp_replace(local, "[^0-9]", "")]
     fresh = F.struct(in_blocks(found[0], letters, 22, "email").alias("a"), in_blocks(found[1], digits, 36, "email9").alias("n"))
@@ -312,7 +337,11 @@ def email(match: Column, key: str, decrypt: bool) -> Column:
         plain = into_shape(into_shape(local, x["a"], "[A-Za-z]"), x["n"])
         return F.array_join(F.zip_with(F.split(local, ""), F.split(plain, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
 
-    return F.when(local.rlike("[A-Za-z0-9]"), F.concat(once(fresh, put), F.lit("@"), F.substring_index(match, "@", -1)))
+    def whole(made: Column) -> Column:
+        ascii_ = F.regexp_replace(local if decrypt else made, r"[^\x00-\x7F]", "")
+        return F.when(local.rlike(r"[^\x00-\x7F]"), others(made, ascii_)).otherwise(made)
+
+    return F.when(local.rlike(r"[\p{L}\p{N}]"), F.concat(once(once(fresh, put), whole), F.lit("@"), F.substring_index(match, "@", -1)))
 
 
 def replaced(match: Column, key: str, decrypt: bool) -> Column:

@@ -248,6 +248,16 @@ def test_phones_of_other_plans_are_found(spark):
     assert all(again[i] == t for i, t in enumerate(texts))
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    model = html.default_model()
+    for page in ("<main>" * 150_000, "<div>" * 90_000 + "</ul>" * 100_000, "<div>" * 90_000 + "<body>" * 90_000, "<ul>" * 80_000 + "<li>a" * 90_000, "<p>x" * 200_000):
+        started = time.process_time()
+        model.content(page + "the end of the article")
+        assert time.process_time() - started < 30  # a walk through the stack for each tag takes many minutes
+
+
 # --- pseudonyms against an independent computation
 
 
@@ -318,3 +328,56 @@ def test_long_chains_of_labels_and_repeated_rows(spark):
     found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
     assert {r.text for r in found if r.doc_id == 1} == {long} and [r.n_email for r in found if r.doc_id == 2] == [1]
     assert len({r.text for r in found if r.doc_id in (3, None)}) == 1 and len(found) == 5
+
+
+def test_addresses_of_any_length_and_alphabet(spark):
+    texts = ["jürgen.müller@x.de", "JÜRGEN.Müller@x.de", "иван.петров@почта.example.com иван.петров@x.example.com", "x" * 70 + "@mail.example.com", "ab.cd@" + "a." * 300 + "com", "é@x.de", "山田@x.de", "first.last@example.com. Next", "see a@b.c, d@e", "łukasz_9@a.b-c.pl"]
+    hidden = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key")
+    found = {r.doc_id: r for r in hidden.collect()}
+    for i in (0, 1, 3, 4, 5, 7, 9):
+        new, old = found[i].text.split("@")[0], texts[i].split("@")[0]
+        assert found[i].n_email == 1 and len(new) == len(old) and found[i].text.split("@")[1] == texts[i].split("@")[1]
+        assert [c.isalpha() for c in new] == [c.isalpha() for c in old] and not any(w in new.lower() for w in re.split(r"[._]", old.lower()) if len(w) > 1)
+    assert "иван" not in found[2].text.split(" ")[1] and found[2].n_email == 1
+    assert found[7].text.endswith("@example.com. Next") and found[8].text == texts[8]
+    assert found[6].text == texts[6]  # of a script whose letters stay
+    again = {r.doc_id: r.text for r in pii.pseudonymise(hidden.select("doc_id", "text"), "key", decrypt=True).collect()}
+    assert [again[i] for i in range(len(texts))] == texts
+
+
+def digits(text, key, kind):
+    half = len(text) // 2
+    left, right = rounds(int(text[:half]), int(text[half:]), 10**half, 10 ** (len(text) - half), key, kind)
+    return f"{left:0{half}d}{right:0{len(text) - half}d}"
+
+
+def test_numbers_are_those_of_the_rule(spark):
+    r = random.Random(5)
+    check = lambda body: next(str(d) for d in range(10) if luhn(body + str(d)))
+    cards = [b + check(b) for b in ("".join(r.choice("0123456789") for _ in range(15)) for _ in range(20))]
+    ips = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(20)]
+    ssns = [f"{r.choice([1, 123, 665, 667, 899]):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}" for _ in range(20)]
+    phones = [f"{r.randrange(200, 1000)}-{r.randrange(1000):03d}-{r.randrange(10000):04d}" for _ in range(20)]
+    texts = [*cards, *ips, *ssns, *phones, "DE89370400440532013000"]
+    found = {x.doc_id: x.text for x in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    want = []
+    for c in cards:
+        body = digits(c[:15], "key", "card")
+        want.append(body + check(body))
+    for x in ips:
+        a, b, c, d = map(int, x.split("."))
+        left, right = rounds(a * 256 + b, c * 256 + d, 65536, 65536, "key", "ip")
+        want.append(f"{left // 256}.{left % 256}.{right // 256}.{right % 256}")
+    for x in ssns:
+        area, group, serial = map(int, x.split("-"))
+        left, right = rounds((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "key", "ssn")
+        at = left // 99
+        want.append(f"{at + (2 if at >= 665 else 1):03d}-{left % 99 + 1:02d}-{right + 1:04d}")
+    for x in phones:
+        d = x.replace("-", "")
+        n = digits(d[1:3] + d[4:], "key", "phone")
+        want.append(f"{d[0]}{n[:2]}-{d[3]}{n[2:4]}-{n[4:]}")
+    body = digits("370400440532013000", "key", "iban")
+    number = int("".join(str(int(c, 36)) for c in body + "DE00"))
+    want.append(f"DE{98 - number % 97:02d}{body}")
+    assert [found[i] for i in range(len(texts))] == want
