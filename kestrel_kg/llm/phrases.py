@@ -4,15 +4,18 @@ Words of a text are lower-cased (A-Z) and parted by blanks and tabs; pieces end
 
 * **Blocks.** A task turns its texts into blocks of about ``BLOCK`` words: a sequence of numbers that the block gives its own words, and how
   often each occurs. Long texts are read in slices, so a block ends within a text if need be, but only at the end of a piece.
-* **Counting.** A block's phrases are counted in it first. The counts are range-partitioned by key, sorted (Spark sorts keys of fixed width by
-  radix where it can) and run-length added up; a frequent key gets an id, which goes back to the blocks that hold it.
-* **Levels.** Words first: the frequent ones' ids are the dictionary, all others break the pieces. A phrase of k + 1 words can only be
-  frequent if its first and last k words are, so its key is the pair of their ids, 128 bits at every level, and only places where
-  both are frequent are counted. Ids are 64 bits, so keys never overflow.
-
-A word or phrase of every text is one row a block in the shuffle, however often it occurs, and range bounds are sampled from the rows, so a
-common phrase doesn't load a task. Nothing is sent to all tasks or to the driver. Memory: a task holds one block (a piece without any end
-makes its block longer) and one run's rows. All blocks and ids are written to the shared folder.
+* **Words.** Their counts are range-partitioned, sorted and run-length added up; a frequent word gets an id, which goes back to the blocks
+  that hold it. These ids are the dictionary, all other words break the pieces.
+* **Phrases**, level by level. A phrase of k + 1 words can only be frequent if its first and last k words are, so its key is the pair
+  of their ids, 128 bits at every level, and only places where both are frequent are counted. A block counts its phrases first and
+  sorts them. Splitters, drawn from the phrases of some blocks, cut the keys into ``RANGES`` ranges; of each range a block sends one packed
+  message. A range's task sorts the keys of its messages by radix, run-length adds up, and answers every message with the ids of its
+  frequent keys.
+
+A word or phrase is one entry a block, however often it occurs, so a common one doesn't load a task, and splitters only decide how evenly
+ranges are dealt. With the number of blocks ranges are dealt further by a hash of the key, so a range's entries stay bounded; a message
+holds at least one entry, so messages never outnumber entries. Nothing that grows with the input is sent to all tasks or the driver.
+Memory: a task holds one block (a piece without any end makes its block longer) or one range. Blocks and ids are written to the shared folder.
 
 Defined results: null texts have no words; a null language is ``und``. Bytes beyond ASCII, of whatever encoding, are parts of words.
 Repeated rows count as often as they occur. An empty table gives an empty result. Columns of other names are ignored.
@@ -34,8 +37,10 @@ from pyspark.sql.window import Window
 
 from .common import texts, written
 
-#: Words of a block, bytes of a slice, rows of an Arrow batch that is passed on.
-BLOCK, SLICE, ROWS = 1_000_000, 1 << 20, 1 << 16
+#: Words of a block, bytes of a slice, rows of an Arrow batch that is passed on, bytes of one with messages.
+BLOCK, SLICE, ROWS, BYTES = 2_000_000, 1 << 20, 1 << 16, 1 << 22
+#: Ranges of keys, blocks from which splitters are drawn, keys drawn, and blocks for which a range isn't dealt further.
+RANGES, SAMPLED, DRAWN, DEALT = 2048, 32, 200_000, 4096
 #: Separators become line ends, tabs blanks, A-Z a-z. A capital can't occur any more, so it can stand for the end of a piece.
 TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
 END = b"E"
@@ -120,7 +125,7 @@ def batch(columns: list) -> pa.RecordBatch:
 
 
 def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """block, local, id, f, head and the keys of the rows whose key adds up to at least ``least``; ``head``: a key's first row."""
+    """block, local, id of the rows whose key adds up to at least ``least``; a key's first row (head) has f, the sum, and the key, too."""
     kinds = dict(counts.dtypes)
     schema = "block long, local long, id long, f long, head boolean, " + ", ".join(f"{k} {kinds[k]}" for k in keys)
     width = len(keys)
@@ -150,8 +155,9 @@ def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
             head[starts] = True
             for s in range(0, len(take), ROWS):
                 at = take[s : s + ROWS]
-                some = rows.take(pa.array(at)).columns
-                yield pa.RecordBatch.from_arrays([*some[width : width + 2], *(pa.array(x[at]) for x in (ids, total, head)), *some[:width]], names=["block", "local", "id", "f", "head", *keys])
+                some, first = rows.take(pa.array(at)).columns, pa.array(head[at])
+                named = [pc.if_else(first, c, pa.scalar(None, c.type)) for c in some[:width]]
+                yield pa.RecordBatch.from_arrays([*some[width : width + 2], *(pa.array(x[at]) for x in (ids, total)), first, *named], names=["block", "local", "id", "f", "head", *keys])
 
         key = lambda rows: tuple(c[0].as_py() for c in rows.columns[:width])
         for b in batches:
@@ -174,12 +180,70 @@ def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def counted(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """block, local, n, a, b: every block's phrases one word longer than those of the last of ``levels`` (block, local, id), where the first
-    and the last words of the phrase, ids a and b, are frequent. A block's ids come before its sequence in a task."""
-    both = blocks.where("kind = 1").select("block", F.lit(99).alias("kind"), F.lit(0).cast("long").alias("local"), F.lit(0).cast("long").alias("id"), "seq")
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of longs, byte by byte: the high bytes are alike, so that the shuffle's compression drops them."""
+    return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(len(c), 8).T).tobytes() for c in columns)
+
+
+def unpack(data: bytes, width: int) -> list[np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(width, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+
+
+def radix_order(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by non-negative keys, the first one leading: stable passes over 16-bit digits from the last to the first."""
+    order = np.arange(len(keys[0]))
+    for key in reversed(keys):
+        for shift in range(0, 64, 16):
+            digit = (key >> shift & 0xFFFF).astype(np.uint16)
+            if len(digit) and (digit != digit[0]).any():
+                order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+class Levels:
+    """A block's phrases, made anew level by level from its sequence and the ids that have come back to it."""
+
+    def __init__(self, seq: np.ndarray, ids: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> None:
+        self.ids = ids
+        self.known = self.of(0, int(seq.max(initial=0)))
+        self.place = np.flatnonzero(self.known[seq])
+        self.local = seq[self.place].astype(np.int64)
+
+    def of(self, level: int, most: int) -> np.ndarray:
+        """The id of each of the level's local numbers; 0: not frequent."""
+        out = np.zeros(most + 1, np.int64)
+        for local, found in self.ids.get(level, []):
+            out[local] = found
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of neighbours by their ids a and b, in that order, with their counts; the places, and their pairs' numbers."""
+        at = np.flatnonzero(np.diff(self.place) == 1)
+        both, inverse, n = np.unique(self.local[at] << 32 | self.local[at + 1], return_inverse=True, return_counts=True)
+        a, b = self.known[both >> 32], self.known[both & 0xFFFFFFFF]
+        order = radix_order(a, b)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        return a[order], b[order], n[order], self.place[at], rank[inverse]
+
+    def step(self, level: int) -> None:
+        """On to the phrases one word longer."""
+        a, _, _, place, local = self.pairs()
+        self.known = self.of(level, len(a))
+        good = np.flatnonzero(self.known[local])
+        self.place, self.local = place[good], local[good]
+
+
+def by_block(blocks: DataFrame, levels: list[DataFrame], use, schema: str) -> DataFrame:
+    """What ``use`` makes of each block and its ``Levels``. A block's ids come before its sequence in a task.
+
+    ``levels``: for words (block, local, id), for phrases (block, data: local numbers and ids packed)."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = blocks.where("kind = 1").select("block", F.lit(99).alias("kind"), none("long", "local"), none("long", "id"), F.col("seq").alias("data"))
     for n, level in enumerate(levels):
-        both = both.unionByName(level.select("block", F.lit(n).alias("kind"), "local", "id", F.lit(None).cast("binary").alias("seq")))
+        more = (F.col("local"), F.col("id"), none("binary", "data")) if n == 0 else (none("long", "local"), none("long", "id"), F.col("data"))
+        both = both.unionByName(level.select("block", F.lit(n).alias("kind"), *more))
     depth = len(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,40 +256,113 @@ def counted(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
                     continue
                 if numbers[start] != block:
                     block, held = numbers[start], {}
-                if kinds[start] < 99:
-                    held.setdefault(int(kinds[start]), []).append((b.column(2).to_numpy()[start:end], b.column(3).to_numpy()[start:end]))
-                    continue
-                yield from phrases(int(block), np.frombuffer(zstandard.decompress(b.column(4)[start].as_py()), np.int32), held)
-                held = {}
-
-    def phrases(block: int, seq: np.ndarray, held: dict) -> Iterator[pa.RecordBatch]:
-        def ids(level: int, most: int) -> np.ndarray:
-            out = np.zeros(most + 1, np.int64)
-            for local, found in held.get(level, []):
-                out[local] = found
-            return out
-
-        known = ids(0, int(seq.max(initial=0)))
-        place = np.flatnonzero(known[seq])
-        local = seq[place].astype(np.int64)
-        for level in range(1, depth + 1):
-            next_ = np.flatnonzero(np.diff(place) == 1)
-            pairs, inverse, n = np.unique(local[next_] << 32 | local[next_ + 1], return_inverse=True, return_counts=True)
-            if level == depth:
-                a, c = known[pairs >> 32], known[pairs & 0xFFFFFFFF]
-                for s in range(0, len(pairs), ROWS):
-                    e = min(s + ROWS, len(pairs))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(e - s, block), np.arange(s + 1, e + 1), n[s:e], a[s:e], c[s:e])], names=["block", "local", "n", "a", "b"])
-                return
-            known = ids(level, len(pairs))
-            local = inverse + 1
-            good = np.flatnonzero(known[local])
-            place, local = place[next_][good], local[good]
-
-    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "block long, local long, n long, a long, b long")
-
-
-def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, inside: int = 80, top: int = 2000, block_words: int = BLOCK, slice_bytes: int = SLICE) -> DataFrame:
+                kind = int(kinds[start])
+                if kind == 0:
+                    part = b.slice(start, end - start)
+                    held.setdefault(0, []).append((part.column(2).to_numpy(), part.column(3).to_numpy()))
+                elif kind < 99:
+                    held.setdefault(kind, []).extend(unpack(x, 2) for x in b.column(4).slice(start, end - start).to_pylist())
+                else:
+                    levels = Levels(np.frombuffer(zstandard.decompress(b.column(4)[start].as_py()), np.int32), held)
+                    for level in range(1, depth):
+                        levels.step(level)
+                    yield from use(int(block), levels)
+                    held = {}
+
+    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+
+
+def splitters(blocks: DataFrame, levels: list[DataFrame], count: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``ranges`` - 1 keys that part the phrases of some blocks evenly."""
+    share = max(1, count // SAMPLED)
+    chosen = lambda df: df.where(F.pmod(F.xxhash64("block"), F.lit(share)) == 0)
+
+    def draw(block: int, found: Levels) -> Iterator[pa.RecordBatch]:
+        a, b, *_ = found.pairs()
+        if len(a):
+            at = np.arange(0, len(a), max(1, len(a) * min(count, 4 * SAMPLED) // DRAWN))
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["a", "b"])
+
+    drawn = by_block(chosen(blocks), [chosen(x) for x in levels], draw, "a long, b long").limit(4 * DRAWN).toArrow()
+    a, b = (drawn.column(c).to_numpy() for c in "ab")
+    order = radix_order(a, b)
+    at = order[np.unique(np.arange(1, ranges) * len(order) // ranges)] if len(order) else order
+    return a[at], b[at]
+
+
+def phrases(blocks: DataFrame, levels: list[DataFrame], count: int, least: int, ranges: int = RANGES, dealt: int = DEALT) -> DataFrame:
+    """The frequent phrases one word longer than the last of ``levels``: rows (id, a, b, f) and, for each block, answers (block, data)."""
+    high, low = splitters(blocks, levels, count, ranges)
+    deal = -(-count // dealt)
+
+    def send(block: int, found: Levels) -> Iterator[pa.RecordBatch]:
+        a, b, n, *_ = found.pairs()
+        first, last = np.searchsorted(a, high, "left"), np.searchsorted(a, high, "right")
+        cuts = [0, *(f + int(np.searchsorted(b[f:e], x)) for f, e, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True)), len(a)]
+        names, data, size = [], [], 0
+        for r, (f, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            share = (a[f:e] * 31 + b[f:e]) % deal if deal > 1 else None
+            for d in range(deal) if e > f else ():
+                at = np.arange(f, e) if share is None else f + np.flatnonzero(share == d)
+                if len(at):
+                    names.append(r * deal + d)
+                    data.append(pack(a[at], b[at], n[at], at + 1))
+                    size += len(data[-1])
+            if size >= BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([block] * len(names), pa.int64()), pa.array(data, pa.binary())], names=["range", "block", "data"])
+                names, data, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([block] * len(names), pa.int64()), pa.array(data, pa.binary())], names=["range", "block", "data"])
+
+    def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        name = None
+        for batch in batches:
+            for r, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != name and held:
+                    yield from close(name, held)
+                    held = []
+                name = r
+                held.append((block, data))
+        if held:
+            yield from close(name, held)
+
+    def close(name: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(data, 4) for _, data in held]
+        a, b, n, local = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = radix_order(a, b)
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], starts)
+        good = total >= least
+        ids = np.where(good, (name << 32) + np.cumsum(good), 0)
+        every = np.empty(len(order), np.int64)
+        every[order] = np.repeat(ids, np.diff([*starts, len(order)]))
+        heads = order[starts[good]]
+        if not len(heads):
+            return
+        zero = pa.nulls(len(heads), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[good], a[heads], b[heads], total[good])] + [zero, pa.nulls(len(heads), pa.binary())], names=["id", "a", "b", "f", "block", "data"])
+        blocks_, data, at, size = [], [], 0, 0
+        for (block, _), part in zip(held, parts, strict=True):
+            mine_ = every[at : at + len(part[0])]
+            keep = np.flatnonzero(mine_)
+            if len(keep):
+                blocks_.append(block)
+                data.append(pack(part[3][keep], mine_[keep]))
+                size += len(data[-1])
+            at += len(part[0])
+            if size >= BYTES or (at == len(every) and blocks_):
+                zero = pa.nulls(len(blocks_), pa.int64())
+                yield pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array(blocks_, pa.int64()), pa.array(data, pa.binary())], names=["id", "a", "b", "f", "block", "data"])
+                blocks_, data, size = [], [], 0
+
+    sent = by_block(blocks, levels, send, "range long, block long, data binary")
+    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(count_, "id long, a long, b long, f long, block long, data binary")
+
+
+def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, inside: int = 80, top: int = 2000, block_words: int = BLOCK, slice_bytes: int = SLICE, ranges: int = RANGES, dealt: int = DEALT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases by score.
 
     a is how often the phrase occurs (``least`` at least), l and r how often the two parts of its lowest-scoring cut do, score
@@ -235,11 +372,13 @@ def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, inside: int = 80
     blocks = written(docs.select("text", "lang").mapInArrow(partial(encode, block_words=block_words, slice_bytes=slice_bytes), COUNTS), "blocks")
     words = blocks.where("kind = 0")
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [written(frequent(words, ["lang", "word"], least), "words")]
+    count = blocks.where("kind = 1").count()
+    found = written(frequent(words, ["lang", "word"], least), "words")
+    levels, heads = [found.select("block", "local", "id")], [found.where("head")]
     for k in range(2, longest + 1):
-        counts = written(counted(blocks, [x.select("block", "local", "id") for x in levels]), f"counts{k}")
-        levels.append(written(frequent(counts, ["a", "b"], least), f"phrases{k}"))
-    heads = [x.where("head").drop("head", "block", "local") for x in levels]
+        found = written(phrases(blocks, levels, count, least, ranges, dealt), f"phrases{k}")
+        levels.append(found.where("block is not null").select("block", "data"))
+        heads.append(found.where("block is null").select("id", "a", "b", "f"))
     # front and back: how often the first and the last 1, 2, ... words occur, the phrase itself included
     one = heads[0].select("id", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("tail"), "f", F.array("f").alias("front"), F.array("f").alias("back"))
     out = None

@@ -49,11 +49,11 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize(("block", "piece"), [(1_000_000, 1 << 20), (50, 16), (7, 300)])
-def test_same_as_a_plain_count(spark, block, piece):
+@pytest.mark.parametrize(("block", "piece", "ranges"), [(1_000_000, 1 << 20, 4096), (50, 16, 5), (7, 300, 1)])
+def test_same_as_a_plain_count(spark, block, piece, ranges):
     rows = made(block)
     df = spark.createDataFrame([(*x, 1, "mine") for x in rows], DOCS + ", n int, rank string")
-    found = sorted(tuple(x) for x in phrases.mine(df.repartition(3), least=4, top=70, block_words=block, slice_bytes=piece).collect())
+    found = sorted(tuple(x) for x in phrases.mine(df.repartition(3), least=4, top=70, block_words=block, slice_bytes=piece, ranges=ranges, dealt=100).collect())
     assert found == plain(rows, 4, 70) and len({x[0] for x in found}) == 3
 
 
@@ -79,3 +79,11 @@ def test_slices_keep_the_text():
 def test_products_beyond_64_bits(spark):
     row = spark.range(1).select(phrases.score(*[phrases.F.lit(x).cast("long") for x in (9_000_000_000_000_000_000, 9_000_000_000_000_000_000, 9_100_000_000_000_000_000)]).alias("s")).first()
     assert row.s == 2_000_000 * 9_000_000_000_000_000_000 // 18_100_000_000_000_000_000
+
+
+def test_packing_and_radix_order():
+    r = phrases.np.random.default_rng(2)
+    for n in (0, 1, 500):
+        a, b = r.integers(0, 1 << 62, n), r.integers(0, 5, n)
+        assert [x.tolist() for x in phrases.unpack(phrases.pack(a, b), 2)] == [a.tolist(), b.tolist()]
+        assert phrases.radix_order(b, a).tolist() == phrases.np.lexsort((a, b)).tolist()
