@@ -5,25 +5,27 @@ lost). A unit is coded by binary decisions. First come up to four: "is it the un
 unit after the two units before, the unit that last followed the unit before in this text, and the two most frequent ones after the unit
 before; one that was refused already isn't asked again. Then: is it a unit of the training texts? If so, order-0 decisions follow; their
 probabilities multiply to the unit's share of all training units, so only the product is computed. If not, it is spelled: bits of its
-bytes, from contexts of one and two bytes.
+bytes, from contexts of one and two bytes. A question asks for a class of units (those with the same 16 bits of hash). After a yes the unit
+is coded among the class: a known one by its share of the class's training units and one more, an unknown one by the rest and its spelling. So
+units of one class have scores of their own, and the probabilities of all units add up to at most 1.
 
 Each decision has several predictors: what the hashed context of two units says of the asked unit, what the context of one unit says, and
 what the text itself says. Their log odds are added with weights that a gate chooses (which question it is and how often both contexts
 were seen), and the outcome is refined by an adaptive probability map. Weights and map are learnt online: every text begins with ``START``
-and after every ``CHUNK`` units takes a step on what it has just coded (diagonal Newton steps; nothing is learnt from units to come), so a
-score depends on the text and the counts alone, not on its neighbours. Sums of log10 probabilities are the scores.
+and takes a step on what it has just coded after ``FIRST`` units, then after twice as many, up to ``CHUNK`` (diagonal Newton steps; nothing
+is learnt from units to come), so a score depends on the text and the counts alone, not on its neighbours. Sums of log10 probabilities are the scores.
 
 Training. All counts come from all training documents, with no fixed capacity: contexts, units and tokens are kept by range of hash, and
 there is a range for each ``range_bytes`` of text. A context of two units is 32 bits of a hash in its range (so about one in 2,000 shares
 its counts with another, at every size), a unit after a context 16 bits. The only tables of bounded size are the speller's (at most 257
-cubed cells). Each block of documents sends each range its distinct contexts and what followed them how
+cubed cells) and the classes' totals. Each block of documents sends each range its distinct contexts and what followed them how
 often, which is at once the count and the question; a range adds up all blocks' counts and answers; the answers meet the block's units (not
 its text) again. A context that holds so large a share of all units that it would outweigh a range is dealt by what follows it to as many
 parts as it fills ranges, and a block asks all of them. Base counts go the same way, by exact words.
 
 Cases: null texts are empty; null ids count as the empty text where their remainder is taken. Repeated rows are rows each. Empty tables
 give no rows; without training documents counts are zero. Texts are scored whole; one text is held by one task, at about ten times its
-size. Extra columns aren't read.
+size, and weights of ``SLICE`` texts at once. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ from .common import texts, written
 
 #: The end of a text, as a unit and as a token: no unit and no word is like it.
 END = b"\n\n"
-#: Units between two steps of learning.
-CHUNK = 128
+#: Units before a text's first step of learning, and between two steps at most; texts whose weights are held at once.
+FIRST, CHUNK, SLICE = 8, 128, 4096
 #: Bits of a context's key in its range, of the unit that follows, and of a unit as a context; up to ``FEW`` of a kind are in one row.
 KEY_BITS, NEXT_BITS, WORD_BITS, FEW_BITS = 32, 16, 40, 16
 FEW = (1 << FEW_BITS) - 1
@@ -67,7 +69,7 @@ SPELL_END, SYMBOLS = 256, 257
 SPELLED = np.array([SPELL_END if x in b" \t\n\r\x0b\x0c" else x for x in range(256)], np.uint32)
 BLANK = np.array([9 <= x <= 13 for x in range(256)])
 #: Kinds of a profile's rows; one of how many documents is read to plan how contexts are dealt.
-TRIGRAM, HEAVY, COUNT = 0, 1, 2
+TRIGRAM, HEAVY, COUNT, CLASS = 0, 1, 2, 3
 PLANNING = 16
 
 
@@ -494,6 +496,14 @@ def sureness(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int64) + (n >= 3) + (n >= 20)
 
 
+def spans(longest: int) -> Iterator[tuple[int, int]]:
+    """Where each stretch between two steps of learning begins, and its units."""
+    a, span = 0, FIRST
+    while a < longest:
+        yield a, span
+        a, span = a + span, min(2 * span, CHUNK)
+
+
 def mix(after: np.ndarray, lengths: np.ndarray, last: np.ndarray, two: tuple[list[np.ndarray], np.ndarray], one: tuple[list[np.ndarray], np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the decisions' log probabilities for each text, and which units no question found.
 
@@ -509,9 +519,9 @@ def mix(after: np.ndarray, lengths: np.ndarray, last: np.ndarray, two: tuple[lis
     middle = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, CELLS)))
     hits = np.tile(CELL_WEIGHT * middle, (len(lengths), QUESTIONS))
     tries = np.full((len(lengths), QUESTIONS * CELLS), CELL_WEIGHT)
-    for a in range(0, int(lengths.max(initial=0)), CHUNK):
+    for a, span in spans(int(lengths.max(initial=0))):
         alive = alive[lengths[alive] > a]
-        n = np.minimum(lengths[alive] - a, CHUNK)
+        n = np.minimum(lengths[alive] - a, span)
         upto = np.cumsum(n)
         lane = np.repeat(np.arange(len(alive)), n)  # the text, among those that go on
         place = np.arange(upto[-1]) + np.repeat(begins[alive] + a - upto + n, n)
@@ -615,8 +625,8 @@ def known_contexts(hashes, sequence, lengths, trained, got: list[np.ndarray], pl
     return one, two
 
 
-def scored(script: bytes, answers: list[bytes], speller: Speller, plan: Plan) -> dict[str, np.ndarray]:
-    """A block's columns. ``answers`` by range."""
+def scored(script: bytes, answers: list[bytes], speller: Speller, plan: Plan, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """A block's columns. ``answers`` by range; ``classes``: training units of each class."""
     (hashes, sequence, lengths, ids, named, train, sizes, of, token, rare), blob = unpressed(script, 10)
     hashes, of, rare = (np.cumsum(x, dtype=x.dtype) for x in (hashes, of, rare))
     token = token.view(np.int32) + of.astype(np.int64)
@@ -625,21 +635,24 @@ def scored(script: bytes, answers: list[bytes], speller: Speller, plan: Plan) ->
     n_token = n_unit + (more >> 1 ^ -(more & 1))
     one, two = known_contexts(hashes, sequence, lengths, np.repeat(train, lengths) > 0, got, plan)
     del got
-    after = following(hashes)[sequence]
-    after = after.astype(np.int32)
+    after = following(hashes)[sequence].astype(np.int32)
     earlier = last_after(sequence, lengths)
     last = np.where(earlier >= 0, after[earlier], np.int32(-1))
     del earlier
     known = n_unit[sequence] > 0
     lengths = lengths.astype(np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    value, missed = mix(after, lengths, last, two, one, known)
-    share = np.where(missed & known, np.log10(np.maximum(n_unit, 1))[sequence], 0)
-    unknown = np.unique(sequence[missed & ~known])
+    value, missed = np.zeros(len(lengths)), np.zeros(len(sequence), bool)
+    for i in range(0, len(lengths), SLICE):
+        part = slice(begins[i], begins[i + SLICE] if i + SLICE < len(lengths) else len(sequence))
+        value[i : i + SLICE], missed[part] = mix(after[part], lengths[i : i + SLICE], last[part], (two[0], two[1][part]), (one[0], one[1][part]), known[part])
+    share = np.where(known, np.log10(np.maximum(n_unit, 1))[sequence], 0)
+    share -= np.where(missed, 0, np.log10(classes + 1.0)[after])
+    unknown = np.unique(sequence[~known])
     cost = np.zeros(len(hashes))
     words = blob.split(b" ")
     cost[unknown] = speller.costs([words[i] for i in np.searchsorted(rare, unknown)])
-    share += np.where(missed & ~known, cost[sequence], 0)
+    share += np.where(known, 0, cost[sequence])
     each = [np.bincount(of, x, len(hashes)) for x in (np.ones(len(of)), (n_token[token] > 0).astype(float), np.log10(n_token[token] + 1.0))]
     n_tokens, n_known, base = (np.add.reduceat(x[sequence], begins) for x in each)
     return {
@@ -662,16 +675,24 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[t
         yield ids, held
 
 
+def class_counts(documents: list[bytes]) -> np.ndarray:
+    """Units of each class."""
+    n = np.zeros(1 << NEXT_BITS, np.int64)
+    return n + np.bincount((hashed(laid(documents))[2] >> U(64 - NEXT_BITS)).astype(np.int64), minlength=len(n)) if documents else n
+
+
 def profile(docs: DataFrame, block_bytes: int, share: float, plan: Plan) -> DataFrame:
-    """kind, key, n: trigrams of all training texts' bytes; contexts with ``share`` of the units; the number of units.
+    """kind, key, n: trigrams of all training texts' bytes; their units by class; contexts with ``share`` of the units; the number of units.
 
     Contexts are counted in one of ``PLANNING`` documents: they only say how rows are dealt, and no result depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, held in in_blocks(batches, block_bytes):
-            codes = np.sort(trigrams([x for i, x in zip(ids, held, strict=True) if remainder(i) != 2]))
+            training = [x for i, x in zip(ids, held, strict=True) if remainder(i) != 2]
+            codes = np.sort(trigrams(training))
             first = np.flatnonzero(np.append(codes[:1] == codes[:1], codes[1:] != codes[:-1]))
-            rows = [(TRIGRAM, codes[first], np.diff(np.append(first, len(codes))))]
+            n = class_counts(training)
+            rows = [(TRIGRAM, codes[first], np.diff(np.append(first, len(codes)))), (CLASS, np.flatnonzero(n), n[n > 0])]
             own = Block(*map(list, zip(*list(zip(ids, held, strict=True))[::PLANNING], strict=True)))
             before, two = contexts(own.hashes, own.sequence, own.lengths, plan)
             for key in (plan.keys(own.hashes)[before], two):
@@ -686,7 +707,7 @@ def profile(docs: DataFrame, block_bytes: int, share: float, plan: Plan) -> Data
     return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, *, block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, *, block_bytes: int = 8 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every document.
 
     ``block_bytes``: text that one step of a task holds; ``range_bytes``: text for which there is a range of contexts.
@@ -694,13 +715,15 @@ def score(docs: DataFrame, *, block_bytes: int = 8 << 20, range_bytes: int = 16
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(math.ceil(size / range_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(math.ceil(size / range_bytes), 8)  # of the data alone: contexts that share counts don't depend on the session
     found = written(profile(docs, block_bytes, 1 / min(ranges, 10_000), Plan(ranges)), "profile")
     trigrams = found.where(F.col("kind") == TRIGRAM).select("key", "n").toArrow()
     number = found.where(F.col("kind") == COUNT).select("n").first()
     least = max(1, math.ceil((number.n if number else 0) / min(ranges, 10_000)))
     hot = {x.key: math.ceil(x.n / least) + 1 for x in found.where((F.col("kind") == HEAVY) & (F.col("n") >= least)).select("key", "n").collect()}
-    shared = spark.sparkContext.broadcast((Speller(trigrams["key"].to_numpy(), trigrams["n"].to_numpy()), Plan(ranges, hot)))
+    some, classes = found.where(F.col("kind") == CLASS).select("key", "n").toArrow(), np.zeros(1 << NEXT_BITS, np.int64)
+    classes[some["key"].to_numpy()] = some["n"].to_numpy()
+    shared = spark.sparkContext.broadcast((Speller(trigrams["key"].to_numpy(), trigrams["n"].to_numpy()), Plan(ranges, hot), classes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (ids, held) in enumerate(in_blocks(batches, block_bytes)):

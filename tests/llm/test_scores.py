@@ -36,6 +36,9 @@ class Slow:
                 x = [256, 256, *(256 if c in b" \t\n\r\x0b\x0c" else c for c in (text or "").encode()), 256, 256]
                 tri.update(zip(x, x[1:], x[2:], strict=False))
         self.tri = tri
+        self.classes = Counter()
+        for unit, n in self.units.items():
+            self.classes[code(unit)] += n
         self.n = sum(self.units.values())
 
     def top(self, key):
@@ -73,9 +76,9 @@ class Slow:
         bend = np.full_like(w, lm.CURVATURE)
         middle = 1 / (1 + np.exp(-np.linspace(-lm.LIMIT, lm.LIMIT, lm.CELLS)))
         hits, tries = np.tile(lm.CELL_WEIGHT * middle, (lm.QUESTIONS, 1)), np.full((lm.QUESTIONS, lm.CELLS), lm.CELL_WEIGHT)
-        for a in range(0, len(found), lm.CHUNK):
+        for a, span in lm.spans(len(found)):
             learnt = []
-            for k in range(a, min(a + lm.CHUNK, len(found))):
+            for k in range(a, min(a + span, len(found))):
                 unit = found[k]
                 u1, u2 = (found[k - 1] if k else lm.END), (found[k - 2] if k > 1 else lm.END)
                 before = u1 if k else None
@@ -105,7 +108,10 @@ class Slow:
                     total += math.log(refined if y else 1 - refined)
                     learnt.append((q, g, s, y - p, p * (1 - p), c, y))
                     hit = x is not None and y
-                if not hit:
+                if hit:
+                    rest = self.classes[code(unit)] + 1
+                    total += math.log(self.units[unit] / rest) if self.units[unit] else self.spell(unit) - math.log(rest)
+                else:
                     total += math.log(self.units[unit] / self.n) if self.units[unit] else self.spell(unit)
                 seen[before] = code(unit)
             slope = np.zeros_like(w)
@@ -168,7 +174,7 @@ def test_hot_contexts_are_dealt_and_met_again():
     values = []
     for plan in (lm.Plan(7), lm.Plan(7, hot)):
         answers = [lm.answered([data], plan.parts_in(r))[0][0] for r, data in own.asks(plan)]
-        values.append(lm.scored(own.script(), answers, lm.Speller(np.array([5]), np.array([1])), plan)["value"].tolist())
+        values.append(lm.scored(own.script(), answers, lm.Speller(np.array([5]), np.array([1])), plan, lm.class_counts(documents))["value"].tolist())
     assert values[0] == pytest.approx(values[1], rel=1e-12)
     parts = lm.tallies(own.hashes, own.sequence, own.lengths, own.trained, lm.Plan(7, hot))
     assert sum(t.n.sum() for t in parts) == 2 * own.trained.sum() and max(np.diff(t.at).max() for t in parts) <= 25
@@ -190,3 +196,51 @@ def test_counts_above_a_row_are_whole():
         for answer in lm.answered(data * n, np.zeros(0, np.uint32))[0]:
             (n_unit, _, total, *_), _ = lm.unpressed(answer, 12)
             assert n_unit.max() == 501 * n and total.max() == 501 * (n - 1)
+
+
+def alike():
+    """Two words of one class."""
+    seen, r = {}, random.Random(1)
+    while True:
+        word = "".join(r.choice("abcdefgh") for _ in range(7))
+        other = seen.setdefault(code(word.encode()), word)
+        if other != word:
+            return other, word
+
+
+def test_words_of_one_class_have_probabilities_of_their_own(spark):
+    a, b = alike()
+    held = [i for i in range(3000) if lm.remainder(i) == 2]
+    train = [(i, a) for i in range(3000, 3100) if lm.remainder(i) != 2] + [(4000 + i, f"w{i}") for i in range(20) if lm.remainder(4000 + i) != 2]
+    words = [a, b, *(f"w{i}" for i in range(20)), *(f"new{i}" for i in range(20))]
+    found = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(train + list(zip(held, words, strict=False)), DOCS)).collect()}
+    scores = [found[i] for i, _ in zip(held, words, strict=False)]
+    assert scores[0] > -0.5 and scores[1] < scores[0] - 3
+    assert sum(10**x for x in scores) <= 1
+
+
+def test_many_tiny_texts_take_little_memory():
+    import tracemalloc
+
+    documents = [b"a" if i % 2 else b"" for i in range(80_000)]
+    own = lm.Block(list(range(80_000)), documents)
+    plan = lm.Plan(2)
+    answers = [lm.answered([data], plan.parts_in(r))[0][0] for r, data in own.asks(plan)]
+    tracemalloc.start()
+    found = lm.scored(own.script(), answers, lm.Speller(np.array([5]), np.array([1])), plan, lm.class_counts(documents))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found["value"]) == 80_000 and peak < 200e6
+
+
+def test_scores_do_not_depend_on_the_session(spark):
+    docs = spark.createDataFrame([x for x in fixture() if x[0] is not None][:60], DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        some = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            some.append(sorted((x.doc_id, x.n_bytes, x.score) for x in lm.score(docs).collect()))
+        assert some[0] == some[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
