@@ -185,7 +185,7 @@ def incidence(rows: list[list[int]]) -> np.ndarray:
     return out
 
 
-def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, k: int, estimate: float, percent: int, block: int) -> DataFrame:
     """Links a, b, confirmed on full sets, that join the components of each cluster of large lists as far as its pairs do."""
     rows = mixed.where(F.col("size") > block)
     hubs = rows.groupBy("value").agg(F.min("rep").alias("hub"))
@@ -210,7 +210,7 @@ def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, percent: int,
                 same, x, y = (batch.column(c)[r].as_py() for c in range(3))
                 y = [] if same else y
                 sets = [shingles((row["text"] or "").encode(), hashes, words) for row in x + y]
-                links = joining_links(sets, [row["component"] for row in x + y], len(x) if not same else None, percent)
+                links = joining_links(sets, [row["component"] for row in x + y], len(x) if not same else None, percent, k, estimate)
                 a, b = np.array([[(x + y)[i]["rep"] for i in pair] for pair in links], np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     rest = in_small_lists(mixed, sketches.join(rarest, "rep"), k, estimate, percent, block)
     links = links.unionByName(confirmed(rest.join(stars, ["a", "b"], "left_anti"), whole, words, percent))
     if mixed.where(F.col("size") > block).limit(1).count():
-        links = links.unionByName(in_large_lists(mixed, whole, words, percent, block))
+        links = links.unionByName(in_large_lists(mixed, whole, words, k, estimate, percent, block))
     members = connected_components(written(links, "links"))
 
     found = classes.select("key", "rep").join(members.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))

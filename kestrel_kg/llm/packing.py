@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import texts, written
 
+#: Bytes of ids for which there is a partition; its last sequences are the short ones.
+PART_BYTES = 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Partitions take this many sequence ids each at most.
 SEQUENCES = 1 << 32
@@ -76,7 +78,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, dims: int, bits: int) ->
                 part = batch.slice(begin, 256)
                 ids, vectors = [], []
                 for text in texts(part):
-                    found = np.append(encode(text.decode()), np.uint32(end_id))
+                    found = np.append(encode(text.decode("utf-8", "replace")), np.uint32(end_id))
                     ids.append(b"\x02" + found.astype("<u2").tobytes() if found.max() < 1 << 16 else b"\x04" + found.astype("<u4").tobytes())
                     vectors.append(at[found].mean(0) if found.max() < len(at) else directions(found, dims).mean(0))
                 v = np.array(vectors).reshape(-1, dims)
@@ -92,7 +94,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, leng
     """One row for each piece of a document in a sequence; ``with_ids`` adds the piece's ids."""
     path = tokenizer or tokens.default_path()
     table = written(tokenised(docs, path, end_id, dims, bits), "tokenised")
-    ordered = table.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    ordered = table.repartitionByRange(max(1, -(-size // PART_BYTES)), "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
