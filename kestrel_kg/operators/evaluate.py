@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..session import checkpoint
 from .model import Graph
 
 
@@ -114,6 +115,41 @@ def label_lookup(graph: Graph, labels: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.min_by("entity_id", "ord").alias("entity_id"))
 
 
+#: Words of a passage that are looked for together, and characters where a passage has no whole word.
+WINDOW_WORDS, WINDOW_CHARS = 5, 8
+
+
+def fingerprints(items: Column, width: Column) -> Column:
+    """Hashes of all stretches of ``width`` items of an array."""
+    n = F.size(items) - width + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.array_join(F.slice(items, i + 1, width), " "))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """query, doc of the documents (doc, text) whose text holds the passage (query, passage) as it stands.
+
+    The words inside a passage, its first and last ones left out (they may be parts of longer words), are whole words of any text that holds
+    it. So texts meet passages by the hash of as many of these words as there are, up to ``WINDOW_WORDS``, and then are compared. Passages
+    without such a word meet by their first characters.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    chars = lambda c: F.filter(F.split(c, ""), lambda w: w != "")
+    inner = F.when(F.size(words(F.col("passage"))) > 2, F.slice(words(F.col("passage")), 2, F.size(words(F.col("passage"))) - 2)).otherwise(F.array().cast("array<string>"))
+    asked = passages.where("passage is not null").select("query", "passage", inner.alias("inner"))
+    by_words = F.size("inner") > 0
+    width = F.when(by_words, F.least(F.size("inner"), F.lit(WINDOW_WORDS))).otherwise(F.least(F.length("passage"), F.lit(WINDOW_CHARS)))
+    first = F.when(by_words, F.slice("inner", 1, width)).otherwise(F.slice(chars(F.col("passage")), 1, width))
+    asked = checkpoint(asked.select("query", "passage", by_words.alias("words"), width.alias("width"), F.xxhash64(F.array_join(first, " ")).alias("mark")))
+    kinds = [(r.words, r.width) for r in asked.select("words", "width").distinct().orderBy("words", "width").collect()]  # at most 14
+    none = docs.select("doc", "text", F.lit(True).alias("words"), F.lit(0).alias("width"), F.lit(0).cast("long").alias("mark")).limit(0)
+    for whole, n in kinds:
+        items = words(F.col("text")) if whole else chars(F.col("text"))
+        marks = F.explode(fingerprints(items, F.lit(n))) if n else F.xxhash64(F.lit(""))
+        none = none.unionByName(docs.where("text is not null").select("doc", "text", F.lit(whole).alias("words"), F.lit(n).alias("width"), marks.alias("mark")))
+    small = F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked
+    return none.join(small, ["words", "width", "mark"]).where(F.contains("text", F.col("passage"))).select("query", "doc").distinct()
+
+
 def type_counts(graph: Graph) -> DataFrame:
     return graph.entities.groupBy("entity_type").agg(F.count("*").alias("entities"))
 

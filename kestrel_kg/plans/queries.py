@@ -525,12 +525,17 @@ def source_chunks(spark, sf_dir):
 # --- evaluation
 
 
+def holding(spark, sf_dir) -> DataFrame:
+    """query, label of the documents that hold a benchmark passage."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    found = evaluate.containing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), passages)
+    return found.select("query", F.col("doc").cast("string").alias("label"))
+
+
 @lru_cache(maxsize=4)
 def eval_rows(spark, sf_dir) -> DataFrame:
     """query, kind and the metrics of the benchmark passages that some document holds: those documents are what is looked for."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    asked = items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("passage"))).select("query", F.col("doc_id").cast("string").alias("label"))
+    want = holding(spark, sf_dir)
     found = bm25_topk(spark, sf_dir).select("query", "rank", F.col("doc_id").cast("string").alias("label"))
     return checkpoint(evaluate.retrieval_metrics(found, want))
 
@@ -572,9 +577,7 @@ def eval_relevance(spark, sf_dir):
 
 @query
 def eval_context(spark, sf_dir):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    asked = items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    want = docs.join(retrieve.few(asked), F.contains(docs["text"], F.col("passage"))).select("query", F.col("doc_id").cast("string").alias("label"))
+    want = holding(spark, sf_dir)
     found = bm25_topk(spark, sf_dir).select("query", "rank", F.col("doc_id").cast("string").alias("label"))
     return evaluate.context_scores(found, want).select("query", r6("context_precision").alias("context_precision"), r6("context_recall").alias("context_recall"))
 

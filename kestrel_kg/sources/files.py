@@ -33,22 +33,57 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return ordered_index(rows, "document_order", "_order", "source_path").drop("_order")
 
 
+#: How the indented form begins, and where its members end: with a brace four blanks deep. Line ends can't stand inside JSON strings.
+INDENTED, MEMBER_END = '{\n  "entities": {', "\n    }"
+
+
+def split_members(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Entities (entity_id, e), relations (relation_index, r) and ranks (entity_id, pagerank) of a document indented by two blanks, in as
+    many tasks as the file has splits; None for another form.
+
+    The text source cuts the file where members end, whatever split that is in; sections are told by the heads that come before their
+    first member. Ranks are lines of their own.
+    """
+    whole = spark.read.option("lineSep", MEMBER_END).text(path)
+    head = whole.where("_metadata.file_block_start = 0").limit(1).first()
+    if head is None or not head[0].startswith(INDENTED):
+        return None
+    rows = whole.select("value", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    # a member, after a comma or the section's head; what is left of ends is no member
+    part = F.split(F.col("value"), r'(?:^\{|\n  [}\]],|\n  "\w+": (?:\{\}|\[\]),)?\n  "(?:entities|relations|pagerank)": [\[{](?=\n)')
+    rows = rows.select("at", F.explode(part).alias("text")).where(~F.col("text").rlike(r"\n  [}\]]\s*\}\s*$"))
+    rows = rows.select("at", F.regexp_replace("text", r"^[\s,]+", "").alias("text")).where((F.col("text") != "{") & F.col("text").rlike('^["{]'))
+    member = F.from_json(F.concat(F.lit("{"), "text", F.lit("}}")), f"map<string,struct<{ENTITY}>>")
+    item = F.from_json(F.concat(F.lit("["), "text", F.lit("}]")), f"array<struct<{RELATION}>>")
+    named, listed = (rows.where(F.col("text").startswith(mark)) for mark in '"{')
+    if named.where(member.isNull()).limit(1).count() or listed.where(item.isNull()).limit(1).count():
+        return None
+    entities = named.select(F.explode(member).alias("entity_id", "e"))
+    relations = ordered_index(listed.select("at", F.posexplode(item).alias("p", "r")), "relation_index", "at", "p").select("relation_index", "r")
+    line = spark.read.text(path).select(F.regexp_extract("value", r'^    ("(?:[^"\\]|\\.)*"): (-?[0-9][0-9.eE+\-]*),?$', 0).alias("l")).where("l <> ''")
+    pair = F.from_json(F.concat(F.lit("{"), F.rtrim(F.regexp_replace("l", ",$", "")), F.lit("}")), "map<string,double>")
+    return entities, relations, line.select(F.explode(pair).alias("entity_id", "pagerank"))
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
-    """A graph document and its saved ranks (entity_id, pagerank). Self-loops are refused."""
-    doc = spark.read.schema(GRAPH).json(path, multiLine=True)
-    rows = doc.select(F.explode("entities").alias("entity_id", "e")).select("entity_id", "e.*")
+    """A graph document and its saved ranks (entity_id, pagerank). Self-loops are refused. The form that ``write_json`` writes is read in
+    parallel, any other as one document."""
+    doc = split_members(spark, path)
+    if doc is None:
+        one = spark.read.schema(GRAPH).json(path, multiLine=True)
+        doc = one.select(F.explode("entities").alias("entity_id", "e")), one.select(F.posexplode("relations").alias("relation_index", "r")), one.select(F.explode("pagerank").alias("entity_id", "pagerank"))
+    rows = doc[0].select("entity_id", "e.*")
     empty = F.array().cast("array<string>")
     entities = rows.select(
         "entity_id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("entity_type", F.lit("Other")).alias("entity_type"), F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("aliases", empty).alias("aliases"), F.coalesce("source_chunks", empty).alias("source_chunks"), "embedding", F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("metadata"),
     )
-    relations = doc.select(F.posexplode("relations").alias("relation_index", "r")).select(
+    relations = doc[1].select(
         F.col("relation_index").cast("long"), "r.subject_id", "r.predicate", "r.object_id", F.coalesce("r.confidence", F.lit(1.0)).alias("confidence"), "r.source_chunk", F.coalesce(F.to_json("r.metadata"), F.lit("{}")).alias("metadata")
     )
     if relations.where("subject_id = object_id").limit(1).count():
         raise ValueError("a relation joins an entity with itself")
-    ranks = doc.select(F.explode("pagerank").alias("entity_id", "pagerank"))
-    return Graph(ordered_index(entities, "ord", "entity_id"), relations), ranks
+    return Graph(ordered_index(entities, "ord", "entity_id"), relations), doc[2]
 
 
 @dataclass(frozen=True)

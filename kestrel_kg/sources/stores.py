@@ -126,12 +126,13 @@ def upsert(graph: Graph, connect: Callable[[], object], batch: int = 1000, clear
 
 
 def from_store(nodes: DataFrame, edges: DataFrame) -> Graph:
-    """A graph of a store's rows: loops left out, a missing type is Other, a missing or zero confidence is one, bad metadata is empty."""
+    """A graph of a store's rows: loops left out, a missing or empty type is Other and predicate related_to, a missing or zero confidence is one, bad metadata is empty."""
     none = F.array().cast("array<string>")
     meta = F.when(F.try_parse_json("metadata_json").isNotNull(), F.col("metadata_json")).otherwise("{}")
-    entities = nodes.select(F.col("id").alias("entity_id"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("entity_type", F.lit("Other")).alias("entity_type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("aliases", none).alias("aliases"), F.coalesce("source_chunks", none).alias("source_chunks"), "embedding", meta.alias("metadata"))
+    entities = nodes.select(F.col("id").alias("entity_id"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("Other")).alias("entity_type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("aliases", none).alias("aliases"), F.coalesce("source_chunks", none).alias("source_chunks"), "embedding", meta.alias("metadata"))
     confidence = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(F.col("confidence"))
-    relations = edges.where("subject_id <> object_id").select("subject_id", "predicate", "object_id", confidence.alias("confidence"), "source_chunk", meta.alias("metadata"))
+    predicate = F.coalesce(F.nullif("predicate", F.lit("")), F.lit("related_to")).alias("predicate")
+    relations = edges.where("subject_id <> object_id").select("subject_id", predicate, "object_id", confidence.alias("confidence"), "source_chunk", meta.alias("metadata"))
     return Graph(ordered_index(entities, "ord", "entity_id"), ordered_index(relations, "relation_index", "subject_id", "predicate", "object_id", "source_chunk", "confidence"))
 
 
