@@ -144,8 +144,9 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     none = docs.select("doc", "text", F.lit(True).alias("words"), F.lit(0).alias("width"), F.lit(0).cast("long").alias("mark")).limit(0)
     for whole, n in kinds:
         items = words(F.col("text")) if whole else chars(F.col("text"))
-        marks = F.explode(fingerprints(items, F.lit(n))) if n else F.xxhash64(F.lit(""))
-        none = none.unionByName(docs.where("text is not null").select("doc", "text", F.lit(whole).alias("words"), F.lit(n).alias("width"), marks.alias("mark")))
+        marks = F.explode(fingerprints(F.col("items"), F.lit(n))) if n else F.xxhash64(F.lit(""))
+        parted = docs.where("text is not null").select("doc", "text", items.alias("items"))  # a column, so that no window parts the text again
+        none = none.unionByName(parted.select("doc", "text", F.lit(whole).alias("words"), F.lit(n).alias("width"), marks.alias("mark")))
     small = F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked
     return none.join(small, ["words", "width", "mark"]).where(F.contains("text", F.col("passage"))).select("query", "doc").distinct()
 

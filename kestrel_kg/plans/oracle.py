@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .fixture import CENTRE, PREFERRED, QUESTIONS, SPECS
-from .queries import ALPHAS, STEPS, THETA, THETAS
+from ..operators.context import DEFAULT, DIAGNOSIS, DIAGNOSIS_WORDS, TREATMENT, TREATMENT_WORDS
+from .queries import ALPHAS, CLINICAL, STEPS, THETA, THETAS
 
 CLAIM_STOP = "['the','and','for','with','как','что','при','для','или','это','по','на','в','и']"
 LABEL_STOP = "['a','an','and','by','for','in','of','on','or','the','to','with','в','и','или','при','с','у']"
@@ -373,6 +374,18 @@ def oracle() -> dict[str, str]:
         "dashboard_chunks": w(G, "SELECT (SELECT count(DISTINCT source_chunk) FROM rel) AS source_chunks, (SELECT count(*) FROM ent WHERE aliases <> '') AS aliases"),
         "relation_types": w(G, "SELECT relation_index, upper(predicate) || CASE relation_index % 3 WHEN 0 THEN '_OF' WHEN 1 THEN '' ELSE '_9' END AS relation_type FROM rel"),
     }
+    families = {k: "['" + "', '".join(v) + "']" for k, v in (("t", TREATMENT), ("d", DIAGNOSIS), ("o", DEFAULT))}
+    asked = "replace(lower(text || CASE conv_id % 4 WHEN 0 THEN ' Treatment?' WHEN 1 THEN ' which TEST' WHEN 2 THEN ' обсле\u0301дование и тёст' ELSE ' ЛЕЧЕНИЕ' END), 'ё', 'е')"
+    place = lambda k: f"coalesce(nullif(list_position({families[k]}, p), 0), len({families[k]}) + 1) - 1"
+    kinds = "['" + "', '".join(CLINICAL) + "']"
+    out["predicate_places"] = f"""SELECT conv_id, turn, p AS predicate, (CASE WHEN regexp_matches(a, '{"|".join(TREATMENT_WORDS)}') THEN {place("t")} WHEN regexp_matches(a, '{"|".join(DIAGNOSIS_WORDS)}') THEN {place("d")} ELSE {place("o")} END)::BIGINT AS place
+      FROM (SELECT conv_id, turn, {asked} AS a, {kinds}[((turn + conv_id) % {len(CLINICAL)} + 1)::INTEGER] AS p FROM conversations)"""
     for name in ("lexical", "lexical_structural", "semantic", "rrf"):
         out[f"{name}_many"] = out["semantic_mode_topk" if name == "semantic" else f"{name}_topk"].replace(RETRIEVAL, MANY)
+    systems = " UNION ALL ".join(f"SELECT '{s}' AS system, query, entity_id, rank FROM ({out[n]})" for s, n in (("naive_rag", "lexical_many"), ("rank_fusion", "rrf_many"), ("proposed", "lexical_structural_many")))
+    out["eval_systems"] = f"""WITH t AS MATERIALIZED ({systems}),
+      want AS MATERIALIZED (SELECT min(p_partkey) OVER (PARTITION BY p_name) + 1000000 AS query, md5({norm("p_name || ' ' || p_partkey")}) AS entity_id FROM part), sizes AS (SELECT query, count(DISTINCT entity_id) AS n FROM want GROUP BY 1),
+      hit AS (SELECT system, query, rank, row_number() OVER (PARTITION BY system, query ORDER BY rank) AS k FROM t JOIN want USING (query, entity_id)),
+      ev AS (SELECT s.system, sizes.query, min(rank) AS best, coalesce(sum(k::DOUBLE / rank ORDER BY rank), 0) / least(any_value(n), 10) AS ap FROM sizes CROSS JOIN (SELECT DISTINCT system FROM t) s LEFT JOIN hit ON hit.system = s.system AND hit.query = sizes.query GROUP BY 1, 2)
+      SELECT system, count(*) AS questions, round_even(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_5, round_even(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_10, round_even(avg(coalesce(1.0 / best, 0)), 4) AS mrr, round_even(avg(ap), 4) AS map_at_10 FROM ev GROUP BY 1"""
     return out

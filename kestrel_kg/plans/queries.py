@@ -510,6 +510,18 @@ def answer_text(spark, sf_dir):
     return context.answers(q, context.context_text(g, q, hits, preferred=fixture.PREFERRED))
 
 
+CLINICAL = ("treats", "dosage_is", "part_of", "related_to", "contraindicated_for", "causes", "diagnosed_by", "located_in")
+
+
+@query
+def predicate_places(spark, sf_dir):
+    """Every turn as a question about treatment, diagnosis or neither, and the place that it gives to a predicate."""
+    asked = F.concat(F.col("text"), F.when(F.col("conv_id") % 4 == 0, F.lit(" Treatment?")).when(F.col("conv_id") % 4 == 1, F.lit(" which TEST")).when(F.col("conv_id") % 4 == 2, F.lit(" обсле\u0301дование и тёст")).otherwise(" ЛЕЧЕНИЕ"))
+    predicate = F.element_at(F.array(*[F.lit(p) for p in CLINICAL]), (F.pmod(F.col("turn") + F.col("conv_id"), F.lit(len(CLINICAL))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", predicate.alias("predicate"), context.predicate_rank(predicate, asked).cast("long").alias("place"))
+    return rows
+
+
 @query
 def context_payload(spark, sf_dir):
     g, _, hits = context_of(spark, sf_dir)
@@ -558,6 +570,20 @@ def eval_baselines(spark, sf_dir):
     return evaluate.baselines(means).select("system", "questions", "mrr")
 
 
+@query
+def eval_systems(spark, sf_dir):
+    """The compared systems on all names of parts as questions; what is looked for are the parts of that name."""
+    names = table(spark, sf_dir, "part").select("p_name", "p_partkey", fixture.part_label().alias("label"))
+    asked = names.groupBy(F.col("p_name").alias("question")).agg((F.min("p_partkey").cast("long") + 1_000_000).alias("query"))
+    want = checkpoint(names.join(asked, F.col("question") == F.col("p_name")).select("query", tx.normalize_eval_label(F.col("label")).alias("label")).distinct())
+    out = None
+    for mode_ in evaluate.BASELINES.values():
+        found = evaluate.hit_labels(graph(spark, sf_dir), retriever(spark, sf_dir).retrieve(asked.select("query", "question"), mode_, 10))
+        rows = evaluate.retrieval_metrics(found, want).withColumn("mode", F.lit(mode_))
+        out = rows if out is None else out.unionByName(rows)
+    return evaluate.baselines(evaluate.metric_means(out, "mode")).select("system", "questions", "hit_at_5", "hit_at_10", "mrr", "map_at_10")
+
+
 def qa(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     left = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
