@@ -67,9 +67,10 @@ def ratio_of_sorted(left: Column | str, right: Column | str) -> Column:
 
 
 def counted_characters(text: Column) -> Column:
-    """The text's characters, each with how often it has occurred so far: the overlap of two such arrays is that of the characters' counts."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+    """The text's characters, each with how often it has occurred so far, as one number: the overlap of two such arrays is that of the
+    characters' counts."""
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.transform(chars, lambda c, i: F.shiftleft(c, 32) + F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)))
 
 
 def lexical_floor(threshold: float, alpha: float, *, vectors: bool) -> float:

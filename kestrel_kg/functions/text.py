@@ -34,6 +34,15 @@ DISCLAIMERS = (
     r"\s*This\s+is\s+not\s+medical\s+advice\.?",
 )
 
+# Spellings of clinical names that labels and searches treat alike, and what replaces them.
+LABEL_SPELLINGS = ((r"(?i)\bbcr\s*(?:::|[-/\\]|\s)\s*abl\s*1?\b", "bcr abl"), (r"\bph\s*\+\b", "ph positive"), (r"\bph\s*-\b", "ph negative"))
+SEARCH_SPELLINGS = (
+    (r"\bbcr\s*(?:::|[-/\\]|\s)\s*abl\s*1?\b", " bcr abl bcrabl bcr-abl bcr-abl1 "), (r"\bbcr\s*(?:::|[-/\\])\s*abl", " bcr abl bcrabl bcr-abl "),
+    (r"\bph\s*\+\b", " ph+ ph positive "), (r"\bph\s*-\b", " ph- ph negative "),
+)
+# What stands in parentheses as another name, and what is left out as a remark.
+INSIDE, REMARK = r"\(([^()]{2,18})\)", r"\([^()]+\)"
+
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -81,8 +90,8 @@ def normalize_eval_label(label: Column) -> Column:
 def canonical_text(label: Column) -> Column:
     """Normal form for duplicate detection. It isn't idempotent, and callers apply it as often as they mean to."""
     out = F.regexp_replace(normalize_label(label), "ё", "е")
-    out = re_sub(out, r"(?i)\bbcr\s*(?:::|[-/\\]|\s)\s*abl\s*1?\b", "bcr abl")
-    out = re_sub(re_sub(out, r"\bph\s*\+\b", "ph positive"), r"\bph\s*-\b", "ph negative")
+    for pattern, by in LABEL_SPELLINGS:
+        out = re_sub(out, pattern, by)
     out = re_sub(F.replace(out, F.lit("::"), F.lit(" ")), r"[^\w+]+", " ")
     return strip(re_sub(out, r"\s+", " "))
 
@@ -93,8 +102,8 @@ def distinct_canonical(values: Column) -> Column:
 
 def label_variants(label: Column) -> Column:
     """The label, what stands in its parentheses (2 to 18 characters), and the label without parentheses."""
-    inside = F.regexp_extract_all(label, F.lit(r"\(([^()]{2,18})\)"), F.lit(1))
-    outside = F.regexp_replace(label, r"\([^()]+\)", " ")
+    inside = F.regexp_extract_all(label, F.lit(INSIDE), F.lit(1))
+    outside = F.regexp_replace(label, REMARK, " ")
     return distinct_canonical(F.transform(F.concat(F.array(label), inside, F.array(outside)), canonical_text))
 
 
@@ -123,9 +132,8 @@ def blocking_keys(label: Column, aliases: Column) -> Column:
 
 def search_text(text: Column, folded: Column | None = None) -> Column:
     out = F.regexp_replace(fold(text) if folded is None else folded, "ё", "е")
-    out = re_sub(out, r"\bbcr\s*(?:::|[-/\\]|\s)\s*abl\s*1?\b", " bcr abl bcrabl bcr-abl bcr-abl1 ")
-    out = re_sub(out, r"\bbcr\s*(?:::|[-/\\])\s*abl", " bcr abl bcrabl bcr-abl ")
-    out = re_sub(re_sub(out, r"\bph\s*\+\b", " ph+ ph positive "), r"\bph\s*-\b", " ph- ph negative ")
+    for pattern, by in SEARCH_SPELLINGS:
+        out = re_sub(out, pattern, by)
     return strip(re_sub(re_sub(out, r"[^\w+]+", " "), r"\s+", " "))
 
 

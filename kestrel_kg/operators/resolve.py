@@ -57,7 +57,7 @@ def similar_variants(entities: DataFrame, floor: float, cell: int = CELL) -> Dat
     variants = entities.select("entity_id", tx.blocking_keys(F.col("label"), F.col("aliases")).alias("keys"), F.explode(tx.entity_variants(F.col("label"), F.col("aliases"))).alias("variant"))
     rows = variants.select("entity_id", "keys", sim.sorted_words(F.col("variant")).alias("text")).dropDuplicates(["entity_id", "text"]).withColumn("chars", sim.counted_characters(F.col("text")))
     often = [r.c for r in rows.select(F.explode("chars").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(ORDERED).collect()]
-    rank = F.lit(often) if often else F.array().cast("array<string>")
+    rank = F.lit(often) if often else F.array().cast("array<bigint>")
     # array_position is 0 for all rarer ones, so the commonest character comes last
     place = lambda c: F.when(F.array_position(rank, c) > 0, F.lit(len(often)) - F.array_position(rank, c)).otherwise(-1)
     ordered = F.transform(F.array_sort(F.transform("chars", lambda c: F.struct(place(c).alias("p"), c.alias("c")))), lambda x: x["c"])

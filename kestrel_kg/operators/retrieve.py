@@ -287,14 +287,15 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 class Retriever:
     """Retrieval over a graph's entities; index, order, ranks and vectors are made once and serve every question.
 
-    order: doc, label, at (place by folded label and id); ranks: doc, score (PageRank), at, place (by score, then ``at``, from 1);
-    vectors: at, embedding. ``digits``: scores of a kind (lexical, structural, semantic) are rounded before they are ranked.
+    order: doc, label, at (place by folded label and id); ranks: entity_id, pagerank; places: doc, score (PageRank), at, place (by
+    score, then ``at``, from 1); vectors: at, embedding. ``digits``: scores of a kind (lexical, structural, semantic) are rounded before they are ranked.
     """
 
     graph: Graph
     index: Index
     order: DataFrame
     ranks: DataFrame
+    places: DataFrame
     vectors: DataFrame
     embed: object
     digits: dict[str, int] = field(default_factory=dict)
@@ -312,10 +313,10 @@ class Retriever:
         documents = graph.entities.select(F.col("entity_id").alias("doc"), text.alias("text"), "embedding")
         order = checkpoint(ordered_index(graph.entities.select(F.col("entity_id").alias("doc"), "label"), "at", tx.fold(F.col("label")), "doc"))
         rank = F.round("pagerank", digits["structural"]) if "structural" in digits else F.col("pagerank")
-        ranked_ = order.join(ranks.select(F.col("entity_id").alias("doc"), rank.alias("score")), "doc").select("doc", "score", "at")
-        ranked_ = checkpoint(ordered_index(ranked_, "place", F.desc("score"), "at").withColumn("place", F.col("place") + 1))
+        places = order.join(ranks.select(F.col("entity_id").alias("doc"), rank.alias("score")), "doc").select("doc", "score", "at")
+        places = checkpoint(ordered_index(places, "place", F.desc("score"), "at").withColumn("place", F.col("place") + 1))
         vectors = documents.select("doc", F.coalesce("embedding", embed(F.col("text"))).cast("array<double>").alias("embedding")).join(order, "doc").select("at", "embedding")
-        return Retriever(graph, build_index(documents), order, ranked_, vectors.cache(), embed, digits)
+        return Retriever(graph, build_index(documents), order, ranks, places, vectors.cache(), embed, digits)
 
     def names(self) -> DataFrame:
         return self.order.select("doc", "label")
@@ -338,7 +339,7 @@ class Retriever:
         return self.order.where(F.col("at") < limit)
 
     def first_ranks(self, limit: int) -> DataFrame:
-        return self.ranks.where(F.col("place") <= limit)
+        return self.places.where(F.col("place") <= limit)
 
     def question_vectors(self, questions: DataFrame) -> DataFrame:
         return questions.select("query", self.embed(tx.expand(F.col("question"))).cast("array<double>").alias("vector"))
@@ -372,7 +373,7 @@ class Retriever:
         number = matched.groupBy("query").agg(F.count("*").alias("matches"))
         behind = F.coalesce("matches", F.lit(0)) + F.col("at") + 1 - F.col("before")
         words = counted.join(number, "query", "left").join(lexical.select("query", "at", "place"), ["query", "at"], "left").select("query", "at", F.coalesce("place", behind).alias("r1"))
-        rows = semantic.join(words, ["query", "at"]).join(self.ranks.select("doc", "at", F.col("place").alias("r2")), "at")
+        rows = semantic.join(words, ["query", "at"]).join(self.places.select("doc", "at", F.col("place").alias("r2")), "at")
         total = F.lit(0.0)
         for r in ("r0", "r1", "r2"):
             total = total + 1 / (k + F.col(r))
@@ -391,10 +392,10 @@ class Retriever:
         elif mode == "structural_only":
             rows = each(questions, self.first_ranks(limit).select("doc", "score")).withColumn("components", F.create_map(F.lit("structural"), F.col("score")))
         elif mode == "lexical_structural":
-            top = self.ranks.agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
+            top = self.places.agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
             lexical = self.with_best(questions, self.matches(questions), self.first_ranks(limit).select("doc"))
             lexical = normalised(lexical.withColumn("raw", F.col("score"))).select("query", "doc", F.col("score").alias("l"), F.col("raw").alias("lr"))
-            structural = self.ranks.select("doc", F.col("score").alias("sr"), (F.col("score") / top if top > 0 else F.lit(0.0)).alias("s"))
+            structural = self.places.select("doc", F.col("score").alias("sr"), (F.col("score") / top if top > 0 else F.lit(0.0)).alias("s"))
             rows = lexical.join(structural, "doc").select("query", "doc", (0.85 * F.col("l") + 0.15 * F.col("s")).alias("score"), F.create_map(F.lit("lexical"), F.col("lr"), F.lit("structural"), F.col("sr")).alias("components"))
         else:
             return self.fused(questions, limit).withColumn("components", F.create_map(F.lit("rrf"), F.col("score"))).withColumn("mode", F.lit(mode))

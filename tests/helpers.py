@@ -6,6 +6,7 @@ from kestrel_kg.operators.model import Graph
 
 ENTITIES = "entity_id string, ord long, label string, entity_type string, description string, aliases array<string>, source_chunks array<string>, embedding array<double>, metadata string"
 RELATIONS = "relation_index long, subject_id string, predicate string, object_id string, confidence double, source_chunk string, metadata string"
+# The classes and triples of the ontology that these graphs follow.
 CLASSES = ("Drug", "Condition", "Procedure", "Symptom", "AnatomicalStructure", "DosageRegimen", "LabTest", "Organization", "Other")
 SPECS = (
     ("treats", "Drug", "Condition"), ("causes", "Drug", "Symptom"), ("contraindicated_for", "Drug", "Condition"), ("part_of", "Procedure", "Procedure"),

@@ -106,3 +106,32 @@ def test_the_store_is_read_by_ranges_and_written_by_key(spark, large, tmp_path):
     assert (left.entities.count(), left.relations.count(), none.count()) == (3, 0, 0)
     with pytest.raises(Exception, match="kind is one of"):
         spark.read.format("property_graph").options(**options, kind="faces").load()
+
+
+def test_a_streamed_graph_is_that_of_one_batch(spark, tmp_path):
+    from kestrel_kg.operators import build
+    from kestrel_kg.streaming import ingest
+
+    r = random.Random(7)
+    name = lambda: f"Thing {r.randrange(12)}"
+    payload = lambda: json.dumps({"entities": [{"label": name(), "type": r.choice(["Drug", "Other"]), "aliases": [name()]} for _ in range(2)], "relations": [{"subject": name(), "predicate": "p", "object": name()}]})
+    rows = [(i, f"c{i}", payload() if i % 7 else "{bad") for i in range(40)]
+    shuffled = r.sample(rows, 40)  # late chunks
+    folder, given = str(tmp_path / "graph"), str(tmp_path / "in")
+    schema = "chunk_order long, chunk_id string, payload string"
+    stream = lambda: spark.readStream.schema(schema).parquet(given)
+    for k in range(4):
+        again = shuffled[:5] if k == 2 else []  # sent a second time
+        spark.createDataFrame(shuffled[10 * k : 10 * k + 10] + again, schema).coalesce(1).write.mode("append").parquet(given)
+        ingest.graph_stream(stream(), folder, checkpoint=str(tmp_path / "seen")).awaitTermination(120)
+    graph = lambda g: [rows_of(g.entities), rows_of(g.relations)]
+    found = graph(ingest.streamed_graph(spark, folder))
+    entities, relations, rejected = build.parse_extractions(spark.createDataFrame(rows, schema))
+    assert found == graph(build.build_graph(entities, relations, strict=False)) and len(found[1]) > 20
+    ingest.graph_stream(stream(), folder, checkpoint=str(tmp_path / "seen")).awaitTermination(120)  # nothing new
+    assert spark.read.parquet(f"{folder}/rejected").select("chunk_id").distinct().count() == rejected.count()
+    assert graph(ingest.streamed_graph(spark, folder)) == found
+
+
+def rows_of(df):
+    return sorted(str(sorted(r.asDict().items())) for r in df.collect())

@@ -70,7 +70,7 @@ def test_components_in_logarithmic_rounds(spark):
     found, rounds = graphs.contracted(path)
     assert found.agg(F.count("*"), F.countDistinct("node"), F.min("component"), F.max("component")).first() == (n, n, "n00000", "n00000")
     assert 0 < rounds <= 2 * math.log2(n)
-    assert graphs.contracted(path.where("a > b"))[0].count() > 0 and graphs.contracted(path.limit(0)) [1] == 0
+    assert graphs.contracted(path.where("a > b"))[0].count() > 0 and graphs.contracted(path.limit(0))[1] == 0
 
 
 def part_entities(spark, labels, kinds=("Part",), vectors=None):
@@ -168,7 +168,7 @@ def test_fusion_pairs_no_question_with_all_entities(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     table = {(r.query, r.at): r.score for r in retriever.question_vectors(asked).crossJoin(retriever.vectors).select("query", "at", sim.cosine(F.col("vector"), F.col("embedding")).alias("score")).collect()}
     words = {(r.query, r.doc): r.score for r in retriever.matches(asked).collect()}
-    ranks = {r.doc: r.place for r in retriever.ranks.collect()}
+    ranks = {r.doc: r.place for r in retriever.places.collect()}
     for q in range(3):
         by = lambda score: {d: i + 1 for i, d in enumerate(sorted(names, key=lambda d: (-score(d), names[d])))}  # noqa: B023, E731
         lists = by(lambda d: table[q, names[d]]), by(lambda d: words.get((q, d), 0.0)), ranks  # noqa: B023
