@@ -318,12 +318,13 @@ def phrases(blocks: DataFrame, levels: list[DataFrame], count: int, least: int,
         held: list[tuple[int, bytes]] = []
         name = None
         for batch in batches:
-            for r, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != name and held:
-                    yield from close(name, held)
-                    held = []
-                name = r
-                held.append((block, data))
+            for at in range(0, batch.num_rows, 256):
+                for r, block, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if r != name and held:
+                        yield from close(name, held)
+                        held = []
+                    name = r
+                    held.append((block, data))
         if held:
             yield from close(name, held)
 
