@@ -186,14 +186,18 @@ def incidence(rows: list[list[int]]) -> np.ndarray:
 
 
 def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, k: int, estimate: float, percent: int, block: int) -> DataFrame:
-    """Links a, b, confirmed on full sets, that join the components of each cluster of large lists as far as its pairs do."""
+    """Links a, b, confirmed on full sets, that join the components of each cluster of large lists as far as its pairs do.
+
+    Parcels of ``PARCEL`` times ``block`` classes meet each other; in a task their classes are compared by blocks. A text is sent once for
+    each parcel that its own meets.
+    """
     rows = mixed.where(F.col("size") > block)
     hubs = rows.groupBy("value").agg(F.min("rep").alias("hub"))
     clusters = connected_components(rows.join(hubs, "value").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     at = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(rows.select("rep", "component").distinct(), "rep")
     # the largest component's classes needn't meet each other
     counts = at.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m"))
-    counts = counts.select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    counts = counts.select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("size") / (PARCEL * block)).cast("int").alias("blocks"))
     at = at.join(counts, "cluster").select("cluster", "rep", "component", (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.hash("rep"), "blocks").alias("i"))
     held = at.join(whole, "rep").groupBy("cluster", "in_main", "i").agg(F.collect_list(F.struct("rep", "component", "text")).alias("x"))
     held = written(held.withColumn("at", 2 * F.col("i") + F.col("in_main").cast("int")), "blocks")
@@ -209,16 +213,40 @@ def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, k: int, estim
             for r in range(batch.num_rows):
                 same, x, y = (batch.column(c)[r].as_py() for c in range(3))
                 y = [] if same else y
-                sets = [shingles((row["text"] or "").encode(), hashes, words) for row in x + y]
-                links = joining_links(sets, [row["component"] for row in x + y], len(x) if not same else None, percent, k, estimate)
-                a, b = np.array([[(x + y)[i]["rep"] for i in pair] for pair in links], np.int64).reshape(-1, 2).T
+                rows = x + y
+                sets, component = [shingles((row["text"] or "").encode(), hashes, words) for row in rows], [row["component"] for row in rows]
+                top = {c: c for c in component}
+                links = []
+                for p, q in meetings(len(x), len(rows), block):
+                    at = [*range(*p), *(range(*q) if q else ())]
+                    found = joining_links([sets[i] for i in at], [component[i] for i in at], p[1] - p[0] if q else None, percent, k, estimate, top)
+                    links += [(at[i], at[j]) for i, j in found]
+                a, b = np.array([[rows[i]["rep"] for i in pair] for pair in links], np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None, percent: int, k: int = 64, estimate: float = 0.5) -> list[tuple[int, int]]:
+#: Blocks of a parcel.
+PARCEL = 8
+
+
+def meetings(first: int, n: int, block: int) -> Iterator[tuple[tuple[int, int], tuple[int, int] | None]]:
+    """Stretches of at most ``block`` rows that are compared: all of ``n`` with each other (None: with themselves) if they are ``first``
+    rows alone, else the first ones with the others."""
+    cut = lambda a, b: [(i, min(i + block, b)) for i in range(a, b, block)]
+    left = cut(0, first)
+    if first == n:
+        for i, p in enumerate(left):
+            yield p, None
+            yield from ((p, q) for q in left[i + 1 :])
+    else:
+        yield from ((p, q) for p in left for q in cut(first, n))
+
+
+def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None, percent: int, k: int = 64, estimate: float = 0.5, top: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """A forest of links between similar sets of different components; with ``cut``, of the rows before it with those from it on.
+    ``top``: components that links found before have joined.
 
     Sizes and the estimate from the sketches leave few pairs; their full sets are merged one by one, so memory is that of the sets."""
     sizes, of = np.array([len(s) for s in sets]), np.array(component)
@@ -228,7 +256,7 @@ def joining_links(sets: list[np.ndarray], component: list[int], cut: int | None,
     likely = (of[left][:, None] != of[right][None, :]) & (100 * least >= percent * most) & (sketch[left] @ sketch[right].T >= estimate * np.minimum(most, k))
     if cut is None:
         likely = np.triu(likely, 1)
-    top = {c: c for c in component}
+    top = {c: c for c in component} if top is None else top
 
     def find(c: int) -> int:
         while top[c] != c:
