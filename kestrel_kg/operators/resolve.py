@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,6 +92,98 @@ def label_pairs(entities: DataFrame, cell: int = CELL) -> DataFrame:
     return pairs.select(F.col("l.entity_id").alias("left_id"), F.col("r.entity_id").alias("right_id"))
 
 
+#: Vectors of a block; two blocks meet in one task, ``STRIPE`` rows of the one with all of the other at a time.
+VECTOR_BLOCK, STRIPE = 4096, 256
+
+
+def similar_vectors(entities: DataFrame, threshold: float, *, joining: bool = False, block: int = VECTOR_BLOCK) -> DataFrame:
+    """left_id, right_id, semantic of the entities of one type whose cosine reaches ``threshold``; each pair once, left under right.
+    ``joining``: only as many of these pairs as it takes to join what they join.
+
+    A type's vectors are dealt to blocks, and each two blocks meet in a group of their own: a vector is sent once for each block of its
+    type, and no pair is shuffled unless it is similar. Vectors that are missing, hold a null or have no length are similar to none.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and up to 1")
+    whole = "entity_type is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)"
+    rows = entities.where(whole).select("entity_id", "entity_type", F.size("embedding").alias("n"), "embedding")
+    # at most a row for each ``block`` vectors, so it may be broadcast
+    parts = rows.groupBy("entity_type", "n").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(F.broadcast(parts), ["entity_type", "n"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    rows = rows.select("entity_type", "n", *cell, (F.col("own") > F.col("other")).alias("second"), "entity_id", "embedding")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, same, second = table.column("n")[0].as_py(), table.column("i")[0] == table.column("j")[0], table.column("second")
+        one, two = table.filter(pc.invert(second)), table.filter(second)
+        two = one if same else two
+        (x, a), (y, b) = ((t.column("entity_id").combine_chunks(), t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)) for t in (one, two))
+        found = [pa.table({"left_id": pa.array([], pa.string()), "right_id": pa.array([], pa.string()), "semantic": pa.array([], pa.float64())})]
+        for p, q, value in close_pairs(a, b, threshold, same, joining):
+            left, right = x.take(pa.array(p)), y.take(pa.array(q))
+            under = pc.less(left, right)
+            part = pa.table({"left_id": pc.if_else(under, left, right), "right_id": pc.if_else(under, right, left), "semantic": pa.array(value)})
+            found.append(part.filter(pc.not_equal(left, right)))
+        return pa.concat_tables(found)
+
+    return rows.groupBy("entity_type", "n", "i", "j").applyInArrow(run, "left_id string, right_id string, semantic double")
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, joining: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a, rows of b and their cosines from ``threshold`` on, in parts; ``same``: each pair of one matrix once.
+
+    A product of matrices leaves the pairs that can reach the threshold; their cosines are summed in the components' order, as
+    ``sim.semantic_similarity`` does. ``joining``: pairs whose ends are joined already are left out.
+    """
+    norms = [np.sqrt(sum((c * c for c in m.T), np.zeros(len(m)))) for m in (a, b)]
+    top = np.arange(len(a) if same else len(a) + len(b))
+    shift = 0 if same else len(a)
+    with np.errstate(all="ignore"):
+        for start in range(0, len(a), STRIPE):
+            below = norms[0][start : start + STRIPE, None] * norms[1][None, :]
+            # what the order of the sums changes is far less than the margin; what isn't a number is looked at below
+            likely = ~(a[start : start + STRIPE] @ b.T < (threshold - 1e-6) * below) | ((below > 0) & (below < 1e-200))
+            likely &= below != 0
+            if same:
+                likely &= np.arange(len(b))[None, :] > np.arange(start, start + len(likely))[:, None]
+            if joining:
+                likely &= top[start : start + len(likely), None] != top[None, shift:]
+            rows, columns = np.nonzero(likely)
+            for s in range(0, len(rows), 50_000):
+                p, q = rows[s : s + 50_000] + start, columns[s : s + 50_000]
+                total = np.zeros(len(p))
+                for k in range(a.shape[1]):
+                    total += a[p, k] * b[q, k]
+                value = total / (norms[0][p] * norms[1][q])
+                value = np.where(np.isnan(value), 1.0, np.clip(value, 0.0, 1.0))  # Spark's least and SQL's count NaN as the largest
+                good = value >= threshold
+                p, q, value = p[good], q[good], value[good]
+                if joining:
+                    kept = joined_by(top, p, q + shift)
+                    p, q, value = p[kept], q[kept], value[kept]
+                if len(p):
+                    yield p, q, value
+            if joining:
+                while (top != top[top]).any():
+                    top[:] = top[top]
+
+
+def joined_by(top: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Places of the links that join two groups, one after the other; ``top`` leads from each member to its group."""
+    kept = []
+    for n, ends in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        x, y = ends
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            kept.append(n)
+    return kept
+
+
 def with_similarity(pairs: DataFrame, entities: DataFrame, alpha: float = 0.6, *, lexical: bool = True) -> DataFrame:
     """The pairs with lexical, semantic and hybrid similarity. Without vectors the semantic part is the lexical one.
 

@@ -175,3 +175,36 @@ def test_fusion_pairs_no_question_with_all_entities(spark):
         want = sorted(names, key=lambda d: (-sum(1 / (60 + x[d]) for x in lists), min(x[d] for x in lists), lists[0][d], d))[:6]  # noqa: B023
         rows = sorted((r for r in found.collect() if r.query == q), key=lambda r: r["rank"])
         assert [r.doc for r in rows] == want
+
+
+def vector_entities(spark, vectors):
+    rows = [(f"e{i:04}", i, f"e{i}", kind, "", [], [], v, "{}") for i, (kind, v) in enumerate(vectors)]
+    return spark.createDataFrame(rows, ENTITY)
+
+
+def test_similar_vectors_are_those_of_all_pairs_of_a_type(spark):
+    r = np.random.default_rng(3)
+    vectors = [("ABC"[i % 3], [float(x) for x in r.normal(size=4)]) for i in range(90)] + [("A", [1.0, 0.0, 0.0, 0.0])] * 20
+    vectors += [("A", None), ("A", []), ("A", [0.0] * 4), ("A", [1.0, None, 0.0, 0.0]), ("A", [1.0, 0.0]), ("A", [2.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), ("B", [float("nan")] * 4)]
+    entities = vector_entities(spark, vectors)
+    every = resolve.with_similarity(resolve.label_pairs(entities), entities, 1.0, lexical=False).where("hybrid >= 0.6")
+    want = {(x.left_id, x.right_id): x.semantic for x in every.collect()}
+    for block in (7, 4096):
+        found = resolve.similar_vectors(entities, 0.6, block=block).collect()
+        assert len(found) == len(want) and {(x.left_id, x.right_id): x.semantic for x in found} == want
+        links = resolve.similar_vectors(entities, 0.6, joining=True, block=block)
+        assert {(x.left_id, x.right_id): x.semantic for x in links.collect()}.items() <= want.items()
+        nodes = entities.select(F.col("entity_id").alias("node"))
+        ends = lambda rows: rows.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+        assert graphs.components(nodes, ends(links)).exceptAll(graphs.components(nodes, ends(every))).count() == 0
+    with pytest.raises(ValueError):
+        resolve.similar_vectors(entities, 0.0)
+
+
+def test_similar_vectors_shuffle_vectors_and_no_pairs(spark):
+    entities = vector_entities(spark, [("A", [1.0, i / 10]) for i in range(60)])
+    plan = resolve.similar_vectors(entities, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FlatMapGroupsInArrow" in plan
+    # copies are joined by as many links as it takes, not by all their pairs
+    same = vector_entities(spark, [("A", [1.0, 2.0])] * 60)
+    assert resolve.similar_vectors(same, 0.9, joining=True).count() == 59
