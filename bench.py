@@ -27,7 +27,7 @@ def drain(df) -> int:
 
 def run(spark, name: str) -> None:
     """A query with the indexes that it makes for itself; the graph and its retriever are made before."""
-    for made in (queries.document_index, queries.impact_index, queries.vector_matches, queries.eval_rows):
+    for made in (queries.document_scores, queries.vector_matches, queries.eval_rows):
         made.cache_clear()
     drain(queries.REGISTRY[name](spark, FOLDER))
 

@@ -208,3 +208,24 @@ def test_similar_vectors_shuffle_vectors_and_no_pairs(spark):
     # copies are joined by as many links as it takes, not by all their pairs
     same = vector_entities(spark, [("A", [1.0, 2.0])] * 60)
     assert resolve.similar_vectors(same, 0.9, joining=True).count() == 59
+
+
+def test_scanned_documents_score_like_indexed_ones(spark):
+    r = random.Random(4)
+    word = lambda: r.choice("abcdefghijklmnop") * r.randint(1, 2)
+    texts = [(i, f"L{i % 9}", " ".join(word() for _ in range(r.randint(0, 30)))) for i in range(1200)] + [(1200, "x", None), (1201, "y", "")]
+    texts += [(1300 + i, f"l{i % 3}", "aa b c zz") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc long, label string, text string")
+    asked = spark.createDataFrame([(1, "aa b b c"), (2, "ZZ pp"), (3, "unknown"), (4, ""), (5, None), (6, "a d g kk a")], "query long, question string")
+    scores = retrieve.bm25(asked, retrieve.build_index(docs)).withColumn("score", F.round("score", 3))
+    want = {(x.query, x["rank"], x.doc, x.score) for x in retrieve.ranked(scores, docs, 7).collect()}
+    found = retrieve.bm25_scan(asked, docs.repartition(3), 7, digits=3)
+    assert {(x.query, x["rank"], x.doc, x.score) for x in retrieve.ranked(found, docs, 7).collect()} == want
+    assert found.count() <= 3 * 3 * 7  # a task passes on its best alone
+    assert retrieve.bm25_scan(asked.limit(0), docs, 7).count() == 0
+
+
+def test_half_up_rounds_as_spark_does(spark):
+    values = [0.1234565, 2.5000005, 1.0000015, 7.1234565000001, 12.3456784999999, 0.0, 3e-7, 5e-7]
+    spark_ = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert retrieve.half_up(np.array([values]), 6)[0].tolist() == spark_
