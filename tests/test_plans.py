@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel_kg.functions import similarity as sim
-from kestrel_kg.operators import graphs, resolve, retrieve
+from kestrel_kg.operators import evaluate, graphs, resolve, retrieve
 
 ENTITY = "entity_id string, ord long, label string, entity_type string, description string, aliases array<string>, source_chunks array<string>, embedding array<double>, metadata string"
 
@@ -229,3 +229,22 @@ def test_half_up_rounds_as_spark_does(spark):
     values = [0.1234565, 2.5000005, 1.0000015, 7.1234565000001, 12.3456784999999, 0.0, 3e-7, 5e-7]
     spark_ = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert retrieve.half_up(np.array([values]), 6)[0].tolist() == spark_
+
+
+def test_counted_pairs_are_those_of_a_join(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, int(i % 3) if i % 11 else None, [float(x) for x in r.normal(size=4)]) for i in range(120)]
+    rows += [(200, 1, None), (201, 1, []), (202, 1, [0.0] * 4), (203, 1, [1.0, None, 0.0, 0.0]), (204, 2, [1.0, 0.0]), (205, 2, [3.0, 4.0]), (206, 2, [0.6, 0.0]), (None, 2, [1.0, 0.0])]
+    rows += [(300, 0, [1.0, 0.0, 0.0, 0.0]), (301, 0, [0.2, math.sqrt(0.96), 0.0, 0.0]), (302, 1, [0.5, math.sqrt(0.75), 0.0, 0.0]), (303, 0, [float("nan")] * 4)]
+    table = spark.createDataFrame(rows, "id long, label int, embedding array<double>")
+    asked = table.where("id % 4 = 0")
+    left, right = (table_.select(*[F.col(c).alias(f"{end}_{c}") for c in table.columns]) for end, table_ in (("l", asked), ("r", table)))
+    semantic = F.round(sim.semantic_similarity(F.col("l_embedding"), F.col("r_embedding"), F.lit(0.0)), 9)
+    pairs = right.join(left, F.col("l_id") != F.col("r_id")).select(semantic.alias("semantic"), (F.col("l_label") == F.col("r_label")).alias("actual"))
+    cuts = [0.2, 0.5, 0.6, 1.0]
+    found = evaluate.scored_pairs(table.repartition(3), asked, cuts)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    for cut in cuts:
+        test = F.col("semantic") >= cut
+        assert evaluate.confusion(found.withColumn("predicted", test)).collect() == evaluate.confusion(pairs.withColumn("predicted", test)).collect()
+    assert evaluate.confusion(evaluate.scored_pairs(table, asked.limit(0), cuts).withColumn("predicted", F.lit(True))).first().tp == 0
