@@ -224,12 +224,13 @@ def canonical_map(graph: Graph, matches: DataFrame) -> DataFrame:
     return rows.select("entity_id", "component").join(best, "component").select("entity_id", "component", F.col("best.entity_id").alias("canonical_id"))
 
 
-def unique_by_canon(values: Column) -> Column:
-    """The strings of an array, the first of each canonical form."""
-    pairs = F.transform(values, lambda v: F.struct(v.alias("v"), tx.canonical_text(v).alias("c")))
-    start = F.array().cast("array<struct<v:string,c:string>>")
-    merged = F.aggregate(pairs, start, lambda out, p: F.when(F.exists(out, lambda o: o["c"] == p["c"]), out).otherwise(F.concat(out, F.array(p))))
-    return F.transform(merged, lambda p: p["v"])
+def unique_by_canon(rows: DataFrame, values: Column, order: Column, name: str) -> DataFrame:
+    """canonical_id, ``name``: the strings (c: canonical form, v) of an array column of all members in ``order``, the first of each
+    canonical form; nulls stay."""
+    parts = rows.select("canonical_id", order.alias("o"), F.posexplode(values).alias("p", "v")).withColumn("c", tx.canonical_text(F.col("v")))
+    first = parts.groupBy("canonical_id", "c", F.when(F.col("c").isNull(), F.struct("o", "p")).alias("_null")).agg(F.min(F.struct("o", "p", "v")).alias("f"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("f.o").alias("o"), F.col("f.p").alias("p"), F.col("f.v").alias("v"), "c")))
+    return first.groupBy("canonical_id").agg(listed.alias(name))
 
 
 def merged_entities(graph: Graph, mapping: DataFrame) -> DataFrame:
@@ -237,18 +238,21 @@ def merged_entities(graph: Graph, mapping: DataFrame) -> DataFrame:
     rows = graph.entities.join(mapping, "entity_id")
     own = F.col("entity_id") == F.col("canonical_id")
     order = F.struct((~own).alias("o"), F.col("entity_id").alias("i"))
-    member = F.struct(order.alias("o"), F.concat(F.when(own, F.col("aliases")).otherwise(F.concat(F.array("label"), F.col("aliases")))).alias("names"), F.col("source_chunks").alias("chunks"), F.col("metadata").alias("meta"))
     mine = lambda c: F.max(F.when(own, F.col(c)))
     first = lambda c, test: F.min_by(F.when(test, F.col(c)), F.when(test, order))
     groups = rows.groupBy("canonical_id").agg(
         mine("label").alias("label"), mine("entity_type").alias("entity_type"), F.coalesce(first("description", F.col("description") != ""), F.lit("")).alias("description"),
-        first("embedding", F.col("embedding").isNotNull()).alias("embedding"), F.sort_array(F.collect_list(member)).alias("m"), F.count("*").alias("n"),
+        first("embedding", F.col("embedding").isNotNull()).alias("embedding"), F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("metadata").alias("meta")))).alias("m"),
     )
-    names, chunks = F.flatten(F.transform("m", lambda x: x["names"])), F.flatten(F.transform("m", lambda x: x["chunks"]))
-    clean = F.filter(unique_by_canon(names), lambda a: (tx.canonical_text(a) != "") & (tx.canonical_text(a) != tx.canonical_text(F.col("label"))))
+    names = F.when(own, F.col("aliases")).otherwise(F.concat(F.array("label"), F.col("aliases")))
+    groups = groups.join(unique_by_canon(rows, names, order, "names"), "canonical_id", "left").join(unique_by_canon(rows, F.col("source_chunks"), order, "chunks"), "canonical_id", "left")
+    groups = groups.withColumn("form", tx.canonical_text(F.col("label")))
+    none = F.array().cast("array<string>")
+    clean = F.coalesce(F.transform(F.filter("names", lambda x: (x["c"] != "") & (x["c"] != F.col("form"))), lambda x: x["v"]), none)
+    chunks = F.coalesce(F.transform("chunks", lambda x: x["v"]), none)
     read = lambda x: F.coalesce(F.from_json(x["meta"], "map<string,string>"), F.create_map().cast("map<string,string>"))
     meta = F.aggregate(F.transform("m", read), F.create_map().cast("map<string,string>"), lambda a, b: F.map_concat(a, b))
-    out = groups.select(F.col("canonical_id").alias("entity_id"), "label", "entity_type", "description", clean.alias("aliases"), unique_by_canon(chunks).alias("source_chunks"), "embedding", F.to_json(meta).alias("metadata"))
+    out = groups.select(F.col("canonical_id").alias("entity_id"), "label", "entity_type", "description", clean.alias("aliases"), chunks.alias("source_chunks"), "embedding", F.to_json(meta).alias("metadata"))
     return ordered_index(out, "ord", "entity_id")
 
 

@@ -248,3 +248,14 @@ def test_counted_pairs_are_those_of_a_join(spark):
         test = F.col("semantic") >= cut
         assert evaluate.confusion(found.withColumn("predicted", test)).collect() == evaluate.confusion(pairs.withColumn("predicted", test)).collect()
     assert evaluate.confusion(evaluate.scored_pairs(table, asked.limit(0), cuts).withColumn("predicted", F.lit(True))).first().tp == 0
+
+
+def test_a_large_group_is_merged_in_proportion_to_its_members(spark):
+    n = 3000
+    rows = [(f"e{i:05}", i, f"Name {i // 2}", "A", "", [f"alias {i % 7}", ""], ["c1", f"c{i % 3}"], None, "{}") for i in range(n)]
+    entities = spark.createDataFrame(rows, ENTITY)
+    mapping = entities.select("entity_id", F.lit("e00000").alias("component"), F.lit("e00000").alias("canonical_id"))
+    found = resolve.merged_entities(resolve.Graph(entities, None), mapping)
+    row = found.first()
+    assert row.aliases[:4] == ["alias 0", "alias 1", "Name 1", "alias 2"] and len(row.aliases) == n // 2 - 1 + 7
+    assert row.source_chunks == ["c1", "c0", "c2"]
