@@ -4,12 +4,16 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kestrel_kg.functions import similarity as sim
+from kestrel_kg.functions import text as tx
 from kestrel_kg.operators import evaluate, graphs, resolve, retrieve
 
+from .helpers import leukemia
+
 ENTITY = "entity_id string, ord long, label string, entity_type string, description string, aliases array<string>, source_chunks array<string>, embedding array<double>, metadata string"
 
 
@@ -259,3 +263,31 @@ def test_a_large_group_is_merged_in_proportion_to_its_members(spark):
     row = found.first()
     assert row.aliases[:4] == ["alias 0", "alias 1", "Name 1", "alias 2"] and len(row.aliases) == n // 2 - 1 + 7
     assert row.source_chunks == ["c1", "c0", "c2"]
+
+
+@pytest.mark.parametrize("digits", [{}, {"lexical": 6}])
+def test_places_by_words_keep_matches_in_their_tasks(spark, monkeypatch, digits):
+    """Questions of one common word match most entities; no row is made for a match, and places are those of a full ranking."""
+    monkeypatch.setattr(retrieve, "CELLS", 64)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], rng.integers(1, 6))) for _ in range(300)]
+    documents = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "doc long, label string, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta gamma beta"), (3, "omega"), (4, "...")], "query long, question string")
+    scores = retrieve.bm25(asked, retrieve.build_index(documents.select("doc", "text")))
+    scores = scores.withColumn("score", F.round("score", digits["lexical"])) if digits else scores
+    known = {(r.query, r.doc): r.score for r in scores.collect()}
+    order = {q: sorted(range(300), key=lambda d: (-known.get((q, d), 0.0), d)) for q in range(1, 5)}
+    tokens = asked.select("query", tx.search_tokens(F.col("question")).alias("tokens")).where("size(tokens) > 0")
+    blocks = list(retrieve.asked_blocks(tokens, documents, digits.get("lexical")))
+    heads = {(r.query, r.at) for r in retrieve.heads_by_words(blocks, asked, 7).collect()}
+    assert heads == {(q, d) for q in (1, 2) for d in order[q][:7]}
+    candidates = spark.createDataFrame([(q, d) for q in range(1, 5) for d in (0, 3, 150, 299, order[1][0])], "query long, at long").distinct()
+    found = {(r.query, r.at): r["rank"] for r in retrieve.places_by_words(blocks, candidates).collect()}
+    assert found == {(q, d): order[q].index(d) + 1 for q, d in found} and len(found) == candidates.count()
+
+
+def test_fusion_makes_no_table_of_matches(spark, monkeypatch):
+    monkeypatch.setattr(retrieve.Retriever, "matches", lambda *_: pytest.fail("a row for each match"))
+    found = retrieve.Retriever.of(leukemia(spark), embed=lambda text: F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    asked = spark.createDataFrame([(1, "leukemia treatment"), (2, "")], "query long, question string")
+    assert found.retrieve(asked, "hybrid_rrf", 3).groupBy("query").count().count() == 2
