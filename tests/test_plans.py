@@ -291,3 +291,25 @@ def test_fusion_makes_no_table_of_matches(spark, monkeypatch):
     found = retrieve.Retriever.of(leukemia(spark), embed=lambda text: F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     asked = spark.createDataFrame([(1, "leukemia treatment"), (2, "")], "query long, question string")
     assert found.retrieve(asked, "hybrid_rrf", 3).groupBy("query").count().count() == 2
+
+
+def test_nearest_scores_few_pairs_at_a_time(spark, monkeypatch):
+    """Batches of 10,000 entities aren't scored at once for a block of questions."""
+    sizes = []
+    plain = retrieve.Heads.add
+    monkeypatch.setattr(retrieve.Heads, "add", lambda self, new, own: (sizes.append(new.size), plain(self, new, own))[1])
+    monkeypatch.setattr(retrieve, "question_blocks", lambda asked: iter([asked.toArrow().combine_chunks()]))
+
+    class Vectors:
+        """Runs a task's function here."""
+
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            at = pa.array(range(5000), pa.int64())
+            batch = pa.RecordBatch.from_arrays([at, pa.array([[1.0, float(i)] for i in range(5000)])], names=["at", "embedding"])
+            return spark.createDataFrame([r for out in run(iter([batch])) for r in out.to_pylist()], schema)
+
+    asked = spark.range(500).select(F.col("id").alias("query"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    found = retrieve.nearest(Vectors(), asked, 2)
+    assert {r.at for r in found.collect()} == {0, 1} and sum(sizes) == 500 * 5000 and max(sizes) <= retrieve.CELLS
