@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kestrel_kg.functions import similarity as sim
 from kestrel_kg.functions import text as tx
 from kestrel_kg.operators import evaluate, graphs, resolve, retrieve
+from kestrel_kg.plans import queries
 
 from .helpers import leukemia
 
@@ -313,3 +314,9 @@ def test_nearest_scores_few_pairs_at_a_time(spark, monkeypatch):
     asked = spark.range(500).select(F.col("id").alias("query"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
     found = retrieve.nearest(Vectors(), asked, 2)
     assert {r.at for r in found.collect()} == {0, 1} and sum(sizes) == 500 * 5000 and max(sizes) <= retrieve.CELLS
+
+
+def test_many_questions_are_fixed(spark):
+    """Rules that rewrite constraints over the union of passages and names failed with "key not found: p_name"."""
+    asked = queries.many_questions(spark, "/root/testdata/sf0.001")
+    assert "Union" not in asked._jdf.queryExecution().optimizedPlan().toString() and asked.count() > 0
