@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import xxhash
 
-from kestrel_kg.llm import tokens
+from kestrel_kg.llm import common, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +52,9 @@ def test_stages(spark, tmp_path):
     assert packed == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept[3].items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
     assert np.all([n > 0 for n in packed.values()])
+
+
+def test_word_hashes_take_little_memory_in_each_worker():
+    hashes, words = common.WordHash(), [b"w%d" % i for i in range(250_000)]
+    found = hashes.array(words)
+    assert len(hashes) <= 100_000 and found.tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
