@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.model import ordered_index
-from .common import dealt_join, texts, written
+from .common import dealt_join, lean, texts, written
 
 PLACE = ("d", "h", "i")
 WINDOWS = pa.list_(pa.int32())
@@ -63,6 +63,7 @@ def stretches(words: np.ndarray, least: int) -> list[list[int]]:
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """d, h, i (number among the lines with a word), lengths of the stretches from there, two hashes of the line."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ds, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -101,6 +102,7 @@ def pairs(rows: DataFrame, level: int) -> DataFrame:
     """d, h, i, m, x, y: the ranks x, y of level ``level`` that make up m lines, of each document's stretches and of the next level."""
     half = 1 << level
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -155,6 +157,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     rows = keyed(source).join(spans, ["d", "h"], "left").select(*[F.col(f"`{c}`") for c in kept], "spans")
     schema = rows.drop("spans").schema.add("n_lines", "long").add("n_deleted_lines", "long").add("n_deleted_words", "long")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index

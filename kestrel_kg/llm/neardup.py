@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, dealt_join, texts, written
+from .common import WordHash, dealt_join, lean, texts, written
 from .components import connected_components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +62,7 @@ def shingles(text: bytes, hashes: WordHash, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
@@ -79,6 +80,7 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
 def prefixes(classes: DataFrame, k: int, estimate: float, percent: int) -> DataFrame:
     """rep, n, prefix: each class's rarest retained values, of those that other classes have too."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
@@ -115,6 +117,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, k: int, estimate: float) ->
     pairs = written(pairs, "pairs")
     rows = dealt_join(pairs, sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), ["a"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
@@ -129,6 +132,7 @@ def confirmed(pairs: DataFrame, whole: DataFrame, words: int, percent: int) -> D
     pairs = written(pairs, "pairs")
     rows = dealt_join(pairs, whole.select(F.col("rep").alias("a"), F.col("text").alias("x")), ["a"]).join(whole.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
@@ -156,6 +160,7 @@ def in_small_lists(mixed: DataFrame, details: DataFrame, k: int, estimate: float
     rows = mixed.where(F.col("size") <= block).select("value", "rep", "component").join(details, "rep")
     groups = rows.groupBy("value").agg(F.collect_list(F.struct("rep", "n", "component", "sketch", "prefix")).alias("x"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -207,6 +212,7 @@ def in_large_lists(mixed: DataFrame, whole: DataFrame, words: int, k: int, estim
     joined = meet.join(held.select("cluster", "at", "x"), ["cluster", "at"]).join(held.select("cluster", F.col("at").alias("other"), F.col("x").alias("y")), ["cluster", "other"])
     joined = joined.select((F.col("at") == F.col("other")).alias("same"), "x", "y")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:

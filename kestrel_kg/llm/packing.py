@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import texts, written
+from .common import lean, texts, written
 
 #: Bytes of ids for which there is a partition; its last sequences are the short ones.
 PART_BYTES = 16 << 20
@@ -70,6 +70,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 def tokenised(docs: DataFrame, path: str, end_id: int, dims: int, bits: int) -> DataFrame:
     """doc_id, ids (little-endian, of 16 bits if no id needs more, after a first byte that tells the width), key on the curve, tie."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
         at = directions(np.arange(1 << 16), dims)
@@ -97,6 +98,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, leng
     size = table.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     ordered = table.repartitionByRange(max(1, -(-size // PART_BYTES)), "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WordHash, code_points, texts, with_columns
+from .common import SPACE, WordHash, code_points, lean, texts, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -84,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = 16, max_labelled: int
     sample = labelled_sample(labels, max_labelled).cache()
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, raw, trusted = WordHash(), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
