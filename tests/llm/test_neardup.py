@@ -5,7 +5,7 @@ import pytest
 
 import numpy as np
 
-from kestrel_kg.llm import neardup
+from kestrel_kg.llm import components, neardup
 
 SCHEMA = "doc_id long, text string"
 
@@ -110,3 +110,49 @@ def test_joining_links_join_what_all_pairs_join():
             top[find(i)] = find(j)
         got = [find(i) for i in range(len(sets))]
         assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+def components_of(links):
+    top = {x: x for link in links for x in link if link[0] != link[1]}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            p, q = find(a), find(b)
+            top[max(p, q)] = min(p, q)
+    return {x: find(x) for x in top}
+
+
+def test_components_agree_with_union_find(spark):
+    r = random.Random(5)
+    path = [(i, i + 1) for i in range(60)]
+    r.shuffle(path)
+    links = [(1000 + r.randrange(150), 1000 + r.randrange(150)) for _ in range(110)] + [(2000, x) for x in range(2001, 2040)] + [(3000, 3000)]
+    for case in (path + links, [], [(7, 7)]):
+        found = components.connected_components(spark.createDataFrame(case, "a long, b long")).collect()
+        assert {x.node: x.component for x in found} == components_of(case) and len(found) == len(components_of(case))
+
+
+def test_few_links_make_few_tasks_with_many_partitions(spark):
+    """Links that are stars, then a chain, with 100 partitions that aren't put together: a step of twelve stages of 100 tasks is too much."""
+    many = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    try:
+        for case, most in (([(1, x) for x in range(2, 30)], 400), ([(1, 2), (2, 3)], 1200)):
+            context.setJobGroup(f"components-{most}", "")
+            found = components.connected_components(spark.createDataFrame(case, "a long, b long")).collect()
+            assert {x.node: x.component for x in found} == components_of(case)
+            tracker = context.statusTracker()
+            stages = {s for j in tracker.getJobIdsForGroup(f"components-{most}") for s in tracker.getJobInfo(j).stageIds}
+            assert sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s))) <= most
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
